@@ -25,7 +25,7 @@ from millrace.config import source_quotas
 from millrace.functions.cleaning import clean_and_keep, math_clean, web_clean, word_count
 from millrace.operators import reports
 from millrace.operators.quota import union_sources
-from millrace.session import scratch_path
+from millrace.session import scratch_path, spread
 from millrace.sources.text import read_jsonl, write_jsonl
 from millrace.streaming.clean_stream import (
     cleaned_stream,
@@ -40,16 +40,17 @@ LABELS = {WEB: "Web", MATH: "Math"}
 
 
 def clean_web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = web_rows(spark, sf_dir).select("ord", web_clean(F.col("text")).alias("text"))
-    return cleaned
+    rows = spread(web_rows(spark, sf_dir), "ord")
+    return rows.select("ord", web_clean(F.col("text")).alias("text"))
 
 
 def clean_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return math_rows(spark, sf_dir).select("ord", math_clean(F.col("text")).alias("text"))
+    rows = spread(math_rows(spark, sf_dir), "ord")
+    return rows.select("ord", math_clean(F.col("text")).alias("text"))
 
 
 def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         "page_id",
         web_clean(F.col("html")).alias("as_web"),
         math_clean(F.col("html")).alias("as_math"),
@@ -57,15 +58,15 @@ def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = clean_and_keep(web_rows(spark, sf_dir), web_clean, MIN_WORDS)
+    kept = clean_and_keep(spread(web_rows(spark, sf_dir), "ord"), web_clean, MIN_WORDS)
     return kept.select("ord", "text", word_count(F.col("text")).cast("bigint").alias("n_words"))
 
 
 def language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(
-        "lang", F.expr(noisy("doc_id")).alias("text")
+        "doc_id", "lang", F.expr(noisy("doc_id")).alias("text")
     )
-    kept = clean_and_keep(rows, web_clean, MIN_WORDS)
+    kept = clean_and_keep(spread(rows, "doc_id"), web_clean, MIN_WORDS)
     return kept.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(word_count(F.col("text"))).alias("n_words"),

@@ -60,8 +60,13 @@ def sources(spark: SparkSession, sf_dir: str) -> list[Source]:
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kept examples of both sources, written down."""
-    return pin(union_sources(sources(spark, sf_dir), [None, None], MIN_WORDS), "examples")
+    """All kept examples of both sources, for queries that read them once."""
+    return union_sources(sources(spark, sf_dir), [None, None], MIN_WORDS)
+
+
+def pinned_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same written down, for queries that read them several times."""
+    return pin(examples(spark, sf_dir), "examples")
 
 
 # The same in SQL. The patterns are the plain form of the cleaning rules.

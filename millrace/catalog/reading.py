@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.catalog.inputs import SEED, VAL_RATIO, examples
+from millrace.catalog.inputs import SEED, VAL_RATIO, pinned_examples
 from millrace.catalog.splits import SPLIT_CTE
 from millrace.catalog.tokens import (
     HASH_VOCAB,
@@ -27,7 +27,7 @@ from millrace.sources.tar_shards import (
     write_shards,
 )
 
-SHARD_SIZE = 50
+SHARD_SIZE = 200
 EPOCH = 3
 BUFFER, CHUNK, GROUP = 40, 10, 8
 BATCH = 16
@@ -35,7 +35,7 @@ LIMIT = 5
 
 
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = splitting.stratified_split(examples(spark, sf_dir), VAL_RATIO, SEED)
+    marked = splitting.stratified_split(pinned_examples(spark, sf_dir), VAL_RATIO, SEED)
     placed = splitting.split_positions(marked, SEED)
     tokens = pin(tokenizing.encode_hash(placed, HASH_VOCAB).drop("text", "pos"), "tokens")
     return sharding.sharded_fragments(tokens, LENGTH, STRIDE, PAD_ID, SHARD_SIZE)

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.catalog.inputs import EXAMPLES_CTE, MATH, SEED, VAL_RATIO, WEB, examples
+from millrace.catalog.inputs import EXAMPLES_CTE, MATH, SEED, VAL_RATIO, WEB, pinned_examples
 from millrace.operators import shuffling, splitting
 from millrace.operators.reports import domain_stats as stats_of
 from millrace.operators.reports import domain_stats_wide as widened
 
 
 def split_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.stratified_split(examples(spark, sf_dir), VAL_RATIO, SEED)
+    return splitting.stratified_split(pinned_examples(spark, sf_dir), VAL_RATIO, SEED)
 
 
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shuffling.seeded_shuffle(examples(spark, sf_dir), SEED).select(
+    return shuffling.seeded_shuffle(pinned_examples(spark, sf_dir), SEED).select(
         "id", "domain", "text", "shuffle_pos"
     )
 
@@ -29,7 +29,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_is_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in both splits and rows in neither: both must be none."""
-    rows = examples(spark, sf_dir)
+    rows = pinned_examples(spark, sf_dir)
     marked = splitting.stratified_split(rows, VAL_RATIO, SEED)
     ids = {
         s: marked.filter(F.col("split") == s).select("id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.catalog.inputs import EXAMPLES_CTE, examples
+from millrace.catalog.inputs import EXAMPLES_CTE, examples, pinned_examples
 from millrace.functions.tokens import FALLBACK_PAD_ID, truncate_at_eos
 from millrace.operators import metrics, tokenizing
 
@@ -41,13 +41,13 @@ def _encoded(df: DataFrame) -> DataFrame:
 
 
 def encode_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = examples(spark, sf_dir)
+    rows = pinned_examples(spark, sf_dir)
     vocab = tokenizing.vocabulary(rows, TOP_VOCAB)
     return _encoded(tokenizing.encode_vocab(rows, vocab, UNK_ID))
 
 
 def encode_vocab_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = examples(spark, sf_dir)
+    rows = pinned_examples(spark, sf_dir)
     vocab = tokenizing.vocabulary(rows, TOP_VOCAB)
     return _encoded(tokenizing.encode_by_join(rows, vocab, UNK_ID))
 

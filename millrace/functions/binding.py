@@ -16,3 +16,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     element. A one-element array keeps the value as a lambda variable instead.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def computed_once(value: Column) -> Column:
+    """``value`` behind a generator, for a ``select`` followed by a filter on it.
+
+    The optimizer pushes a filter below a projection and thereby runs the
+    projected expression twice; it does not push one below a generator.
+    """
+    return F.explode(F.array(value))

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.binding import computed_once
+
 # The code points that count as blank.
 BLANKS = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -88,15 +90,14 @@ def clean_and_keep(
     """Replace ``text`` by its cleaned form and keep texts of more than
     ``min_words_exclusive`` words.
 
-    The cleaned value goes through ``explode(array(...))``: a filter is pushed
-    below a projection, which would run the whole rewrite chain twice, but not
-    below a generator. The length test in front is implied by the word count
-    (n+1 words need 2n+1 characters and no rule lengthens a text) and spares
-    the rewrites on rows that cannot pass.
+    The rewrite chain runs once although the filter reads its result. The
+    length test in front is implied by the word count (n+1 words need 2n+1
+    characters and no rule lengthens a text) and spares the rewrites on rows
+    that cannot pass.
     """
     others = [c for c in df.columns if c != text]
     cleaned = df.filter(F.length(text) > 2 * min_words_exclusive).select(
-        *others, F.explode(F.array(cleaner(F.col(text)))).alias(text)
+        *others, computed_once(cleaner(F.col(text))).alias(text)
     )
     long_enough = word_count(F.col(text)) > max(min_words_exclusive, 0)
     return cleaned.filter(long_enough).select(*df.columns)

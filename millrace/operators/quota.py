@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.cleaning import clean_and_keep
 from millrace.operators.ranking import dense_index
-from millrace.session import pin
+from millrace.session import pin, spread
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,8 @@ def first_kept(source: Source, quota: int | None, min_words_exclusive: int = 10)
     rows = source.rows.select(*source.order, F.col(source.text).alias("text"))
 
     def kept_in(part: DataFrame) -> DataFrame:
-        return pin(clean_and_keep(part, source.cleaner, min_words_exclusive), "clean")
+        even = spread(part, *source.order)
+        return pin(clean_and_keep(even, source.cleaner, min_words_exclusive), "clean")
 
     key = source.order[0]
     sliceable = isinstance(rows.schema[key].dataType, T.IntegralType)
@@ -78,10 +80,21 @@ def union_sources(
     min_words_exclusive: int = 10,
 ) -> DataFrame:
     """``(id, domain, text, pos)`` of all sources, one after the other."""
+    with ThreadPoolExecutor(len(sources)) as pool:
+        # Sources are independent; their jobs share the cluster.
+        kept_tables = list(
+            pool.map(lambda s, q: first_kept(s, q, min_words_exclusive), sources, quotas)
+        )
+        indexed = list(
+            pool.map(
+                lambda s, q, kept: dense_index(kept, s.order, name="idx", first=q),
+                sources,
+                quotas,
+                kept_tables,
+            )
+        )
     taken, offset = [], 0
-    for source, quota in zip(sources, quotas, strict=True):
-        kept = first_kept(source, quota, min_words_exclusive)
-        rows = dense_index(kept, source.order, name="idx", first=quota)
+    for source, quota, kept, rows in zip(sources, quotas, kept_tables, indexed, strict=True):
         taken.append(
             rows.select(
                 F.concat(F.lit(f"{source.domain}_"), F.col("idx").cast("string")).alias("id"),

@@ -56,25 +56,26 @@ def stratified_split(
         ),
         "split-bins",
     )
-    quotas = pin(
-        validation_quotas(bins.groupBy(domain).agg(F.sum("n").alias("n")), ratio, domain),
-        "split-quotas",
+    quotas = validation_quotas(bins.groupBy(domain).agg(F.sum("n").alias("n")), ratio, domain)
+    upto = Window.partitionBy(domain).orderBy("_bin")
+    reached = bins.withColumn("_upto", F.sum("n").over(upto)).withColumnRenamed("n", "_in_bin")
+    need = F.col("n_val") - (F.col("_upto") - F.col("_in_bin"))
+    # Per domain the bin in which its quota is reached; the first bin stands in
+    # where there is none, so that every domain has a row to be checked.
+    edge = pin(
+        join_null_safe(reached, quotas, [domain])
+        .withColumn("_need", need)
+        .filter(need.between(1, F.col("_in_bin")) | ((F.col("n_val") < 1) & (F.col("_upto") == F.col("_in_bin"))))
+        .select(domain, "n", "n_val", "_bin", "_need"),
+        "split-edge",
     )
     if check:
-        bad = quotas.filter((F.col("n") < 2) | (F.col("n_val") < 1)).limit(5).collect()
+        bad = edge.filter((F.col("n") < 2) | (F.col("n_val") < 1)).limit(5).collect()
         if bad:
             raise ValueError(f"too few rows to stratify: {[r[domain] for r in bad]}")
-    upto = Window.partitionBy(domain).orderBy("_bin")
-    reached = bins.withColumn("_upto", F.sum("n").over(upto))
-    edge = (
-        join_null_safe(reached, quotas.select(domain, "n_val"), [domain])
-        .withColumn("_need", F.col("n_val") - (F.col("_upto") - F.col("n")))
-        .filter((F.col("_need") >= 1) & (F.col("_need") <= F.col("n")))
-        .select(domain, "_bin", "_need")
-    )
     edge_rows = join_null_safe(
         hashed.select(domain, key, "_digest", F.substring("_digest", 1, HEX_DIGITS).alias("_bin")),
-        pin(edge, "split-edge"),
+        edge.select(domain, "_bin", "_need"),
         [domain, "_bin"],
     )
     rank = F.row_number().over(Window.partitionBy(domain).orderBy("_digest", key))

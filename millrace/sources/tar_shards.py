@@ -2,19 +2,18 @@
 
 A shard ``<prefix>-<number>.tar`` holds per sample ``<key>.json`` (document id,
 domain, fragment number), ``<key>.input.json`` (token ids) and, if there is a
-mask, ``<key>.mask.json``. One task writes a shard from a stream of rows and one
-task reads it, so memory does not grow with the shard. Files are reached through
-Arrow's file systems: local paths and the URIs Arrow knows (``hdfs``, ``s3``...).
+mask, ``<key>.mask.json``. The Python side only packs and unpacks the container,
+streaming, so memory does not grow with the shard; JSON is made and parsed by
+Spark. Files are reached through Arrow's file systems: local paths and the URIs
+Arrow knows (``hdfs``, ``s3``, ...).
 """
 
 from __future__ import annotations
 
 import io
-import json
 import re
 import tarfile
 import uuid
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +29,19 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from millrace.functions.binding import computed_once
 from millrace.session import ship_package
 
 FORMAT = "tar_shards"
-SAMPLE_SCHEMA = (
-    "sample_key string, original_id string, domain string, fragment_idx int, "
-    "text array<int>, attention_mask array<int>, shard string"
-)
+ABOUT_SCHEMA = "original_id string, domain string, fragment_idx int"
+IDS_SCHEMA = "array<int>"
 MODES = ("DROPMALFORMED", "PERMISSIVE", "FAILFAST")
-SHARD_NAME = "%s-%05d.tar"
+ROWS_PER_BATCH = 1000
+
+# Member name endings and the column each one fills.
+MEMBERS = {"json": "about", "input.json": "input", "mask.json": "mask"}
+RAW_COLUMNS = ("sample_key", *MEMBERS.values(), "shard", "error")
+_RAW_SCHEMA = pa.schema([(c, pa.string()) for c in RAW_COLUMNS])
 
 
 def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -47,13 +50,13 @@ def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def list_shards(path: str, prefix: str) -> list[str]:
-    """Sorted shard names of a prefix; an error if there are none."""
+    """Shard names of a prefix by number; an error if there are none."""
     fs, root = _open_fs(path)
-    name = re.compile(re.escape(prefix) + r"-\d+\.tar")
+    name = re.compile(re.escape(prefix) + r"-(\d+)\.tar")
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
     names = sorted(
         (f.base_name for f in found if name.fullmatch(f.base_name)),
-        key=lambda n: int(n[len(prefix) + 1 : -4]),
+        key=lambda n: int(name.fullmatch(n).group(1)),
     )
     if not names:
         raise FileNotFoundError(f"no shards match {path}/{prefix}-*.tar")
@@ -71,65 +74,48 @@ class ShardsWritten(WriterCommitMessage):
 
 
 class TarShardReader(DataSourceReader):
-    def __init__(self, path: str, prefix: str, mode: str) -> None:
-        self.path, self.prefix, self.mode = path, prefix, mode
+    """One partition per shard, one row per sample, members as JSON text. A
+    shard that ends badly yields its good samples and a row with ``error``."""
+
+    def __init__(self, path: str, prefix: str) -> None:
+        self.path, self.prefix = path, prefix
 
     def partitions(self) -> list[ShardPartition]:
         return [ShardPartition(n) for n in list_shards(self.path, self.prefix)]
 
-    def read(self, partition: ShardPartition) -> Iterator[tuple]:
+    def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for row in self._rows(partition.name):
+            rows.append(row)
+            if len(rows) == ROWS_PER_BATCH:
+                yield pa.RecordBatch.from_pylist(rows, schema=_RAW_SCHEMA)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_RAW_SCHEMA)
+
+    def _rows(self, shard: str) -> Iterator[dict]:
         fs, root = _open_fs(self.path)
-        try:
-            with (
-                fs.open_input_stream(f"{root}/{partition.name}") as stream,
-                tarfile.open(fileobj=stream, mode="r|") as tar,
-            ):
-                for key, members in _samples(tar):
-                    yield from self._decoded(partition.name, key, members)
-        except (tarfile.TarError, EOFError) as error:
-            yield from self._bad(partition.name, None, error)
-
-    def _decoded(self, shard: str, key: str, members: dict[str, bytes]) -> Iterator[tuple]:
-        try:
-            about = json.loads(members["json"])
-            mask = members.get("mask.json")
-            row = (
-                key,
-                about["original_id"],
-                about["domain"],
-                about.get("fragment_idx"),
-                json.loads(members["input.json"]),
-                None if mask is None else json.loads(mask),
-                shard,
-            )
-        except (KeyError, ValueError, TypeError) as error:
-            yield from self._bad(shard, key, error)
-        else:
-            yield row if self.mode != "PERMISSIVE" else (*row, None)
-
-    def _bad(self, shard: str, key: str | None, error: Exception) -> Iterator[tuple]:
-        text = f"{type(error).__name__}: {error}"
-        if self.mode == "FAILFAST":
-            raise ValueError(f"bad sample {key} in {shard}: {text}") from error
-        warnings.warn(f"skipping {key or 'rest'} of {shard}: {text}", stacklevel=2)
-        if self.mode == "PERMISSIVE":
-            yield (key, None, None, None, None, None, shard, text)
-
-
-def _samples(tar: tarfile.TarFile) -> Iterator[tuple[str, dict[str, bytes]]]:
-    """Consecutive members that share the name before the first dot."""
-    key, members = None, {}
-    for info in tar:
-        if not info.isfile():
-            continue
-        stem, _, kind = info.name.partition(".")
-        if stem != key and members:
-            yield key, members
-            members = {}
-        key = stem
-        members[kind] = tar.extractfile(info).read()
-    if members:
-        yield key, members
+        row: dict = {}
+        with fs.open_input_stream(f"{root}/{shard}") as stream:
+            try:
+                with tarfile.open(fileobj=stream, mode="r|") as tar:
+                    # Members of a sample follow each other and share the name
+                    # before the first dot.
+                    for member in tar:
+                        key, _, kind = member.name.partition(".")
+                        if row and row["sample_key"] != key:
+                            yield row
+                            row = {}
+                        if kind in MEMBERS:
+                            content = tar.extractfile(member).read()
+                            row[MEMBERS[kind]] = content.decode("utf-8", "replace")
+                            row |= {"sample_key": key, "shard": shard}
+                if row:
+                    yield row
+            except (tarfile.TarError, EOFError) as problem:
+                if row:
+                    yield row
+                yield {"shard": shard, "error": f"{type(problem).__name__}: {problem}"}
 
 
 class TarShardWriter(DataSourceArrowWriter):
@@ -145,35 +131,36 @@ class TarShardWriter(DataSourceArrowWriter):
         fs, root = _open_fs(self.path)
         fs.create_dir(f"{root}/{self.staging}", recursive=True)
         attempt = uuid.uuid4().hex
-        names: list[str] = []
+        written = ShardsWritten([])
         shard, filled, stream, tar = None, 0, None, None
-
-        def close() -> None:
-            if tar is not None:
-                tar.close()
-                stream.close()
-
         for batch in iterator:
             for row in batch.to_pylist():
                 if row["shard_idx"] != shard:
-                    close()
+                    if tar is not None:
+                        tar.close()
+                        stream.close()
                     shard, filled = row["shard_idx"], 0
-                    name = f"{attempt}.{SHARD_NAME % (self.prefix, shard)}"
-                    if name in names:
+                    name = f"{attempt}.{self.prefix}-{shard:05d}.tar"
+                    if name in written.names:
                         raise ValueError("rows must be sorted by shard_idx, shard_pos")
-                    names.append(name)
+                    written.names.append(name)
                     stream = fs.open_output_stream(f"{root}/{self.staging}/{name}")
-                    tar = tarfile.open(fileobj=stream, mode="w|")
+                    tar = tarfile.open(
+                        fileobj=stream, mode="w|", format=tarfile.USTAR_FORMAT
+                    )
                 if row["shard_pos"] != filled:
                     raise ValueError(f"shard {shard}: expected position {filled}")
                 filled += 1
-                for member, value in _members(row):
-                    content = json.dumps(value).encode()
-                    info = tarfile.TarInfo(member)
-                    info.size = len(content)
-                    tar.addfile(info, io.BytesIO(content))
-        close()
-        return ShardsWritten(names)
+                for ending, column in MEMBERS.items():
+                    if row[column] is not None:
+                        content = row[column].encode()
+                        member = tarfile.TarInfo(f"{row['sample_key']}.{ending}")
+                        member.size = len(content)
+                        tar.addfile(member, io.BytesIO(content))
+        if tar is not None:
+            tar.close()
+            stream.close()
+        return written
 
     def commit(self, messages: list[ShardsWritten | None]) -> None:
         fs, root = _open_fs(self.path)
@@ -182,16 +169,13 @@ class TarShardWriter(DataSourceArrowWriter):
         if len(final) != len(written):
             self.abort(messages)
             raise ValueError("a shard was written by several tasks")
-        fs.create_dir(root, recursive=True)
-        stale = set()
-        if self.overwrite:
-            try:
-                stale = set(list_shards(self.path, self.prefix)) - set(final)
-            except FileNotFoundError:
-                pass
+        try:
+            stale = set(list_shards(self.path, self.prefix)) if self.overwrite else set()
+        except FileNotFoundError:
+            stale = set()
         for target, source in final.items():
             fs.move(f"{root}/{self.staging}/{source}", f"{root}/{target}")
-        for name in stale:
+        for name in stale - set(final):
             fs.delete_file(f"{root}/{name}")
         self._drop_staging(fs, root)
 
@@ -204,35 +188,19 @@ class TarShardWriter(DataSourceArrowWriter):
             fs.delete_dir(folder)
 
 
-def _members(row: dict) -> Iterator[tuple[str, object]]:
-    key = f"{row['shard_idx']:05d}_{row['shard_pos']:05d}"
-    about = {k: row[k] for k in ("original_id", "domain", "fragment_idx")}
-    yield f"{key}.json", about
-    yield f"{key}.input.json", row["input_ids"]
-    if row.get("attention_mask") is not None:
-        yield f"{key}.mask.json", row["attention_mask"]
-
-
 class TarShards(DataSource):
-    """Options: ``path``, ``prefix``, and for reading ``mode``: DROPMALFORMED
-    (default: warn and go on), PERMISSIVE (a row with ``error`` set) or
-    FAILFAST."""
+    """Options: ``path`` and ``prefix``. Rows are samples as JSON text; see
+    ``read_shards`` and ``write_shards`` for typed ones."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
-    def _mode(self) -> str:
-        mode = self.options.get("mode", MODES[0]).upper()
-        if mode not in MODES:
-            raise ValueError(f"mode must be one of {MODES}")
-        return mode
-
     def schema(self) -> str:
-        return SAMPLE_SCHEMA + (", error string" if self._mode() == "PERMISSIVE" else "")
+        return ", ".join(f"{c} string" for c in RAW_COLUMNS)
 
     def reader(self, schema) -> TarShardReader:
-        return TarShardReader(self.options["path"], self.options["prefix"], self._mode())
+        return TarShardReader(self.options["path"], self.options["prefix"])
 
     def writer(self, schema, overwrite: bool) -> TarShardWriter:
         return TarShardWriter(self.options["path"], self.options["prefix"], overwrite)
@@ -244,26 +212,28 @@ def register(spark: SparkSession) -> None:
 
 
 def write_shards(sharded: DataFrame, path: str, prefix: str, tasks: int | None = None) -> None:
-    """Write fragments with ``shard_idx`` and ``shard_pos`` as tar shards.
+    """Write fragments with ``shard_idx`` and ``shard_pos`` as tar shards,
+    replacing those of the same prefix.
 
     One exchange by shard number; every shard has a fixed size, so no task is
-    heavier than its number of shards.
+    heavier than its number of shards. The arrays become JSON text after it.
     """
     spark = sharded.sparkSession
     register(spark)
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sharded.select(
-        "shard_idx",
-        "shard_pos",
-        "original_id",
-        "domain",
-        "fragment_idx",
-        "input_ids",
-        *[c for c in sharded.columns if c == "attention_mask"],
-    )
+    has_mask = "attention_mask" in sharded.columns
+    mask = F.to_json("attention_mask") if has_mask else F.lit(None).cast("string")
     (
-        rows.repartition(n, "shard_idx")
+        sharded.repartition(n, "shard_idx")
         .sortWithinPartitions("shard_idx", "shard_pos")
+        .select(
+            "shard_idx",
+            "shard_pos",
+            "sample_key",
+            F.to_json(F.struct("original_id", "domain", "fragment_idx")).alias("about"),
+            F.to_json("input_ids").alias("input"),
+            mask.alias("mask"),
+        )
         .write.format(FORMAT)
         .option("prefix", prefix)
         .mode("overwrite")
@@ -272,13 +242,56 @@ def write_shards(sharded: DataFrame, path: str, prefix: str, tasks: int | None =
 
 
 def read_shards(spark: SparkSession, path: str, prefix: str, mode: str = MODES[0]) -> DataFrame:
+    """``(sample_key, original_id, domain, fragment_idx, text, attention_mask,
+    shard)``. What cannot be decoded is left out (DROPMALFORMED), kept as a row
+    with ``error`` set (PERMISSIVE), or ends the query (FAILFAST)."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     register(spark)
-    reader = spark.read.format(FORMAT).option("prefix", prefix).option("mode", mode)
-    return reader.load(path)
+    raw = spark.read.format(FORMAT).option("prefix", prefix).load(path)
+    decoded = raw.select(
+        "sample_key",
+        "shard",
+        "error",
+        F.col("mask").isNotNull().alias("_has_mask"),
+        computed_once(
+            F.struct(
+                F.from_json("about", ABOUT_SCHEMA).alias("about"),
+                F.from_json("input", IDS_SCHEMA).alias("text"),
+                F.from_json("mask", IDS_SCHEMA).alias("mask"),
+            )
+        ).alias("_s"),
+    )
+
+    def unusable(ids: str):
+        return F.col(ids).isNull() | F.exists(ids, lambda t: t.isNull())
+
+    problem = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("_s.about.original_id").isNull(), F.lit("bad metadata"))
+        .when(unusable("_s.text"), F.lit("bad token ids"))
+        .when(F.col("_has_mask") & unusable("_s.mask"), F.lit("bad mask"))
+    )
+    columns = [
+        F.col("sample_key"),
+        F.col("_s.about.original_id").alias("original_id"),
+        F.col("_s.about.domain").alias("domain"),
+        F.col("_s.about.fragment_idx").alias("fragment_idx"),
+        F.col("_s.text").alias("text"),
+        F.col("_s.mask").alias("attention_mask"),
+        F.col("shard"),
+    ]
+    if mode == "PERMISSIVE":
+        return decoded.select(*columns, problem.alias("error"))
+    if mode == "FAILFAST":
+        where = F.concat_ws(" ", F.lit("bad sample"), "sample_key", F.lit("of"), "shard")
+        stop = F.raise_error(F.concat_ws(": ", where, problem)).cast("boolean")
+        return decoded.filter(F.when(problem.isNull(), F.lit(True)).otherwise(stop)).select(*columns)
+    return decoded.filter(problem.isNull()).select(*columns)
 
 
 def bad_samples(spark: SparkSession, path: str, prefix: str) -> DataFrame:
-    """Report of what a tolerant read would skip."""
+    """Report of what a tolerant read leaves out."""
     rows = read_shards(spark, path, prefix, "PERMISSIVE")
     return rows.filter(F.col("error").isNotNull()).select("shard", "sample_key", "error")
 
@@ -300,8 +313,7 @@ def verify_shards(
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             results = [_check(p, max_members) for p in batch.column("path").to_pylist()]
-            if results:
-                yield pa.RecordBatch.from_pylist(results, schema=_CHECK_SCHEMA)
+            yield pa.RecordBatch.from_pylist(results, schema=_CHECK_SCHEMA)
 
     return files.filter(number % every_n == 0).mapInArrow(
         check, "shard string, ok boolean, error string, members int"
@@ -322,9 +334,9 @@ def _check(path: str, max_members: int) -> dict:
             tarfile.open(fileobj=stream, mode="r|") as tar,
         ):
             for _ in tar:
+                listed += 1
                 if listed == max_members:
                     break
-                listed += 1
     except (tarfile.TarError, EOFError, OSError) as problem:
         error = f"{type(problem).__name__}: {problem}"
     shard = path.rsplit("/", 1)[-1]
