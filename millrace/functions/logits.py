@@ -39,12 +39,11 @@ def log_sum_exp(z: Column) -> Column:
 
 
 def softmax(z: Column) -> Column:
-    return let(
+    shifted = let(
         as_double(z),
-        lambda v: let(
-            log_sum_exp(v), lambda lse: F.transform(v, lambda x: F.exp(x - lse))
-        ),
+        lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))),
     )
+    return let(shifted, lambda e: let(_sum(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def argmax_token(z: Column) -> Column:
