@@ -37,8 +37,9 @@ LIMIT = 5
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = splitting.stratified_split(pinned_examples(spark, sf_dir), VAL_RATIO, SEED)
     placed = splitting.split_positions(marked, SEED)
-    tokens = pin(tokenizing.encode_hash(placed, HASH_VOCAB).drop("text", "pos"), "tokens")
-    return sharding.sharded_fragments(tokens, LENGTH, STRIDE, PAD_ID, SHARD_SIZE)
+    tokens = tokenizing.encode_hash(placed, HASH_VOCAB).drop("text", "pos")
+    stored = pin(tokens.withColumn("n_tokens", F.size("ids")), "tokens")
+    return sharding.sharded_fragments(stored, LENGTH, STRIDE, PAD_ID, SHARD_SIZE)
 
 
 def _keys(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
@@ -89,25 +90,27 @@ def shard_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffling.shard_order(pin(shards, "shards"), SEED, EPOCH)
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positions = shuffling.read_positions(_keys(spark, sf_dir, splitting.TRAIN), SEED, EPOCH)
+def _blocks(keys: DataFrame) -> DataFrame:
+    positions = shuffling.read_positions(keys, SEED, EPOCH)
     return shuffling.block_shuffle(positions, SEED, EPOCH, "sample_key", BUFFER // 2)
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shuffling.chunk_shuffle(_blocks(spark, sf_dir), SEED, EPOCH, CHUNK, GROUP)
+def _chunks(keys: DataFrame) -> DataFrame:
+    return shuffling.chunk_shuffle(_blocks(keys), SEED, EPOCH, keys.count(), CHUNK, GROUP)
 
 
 def block_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir).select("sample_key", "pos")
+    return _blocks(_keys(spark, sf_dir, splitting.TRAIN)).select("sample_key", "pos")
 
 
 def chunk_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("sample_key", "pos")
+    return _chunks(_keys(spark, sf_dir, splitting.TRAIN)).select("sample_key", "pos")
 
 
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batching.with_batches(_chunks(spark, sf_dir), BATCH, drop_last=True).select(
+    keys = _keys(spark, sf_dir, splitting.TRAIN)
+    rows = keys.count()
+    return batching.with_batches(_chunks(keys), BATCH, drop_last=True, rows=rows).select(
         "sample_key", "batch_id", "batch_pos"
     )
 

@@ -11,15 +11,18 @@ Two ways, both independent of the physical partitioning:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from types import MappingProxyType
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.session import pin
 
-HEX_DIGITS = 4  # 65,536 bins
+HEX_DIGITS = 4
+MAX_BINS = 16**HEX_DIGITS
+MIN_BIN = 1024
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -38,39 +41,45 @@ def rank_in_bins(
     bin_of: Column,
     order: Sequence[Column],
     by: Sequence[str] = (),
-    weight: Column | None = None,
-    name: str = "pos",
+    totals: Mapping[str, Column | None] = MappingProxyType({"pos": None}),
 ) -> DataFrame:
-    """Add ``name``: how many rows (or how much weight) precede this row.
+    """Add one column per entry of ``totals``: the weight of all rows before
+    this one, or their number where the weight is None.
 
     ``bin_of`` must be monotone in ``order``, and ``order`` unique within
-    ``by``. The bin table has one row per bin in use and ``by`` group; it is
-    broadcast by hint only without ``by``, where the bins bound it.
+    ``by``. Window and join share one key, a struct of group and bin, so the
+    rows are exchanged and sorted once; in a struct, nulls equal each other.
+    The only unsplit step is the prefix sum over the bin counts of a group.
     """
-    by = list(by)
-    measured = df.withColumn("_bin", bin_of)
-    if weight is not None:
-        measured = measured.withColumn("_weight", weight.cast("bigint"))
-    amount = F.count(F.lit(1)) if weight is None else F.sum("_weight")
-    per_bin = measured.groupBy(*by, "_bin").agg(amount.alias("_amount"))
-    before_bin = Window.partitionBy(*by).orderBy("_bin").rowsBetween(
-        Window.unboundedPreceding, -1
+    weights = {
+        name: F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
+        for name, weight in totals.items()
+    }
+    measured = df.withColumn("_key", F.struct(*by, bin_of.alias("_bin"))).withColumns(
+        {f"_w_{name}": weight for name, weight in weights.items()}
     )
-    starts = per_bin.select(
-        *by, "_bin", F.coalesce(F.sum("_amount").over(before_bin), F.lit(0)).alias("_start")
+
+    def before(window: WindowSpec, name: str) -> Column:
+        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(f"_w_{name}").over(earlier), F.lit(0))
+
+    groups = Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy(F.col("_key")["_bin"])
+    starts = (
+        measured.groupBy("_key")
+        .agg(*[F.sum(f"_w_{name}").alias(f"_w_{name}") for name in weights])
+        .select(
+            F.col("_key").alias("_bin_key"),
+            *[before(groups, name).alias(f"_start_{name}") for name in weights],
+        )
     )
-    in_bin = Window.partitionBy(*by, "_bin").orderBy(*order)
-    if weight is None:
-        inside = F.row_number().over(in_bin) - 1
-    else:
-        earlier = in_bin.rowsBetween(Window.unboundedPreceding, -1)
-        inside = F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
-    ranked = measured.withColumn("_inside", inside)
-    starts = starts if by else F.broadcast(starts)
+    in_bin = Window.partitionBy("_key").orderBy(*order)
+    inside = measured.withColumns({f"_in_{name}": before(in_bin, name) for name in weights})
+    added = {name: F.col(f"_start_{name}") + F.col(f"_in_{name}") for name in weights}
+    helpers = [f"_{kind}_{name}" for name in weights for kind in ("w", "in", "start")]
     return (
-        join_null_safe(ranked, starts, [*by, "_bin"])
-        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_bin", "_inside", "_start", "_weight")
+        inside.join(starts, F.col("_key") == F.col("_bin_key"))
+        .withColumns(added)
+        .drop("_key", "_bin_key", *helpers)
     )
 
 
@@ -79,23 +88,15 @@ def rank_by_hash(
     digest: Column,
     tie: Sequence[str],
     by: Sequence[str] = (),
-    weight: Column | None = None,
-    name: str = "pos",
+    totals: Mapping[str, Column | None] = MappingProxyType({"pos": None}),
     hex_digits: int = HEX_DIGITS,
 ) -> DataFrame:
     """Rank by a hex digest. Its leading digits make 16**hex_digits even bins,
     so a group holding most of the rows is split like any other."""
-    return (
-        rank_in_bins(
-            df.withColumn("_digest", digest),
-            F.substring("_digest", 1, hex_digits),
-            [F.col("_digest"), *map(F.col, tie)],
-            by,
-            weight,
-            name,
-        )
-        .drop("_digest")
-    )
+    hashed = df.withColumn("_digest", digest)
+    bins = F.substring("_digest", 1, hex_digits)
+    order = [F.col("_digest"), *map(F.col, tie)]
+    return rank_in_bins(hashed, bins, order, by, totals).drop("_digest")
 
 
 def running_total(
@@ -104,13 +105,16 @@ def running_total(
     weight: Column,
     by: Sequence[str] = (),
     name: str = "start",
-    bin_size: int = 1 << 12,
+    bin_size: int | None = None,
 ) -> DataFrame:
     """Add the weight of all earlier rows, for a dense 0-based ``pos``, whose
-    value range cut into equal pieces makes even bins."""
-    return rank_in_bins(
-        df, F.expr(f"`{pos}` div {bin_size}"), [F.col(pos)], by, weight, name
-    )
+    value range cut into equal pieces makes even bins.
+
+    Without ``bin_size`` the rows are counted (a footer read on a written
+    table) to get at most ``MAX_BINS`` bins of at least ``MIN_BIN`` rows.
+    """
+    size = bin_size or max(MIN_BIN, -(-df.count() // MAX_BINS))
+    return rank_in_bins(df, F.expr(f"`{pos}` div {size}"), [F.col(pos)], by, {name: weight})
 
 
 def dense_index(

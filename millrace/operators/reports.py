@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,15 +34,11 @@ def mix_ratio(examples: DataFrame) -> DataFrame:
 
 
 def domain_stats(split_examples: DataFrame) -> DataFrame:
-    """``(split, domain, n, pct)``: count and share of each domain per split."""
+    """``(split, domain, n, pct)``: count and share of each domain per split.
+    The window sees one row per split and domain."""
     counts = split_examples.groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n"))
-    totals = (
-        counts.groupBy("split").agg(F.sum("n").alias("_total"))
-        .withColumnRenamed("split", "_split")
-    )
-    return counts.join(totals, F.col("split").eqNullSafe(F.col("_split"))).select(
-        "split", "domain", "n", percent(F.col("n"), F.col("_total")).alias("pct")
-    )
+    total = F.sum("n").over(Window.partitionBy("split"))
+    return counts.select("split", "domain", "n", percent(F.col("n"), total).alias("pct"))
 
 
 def domain_stats_wide(stats: DataFrame, domains: Sequence[str]) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.tokens import sample_key
+from millrace.functions.tokens import fragment_count, sample_key
 from millrace.operators.ranking import running_total
-from millrace.operators.tokenizing import fragments, window_total
+from millrace.operators.tokenizing import fragments
 
 
 def sharded_fragments(
@@ -22,15 +22,15 @@ def sharded_fragments(
     """Fragments with ``shard_idx``, ``shard_pos`` and ``sample_key``, filled
     in the order of (document position, fragment number) within ``by``.
 
-    ``documents`` has ``id, domain, ids``, a dense ``pos`` and the ``by``
-    columns; pass a written table, as it is read twice. A document's first
-    slot is the running total of fragments before it, so documents are
-    ordered, never the many fragments.
+    ``documents`` has ``id, domain, ids, n_tokens``, a dense ``pos`` and the
+    ``by`` columns; pass a written table, as it is read twice, the first time
+    without its arrays. A document's first slot is the running total of
+    fragments before it, so documents are ordered, never the many fragments.
     """
     if shard_size < 1:
         raise ValueError("shard_size must be at least 1")
     counted = documents.select(
-        "id", "domain", "ids", pos, *by, window_total(F.col("ids"), length, stride).alias("_k")
+        "id", "domain", "ids", pos, *by, fragment_count(F.col("n_tokens"), length, stride).alias("_k")
     )
     placed = running_total(counted, pos, F.col("_k"), by, name="_first")
     cut = fragments(placed, length, stride, pad_id, keep=(*by, "_first"))

@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import order_hash
 from millrace.operators.ranking import join_null_safe, rank_by_hash
+from millrace.session import pin
 
 
 def seeded_shuffle(df: DataFrame, seed: int, key: str = "id", name: str = "shuffle_pos") -> DataFrame:
     """Add each row's position in a permutation fixed by ``seed``."""
-    return rank_by_hash(df, order_hash(seed, F.col(key)), [key], name=name)
+    return rank_by_hash(df, order_hash(seed, F.col(key)), [key], totals={name: None})
 
 
-def shard_order(shards: DataFrame, seed: int, epoch: int, by: list[str] | None = None) -> DataFrame:
+def shard_order(shards: DataFrame, seed: int, epoch: int) -> DataFrame:
     """Per shard, its rank in this epoch's order and the reading position of
     its first sample. ``shards`` holds one row ``(shard_idx, n)`` per shard."""
     digest = order_hash(seed, epoch, F.col("shard_idx"))
-    by = by or []
-    ranked = rank_by_hash(shards, digest, ["shard_idx"], by, name="shard_rank")
-    return rank_by_hash(ranked, digest, ["shard_idx"], by, weight=F.col("n"), name="first_pos")
+    totals = {"shard_rank": None, "first_pos": F.col("n")}
+    return rank_by_hash(shards, digest, ["shard_idx"], totals=totals)
 
 
 def read_positions(samples: DataFrame, seed: int, epoch: int) -> DataFrame:
     """Add ``pos``: reading position when the shards come in shuffled order and
     the samples of a shard in stored order."""
-    shards = samples.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("n"))
-    order = shard_order(shards, seed, epoch).select("shard_idx", "first_pos")
+    shards = pin(samples.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("n")), "shards")
+    order = pin(shard_order(shards, seed, epoch).select("shard_idx", "first_pos"), "shard-order")
     return (
         join_null_safe(samples, order, ["shard_idx"])
         .withColumn("pos", F.col("first_pos") + F.col("shard_pos"))
@@ -54,30 +54,32 @@ def chunk_shuffle(
     df: DataFrame,
     seed: int,
     epoch: int,
+    rows: int,
     chunk: int = 500,
     group: int = 1000,
     pos: str = "pos",
 ) -> DataFrame:
     """Permute whole chunks of ``chunk`` positions inside runs of ``group``
-    chunks, keeping the order within a chunk; a short last chunk is kept."""
-    numbered = df.withColumn("_chunk", F.expr(f"`{pos}` div {chunk}"))
-    chunks = numbered.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    chunks, keeping the order within a chunk; a short last chunk is kept.
+
+    ``rows`` is the number of rows; with dense positions it fixes the chunks,
+    so their order is worked out without looking at the rows.
+    """
+    chunks = df.sparkSession.range(-(-rows // chunk)).select(
+        F.col("id").alias("_moved"),
+        F.least(F.lit(chunk), F.lit(rows) - F.col("id") * chunk).alias("_n"),
+        F.expr(f"id div {group}").alias("_group"),
+    )
     in_group = (
-        Window.partitionBy(F.expr(f"_chunk div {group}"))
-        .orderBy(order_hash(seed, epoch, F.col("_chunk")), F.col("_chunk"))
+        Window.partitionBy("_group")
+        .orderBy(order_hash(seed, epoch, F.col("_moved")), "_moved")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    first = F.expr(f"_chunk div {group}") * (chunk * group) + F.coalesce(
-        F.sum("_n").over(in_group), F.lit(0)
-    )
-    moved = chunks.select("_chunk", first.alias("_first"))
+    first = F.col("_group") * (chunk * group) + F.coalesce(F.sum("_n").over(in_group), F.lit(0))
+    placed = chunks.select("_moved", first.alias("_first"))
+    numbered = df.withColumn("_chunk", F.expr(f"`{pos}` div {chunk}"))
     return (
-        join_null_safe(numbered, moved, ["_chunk"])
+        numbered.join(placed, F.col("_chunk") == F.col("_moved"))
         .withColumn(pos, (F.col("_first") + F.col(pos) % chunk).cast("bigint"))
-        .drop("_chunk", "_first")
+        .drop("_chunk", "_moved", "_first")
     )
-
-
-def in_stored_order(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """Sort for writing: ranges of the order across files, sorted within."""
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)

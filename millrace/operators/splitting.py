@@ -97,4 +97,5 @@ def stratified_split(
 
 def split_positions(df: DataFrame, seed: int, key: str = "id", name: str = "split_pos") -> DataFrame:
     """Add each row's position in its split, a second seeded permutation."""
-    return rank_by_hash(df, order_hash(seed, "order", F.col(key)), [key], ["split"], name=name)
+    digest = order_hash(seed, "order", F.col(key))
+    return rank_by_hash(df, digest, [key], ["split"], {name: None})

@@ -75,13 +75,12 @@ class PreparedCorpus:
         """
         cfg = self.config
         rows = self.fragments.filter(F.col("split") == TRAIN)
+        n = self.length(TRAIN)
         keys = rows.select("shard_idx", "shard_pos", "sample_key")
         order = read_positions(keys, cfg.seed, epoch)
         order = block_shuffle(order, cfg.seed, epoch, "sample_key", max(cfg.shuffle_buffer // 2, 1))
-        order = chunk_shuffle(order, cfg.seed, epoch)
-        placed = with_batches(
-            order, cfg.batch_size, drop_last=True, rows=self.length(TRAIN)
-        )
+        order = chunk_shuffle(order, cfg.seed, epoch, n)
+        placed = with_batches(order, cfg.batch_size, drop_last=True, rows=n)
         return join_null_safe(
             rows, placed.select("sample_key", "pos", "batch_id", "batch_pos"), ["sample_key"]
         )
@@ -137,7 +136,9 @@ def prepare_corpus(
     parts = store.get("split", split, ["split"])
     tokens = store.get(
         "tokens",
-        lambda: encode(parts.select("id", "domain", "split", "split_pos", "text")).drop("text"),
+        lambda: encode(parts.select("id", "domain", "split", "split_pos", "text"))
+        .drop("text")
+        .withColumn("n_tokens", F.size("ids")),
         ["split"],
     )
     store.get(

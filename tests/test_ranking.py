@@ -58,13 +58,14 @@ def test_seeded_shuffle_is_the_md5_order(skewed, parts):
 
 def test_rank_by_hash_with_weight_and_groups(skewed):
     got = rank_by_hash(
-        skewed, order_hash(1, F.col("id")), ["id"], ["grp"], weight=F.col("tail") % 4, hex_digits=2
+        skewed, order_hash(1, F.col("id")), ["id"], ["grp"],
+        {"pos": F.col("tail") % 4, "rank": None}, hex_digits=2,
     ).collect()
     for grp in {r.grp for r in got}:
         total = 0
         mine = [r for r in got if r.grp == grp]
-        for r in sorted(mine, key=lambda r: md5(f"1:{r.id}")):
-            assert r.pos == total
+        for i, r in enumerate(sorted(mine, key=lambda r: md5(f"1:{r.id}"))):
+            assert (r.pos, r.rank) == (total, i)
             total += r.tail % 4
 
 
@@ -120,7 +121,7 @@ def test_block_shuffle_stays_in_its_block(samples):
 
 def test_chunk_shuffle_moves_whole_chunks(samples):
     base = read_positions(samples, 1, 0)
-    before, after = _keys(base), _keys(chunk_shuffle(base, 1, 0, chunk=8, group=5))
+    before, after = _keys(base), _keys(chunk_shuffle(base, 1, 0, 137, chunk=8, group=5))
     chunks = [before[i : i + 8] for i in range(0, 137, 8)]
     want = []
     for g in range(0, len(chunks), 5):

@@ -128,7 +128,7 @@ def test_fragments_rebuild_the_document(texts):
 
 def test_shards_fill_in_document_order(texts):
     docs = encode_hash(texts, 1000).selectExpr(
-        "*", "'train' as split", "cast(substring(id, 5) as bigint) as split_pos"
+        "*", "size(ids) as n_tokens", "'train' as split", "cast(substring(id, 5) as bigint) as split_pos"
     )
     sharded = sharded_fragments(docs, 6, 2, 5000, 25)
     rows = sorted(sharded.collect(), key=lambda r: (r.shard_idx, r.shard_pos))
