@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.cleaning import CLEANERS
 from millrace.operators.quota import Source, union_sources
-from millrace.session import pin
 
 SEED = 42
 MIN_WORDS = 10
@@ -60,15 +59,10 @@ def sources(spark: SparkSession, sf_dir: str) -> list[Source]:
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kept examples of both sources, for queries that read them once."""
+    """All kept examples of both sources: their written tables, numbered."""
     return union_sources(sources(spark, sf_dir), [None, None], MIN_WORDS)
 
 
-def pinned_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same written down, for queries that read them several times."""
-    return pin(examples(spark, sf_dir), "examples")
-
-
 # The same in SQL. The patterns are the plain form of the cleaning rules.
 _W = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.cleaning import clean_and_keep
-from millrace.operators.ranking import dense_index
-from millrace.session import pin, spread
+from millrace.operators.ranking import index_from_place, write_in_order
 
 
 @dataclass(frozen=True)
@@ -40,7 +39,8 @@ def _slice_bounds(rows: DataFrame, key: str, quota: int, total: int) -> list:
 
 
 def first_kept(source: Source, quota: int | None, min_words_exclusive: int = 10) -> DataFrame:
-    """Cleaned rows of ``source`` that pass the length filter, written down.
+    """Cleaned rows of ``source`` that pass the length filter, written in source
+    order with ``_slice`` and ``_place``.
 
     Without a quota below the table size this is one pass. With one, the table
     is cleaned in slices along the sort key, each twice the last, until enough
@@ -50,23 +50,26 @@ def first_kept(source: Source, quota: int | None, min_words_exclusive: int = 10)
     """
     rows = source.rows.select(*source.order, F.col(source.text).alias("text"))
 
-    def kept_in(part: DataFrame) -> DataFrame:
-        even = spread(part, *source.order)
-        return pin(clean_and_keep(even, source.cleaner, min_words_exclusive), "clean")
+    def kept_in(part: DataFrame, number: int) -> DataFrame:
+        def clean(ordered: DataFrame) -> DataFrame:
+            kept = clean_and_keep(ordered, source.cleaner, min_words_exclusive)
+            return kept.withColumn("_slice", F.lit(number))
+
+        return write_in_order(part, source.order, clean, "clean")
 
     key = source.order[0]
     sliceable = isinstance(rows.schema[key].dataType, T.IntegralType)
     total = rows.count() if quota is not None and sliceable else 0
     if quota is None or not sliceable or quota >= total:
-        return kept_in(rows)
+        return kept_in(rows, 0)
     parts, found, low = [], 0, None
-    for high in _slice_bounds(rows.select(key), key, quota, total):
-        # Rows without a key sort first, like Spark's ascending order.
+    for number, high in enumerate(_slice_bounds(rows.select(key), key, quota, total)):
         above = F.lit(True) if low is None else F.col(key) > F.lit(low)
         below = F.lit(True) if high is None else F.col(key) <= F.lit(high)
         if low is None and high is not None:
+            # Rows without a key sort first.
             below = below | F.col(key).isNull()
-        parts.append(kept_in(rows.filter(above & below)))
+        parts.append(kept_in(rows.filter(above & below), number))
         found += parts[-1].count()
         low = high
         if found >= quota:
@@ -79,24 +82,20 @@ def union_sources(
     quotas: Sequence[int | None],
     min_words_exclusive: int = 10,
 ) -> DataFrame:
-    """``(id, domain, text, pos)`` of all sources, one after the other."""
+    """``(id, domain, text, pos)`` of all sources, one after the other; ids
+    count from 0 within a source."""
     with ThreadPoolExecutor(len(sources)) as pool:
         # Sources are independent; their jobs share the cluster.
         kept_tables = list(
             pool.map(lambda s, q: first_kept(s, q, min_words_exclusive), sources, quotas)
         )
-        indexed = list(
-            pool.map(
-                lambda s, q, kept: dense_index(kept, s.order, name="idx", first=q),
-                sources,
-                quotas,
-                kept_tables,
-            )
-        )
     taken, offset = [], 0
-    for source, quota, kept, rows in zip(sources, quotas, kept_tables, indexed, strict=True):
+    for source, quota, kept in zip(sources, quotas, kept_tables, strict=True):
+        indexed = index_from_place(kept, slices="_slice")
+        if quota is not None:
+            indexed = indexed.filter(F.col("idx") < quota)
         taken.append(
-            rows.select(
+            indexed.select(
                 F.concat(F.lit(f"{source.domain}_"), F.col("idx").cast("string")).alias("id"),
                 F.lit(source.domain).alias("domain"),
                 "text",

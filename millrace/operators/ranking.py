@@ -5,13 +5,15 @@ Two ways, both independent of the physical partitioning:
 * ``rank_in_bins`` for keys that fall evenly into bins by themselves (a hash
   order, a dense integer). Rows are counted per bin, bins are prefix-summed,
   and each bin is ranked on its own: one exchange of the rows, keyed by bin.
-* ``dense_index`` for any unique sort key, however skewed. Only the key is
-  range-partitioned and sorted; the rows meet their index by a join on it.
+* ``write_in_order`` and ``index_from_place`` for any unique sort key, however
+  skewed: rows are range-partitioned, sorted and written with their place, and
+  the place becomes a rank by adding one offset per partition. ``dense_index``
+  does this to the key columns alone and joins the rows to their index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from types import MappingProxyType
 
@@ -117,6 +119,51 @@ def running_total(
     return rank_in_bins(df, F.expr(f"`{pos}` div {size}"), [F.col(pos)], by, {name: weight})
 
 
+def write_in_order(
+    df: DataFrame,
+    order: Sequence[str],
+    then: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    label: str = "ordered",
+) -> DataFrame:
+    """Range-partition and sort ``df``, apply the row-wise step ``then``, and
+    write the rows down with ``_place``: partition number in the high bits, row
+    number within the partition in the low 33. Once written, every reader sees
+    the same places. There are at least two partitions per core, and no fewer
+    than the scan had."""
+    spark = df.sparkSession
+    n = max(df.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)
+    rows = then(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    return pin(rows.withColumn("_place", F.monotonically_increasing_id()), label)
+
+
+def index_from_place(
+    placed: DataFrame, by: Sequence[str] = (), name: str = "idx", slices: str | None = None
+) -> DataFrame:
+    """Replace ``_place`` by the 0-based rank of the row (within ``by``).
+
+    Rows of a group are contiguous in every partition, so a partition needs one
+    count and one first place per group. That table has a row per partition and
+    is broadcast; with ``by`` it could be larger and the optimizer decides.
+    ``slices`` names a column that orders several written tables.
+    """
+    part = ([slices] if slices else []) + ["_part"]
+    rows = placed.withColumn("_part", F.shiftright("_place", 33))
+    before = Window.partitionBy(*by).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy(*by, *part)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
+    )
+    starts = starts if by else F.broadcast(starts)
+    index = F.col("_start") + F.col("_place") - F.col("_first")
+    return (
+        join_null_safe(rows, starts, [*by, *part])
+        .withColumn(name, index.cast("bigint"))
+        .drop("_place", "_start", "_first", *part)
+    )
+
+
 def dense_index(
     df: DataFrame,
     order: Sequence[str],
@@ -130,30 +177,8 @@ def dense_index(
     ``order`` must be unique within ``by``. ``df`` is read twice, once for the
     key columns alone, so pass a written table if it is costly to derive.
     """
-    by, order = list(by), list(order)
     keys = [*by, *order]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The low 33 bits count rows inside a sorted partition, the high bits name
-    # the partition; written down once, both passes below see the same values.
-    placed = pin(
-        df.select(*keys)
-        .repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_place", F.monotonically_increasing_id()),
-        "index",
-    ).withColumn("_part", F.shiftright("_place", 33))
-    runs = placed.groupBy(*by, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")
-    )
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(
-        *by, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    # One row per range partition without ``by``: small by construction.
-    starts = starts if by else F.broadcast(starts)
-    ranked = join_null_safe(placed, starts, [*by, "_part"]).select(
-        *keys, (F.col("_start") + F.col("_place") - F.col("_first")).cast("bigint").alias(name)
-    )
+    ranked = index_from_place(write_in_order(df.select(*keys), keys), by, name)
     if first is not None:
         ranked = ranked.filter(F.col(name) < first)
     if set(df.columns) == set(keys):
