@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import EXAMPLES_CTE, examples
+from millrace.functions import table_functions
 from millrace.functions.tokens import FALLBACK_PAD_ID, truncate_at_eos
 from millrace.operators import metrics, tokenizing
 
@@ -70,6 +71,19 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fragments_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fragments by the SQL table function."""
+    table_functions.register(spark)
+    rows = spark.sql(
+        f"""SELECT id AS original_id, domain, w.fragment_idx, w.input_ids
+            FROM {{coded}}, LATERAL token_windows(ids, {LENGTH}, {STRIDE}, {PAD_ID}) AS w""",
+        coded=hashed(spark, sf_dir),
+    )
+    return rows.select(
+        "original_id", "domain", "fragment_idx", joined("input_ids").alias("input_ids")
+    )
+
+
 def fragment_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     pads = F.size(F.filter("input_ids", lambda t: t == PAD_ID))
     return cut(spark, sf_dir).groupBy("domain").agg(
@@ -149,6 +163,10 @@ _ENCODED_VOCAB = f"""WITH {EXAMPLES_CTE}, {_VOCAB}
            string_agg(CAST(coalesce(token_id, {UNK_ID}) AS VARCHAR), ',' ORDER BY place) AS ids
     FROM words LEFT JOIN vocab USING (token) GROUP BY id"""
 
+_FRAGMENTS = f"""WITH {TOKENS_CTE}, {windows_sql("tokens")}
+    SELECT original_id, domain, fragment_idx, array_to_string({PADDED}, ',') AS input_ids
+    FROM cuts"""
+
 QUERIES = {
     "vocab_top": vocab_top,
     "encode_vocab": encode_vocab,
@@ -156,6 +174,7 @@ QUERIES = {
     "encode_hash": encode_hash,
     "encode_custom": encode_custom,
     "fragments": fragments,
+    "fragments_in_sql": fragments_in_sql,
     "fragment_padding": fragment_padding,
     "fragment_mask": fragment_mask,
     "next_token_pairs": next_token_pairs,
@@ -173,9 +192,8 @@ ORACLES = {
                 lambda w: len(w) * 128 + unicode(right(w, 1)) % 128) AS ids
             FROM examples)"""
     ),
-    "fragments": f"""WITH {TOKENS_CTE}, {windows_sql("tokens")}
-        SELECT original_id, domain, fragment_idx, array_to_string({PADDED}, ',') AS input_ids
-        FROM cuts""",
+    "fragments": _FRAGMENTS,
+    "fragments_in_sql": _FRAGMENTS,
     "fragment_padding": f"""WITH {TOKENS_CTE}, {windows_sql("tokens")}
         SELECT domain, count(*) AS n_fragments,
                CAST(sum(len({PADDED})) AS BIGINT) AS n_slots,

@@ -14,12 +14,12 @@ Two ways, both independent of the physical partitioning:
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from millrace.operators.joining import join_null_safe
 from millrace.session import pin
 
 HEX_DIGITS = 4
@@ -27,17 +27,6 @@ MAX_BINS = 16**HEX_DIGITS
 MIN_BIN = 1024
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner equi-join on same-named columns in which nulls match."""
-    renamed = right.select(
-        *[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns]
-    )
-    condition = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    )
-    return left.join(renamed, condition).drop(*[f"_r_{c}" for c in on])
-
-
 def rank_in_bins(
     df: DataFrame,
     bin_of: Column,

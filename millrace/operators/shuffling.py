@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import order_hash
-from millrace.operators.ranking import join_null_safe, rank_by_hash
+from millrace.operators.joining import join_null_safe
+from millrace.operators.ranking import rank_by_hash
 from millrace.session import pin
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import order_hash
-from millrace.operators.ranking import HEX_DIGITS, join_null_safe, rank_by_hash
+from millrace.operators.joining import join_lookup, join_null_safe
+from millrace.operators.ranking import HEX_DIGITS, rank_by_hash
 from millrace.session import pin
 
 TRAIN, VALIDATION = "train", "validation"
@@ -87,11 +88,10 @@ def stratified_split(
     )
     own = F.struct("_digest", F.col(key).alias("_key"))
     is_val = F.coalesce(own <= F.col("_cut"), F.lit(False))
-    renamed = cuts.withColumnRenamed(domain, "_domain")
     return (
-        hashed.join(renamed, F.col(domain).eqNullSafe(F.col("_domain")), "left")
+        join_lookup(hashed, cuts, domain, key)
         .withColumn("split", F.when(is_val, F.lit(VALIDATION)).otherwise(F.lit(TRAIN)))
-        .drop("_digest", "_domain", "_cut")
+        .drop("_digest", "_cut")
     )
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.config import CorpusConfig
 from millrace.operators.batching import with_batches
+from millrace.operators.joining import join_null_safe
 from millrace.operators.quota import union_sources
-from millrace.operators.ranking import join_null_safe
 from millrace.operators.reports import attribution, domain_stats
 from millrace.operators.sharding import sharded_fragments
 from millrace.operators.shuffling import (
@@ -46,7 +46,7 @@ class PreparedCorpus:
 
     @property
     def attribution(self) -> DataFrame:
-        return self.store.read("attribution")
+        return self.store.read("attribution", "json")
 
     @property
     def split(self) -> DataFrame:
@@ -127,7 +127,7 @@ def prepare_corpus(
             examples, config.attribution, labels, config.min_words_exclusive, processing_date
         )
 
-    store.get("attribution", about)
+    store.get("attribution", about, file_format="json")
 
     def split() -> DataFrame:
         marked = stratified_split(examples, config.val_ratio, config.seed)

@@ -39,20 +39,20 @@ class StageStore:
         stage: str,
         build: Callable[[], DataFrame],
         partition_by: Sequence[str] = (),
+        file_format: str = "parquet",
     ) -> DataFrame:
-        """The stored stage, built and written first if it is not there. The
-        schema is that of the built table; partition columns come last."""
+        """The stored stage, built and written first if it is not there."""
         if not self.exists(stage):
-            df = build()
-            df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(stage))
-            self._record(stage)
-        return self.read(stage)
+            writer = build().write.mode("overwrite").partitionBy(*partition_by)
+            writer.format(file_format).save(self.path(stage))
+            self._record(stage, file_format)
+        return self.read(stage, file_format)
 
-    def read(self, stage: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(stage))
+    def read(self, stage: str, file_format: str = "parquet") -> DataFrame:
+        return self.spark.read.format(file_format).load(self.path(stage))
 
-    def _record(self, stage: str) -> None:
-        df = self.read(stage)
+    def _record(self, stage: str, file_format: str) -> None:
+        df = self.read(stage, file_format)
         split = F.col("split") if "split" in df.columns else F.lit(None).cast("string")
         shards = F.max("shard_idx") + 1 if "shard_idx" in df.columns else F.lit(None)
         counts = df.groupBy(split.alias("split")).agg(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import order_hash, uniform
+from millrace.operators.joining import join_lookup
 from millrace.operators.ranking import dense_index, rank_by_hash, running_total
 from millrace.operators.shuffling import (
     block_shuffle,
@@ -12,6 +13,7 @@ from millrace.operators.shuffling import (
     seeded_shuffle,
     shard_order,
 )
+from millrace.session import pin
 
 
 def md5(text):
@@ -136,3 +138,14 @@ def test_uniform_is_reproducible_and_spread(spark):
     assert all(0 <= u < 1 for u in us)
     assert abs(sum(us) / 2000 - 0.5) < 0.03
     assert us == [r.u for r in spark.range(2000).select(uniform(3, F.col("id")).alias("u")).collect()]
+
+
+@pytest.mark.parametrize("rows", [10, 1])
+def test_lookup_join_small_and_large(spark, skewed, rows):
+    lookup = pin(
+        spark.createDataFrame([("big", 1), ("g0", 2), (None, 3)], "grp string, v int")
+    )
+    left = skewed.union(spark.createDataFrame([(None, 1, 5000, "id_null")], skewed.schema))
+    got = {r.id: r.v for r in join_lookup(left, lookup, "grp", "id", rows).collect()}
+    want = {"big": 1, "g0": 2, None: 3}
+    assert got == {r.id: want.get(r.grp) for r in left.collect()}

@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import table_functions
 from millrace.functions.tokens import (
     attention_mask,
     fragment_count,
@@ -57,6 +58,18 @@ def test_windows_padding_and_mask(spark, length, stride):
             assert r.m == [1] * len(r.w) + [0] * (length - len(r.w))
 
 
+def test_table_function_in_sql(spark):
+    table_functions.register(spark)
+    for n in (0, 1, 8, 9, 14, 15, 33):
+        ids = list(range(1, n + 1))
+        text = f"cast(array({', '.join(map(str, ids))}) as array<int>)"
+        rows = spark.sql(f"SELECT * FROM token_windows({text}, 8, 2, 99)").collect()
+        want = windows(ids, 8, 2)
+        assert [r.input_ids for r in rows] == [w + [99] * (8 - len(w)) for w in want]
+        assert [sum(r.attention_mask) for r in rows] == [len(w) for w in want]
+        assert [r.fragment_idx for r in rows] == list(range(len(want)))
+
+
 def test_window_arguments(spark):
     with pytest.raises(ValueError):
         token_windows(F.array(), 8, 8)
