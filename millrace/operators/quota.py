@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 from millrace.functions.cleaning import clean_and_keep
 from millrace.operators.ranking import index_from_place, write_in_order
+from millrace.session import pin
+
+Save = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -38,8 +41,10 @@ def _slice_bounds(rows: DataFrame, key: str, quota: int, total: int) -> list:
     return [*sorted(set(cuts)), None]
 
 
-def first_kept(source: Source, quota: int | None, min_words_exclusive: int = 10) -> DataFrame:
-    """Cleaned rows of ``source`` that pass the length filter, written in source
+def first_kept(
+    source: Source, quota: int | None, min_words_exclusive: int = 10, save: Save = pin
+) -> DataFrame:
+    """Cleaned rows of ``source`` that pass the length filter, saved in source
     order with ``_slice`` and ``_place``.
 
     Without a quota below the table size this is one pass. With one, the table
@@ -55,7 +60,8 @@ def first_kept(source: Source, quota: int | None, min_words_exclusive: int = 10)
             kept = clean_and_keep(ordered, source.cleaner, min_words_exclusive)
             return kept.withColumn("_slice", F.lit(number))
 
-        return write_in_order(part, source.order, clean, "clean")
+        label = f"clean-{source.domain}-{number}"
+        return write_in_order(part, source.order, clean, label, save)
 
     key = source.order[0]
     sliceable = isinstance(rows.schema[key].dataType, T.IntegralType)
@@ -81,13 +87,18 @@ def union_sources(
     sources: Sequence[Source],
     quotas: Sequence[int | None],
     min_words_exclusive: int = 10,
+    save: Save = pin,
 ) -> DataFrame:
     """``(id, domain, text, pos)`` of all sources, one after the other; ids
-    count from 0 within a source."""
+    count from 0 within a source.
+
+    The cleaned rows are saved; the result is a view on them that adds the
+    numbers by one broadcast join, so reading it again costs little.
+    """
     with ThreadPoolExecutor(len(sources)) as pool:
         # Sources are independent; their jobs share the cluster.
         kept_tables = list(
-            pool.map(lambda s, q: first_kept(s, q, min_words_exclusive), sources, quotas)
+            pool.map(lambda s, q: first_kept(s, q, min_words_exclusive, save), sources, quotas)
         )
     taken, offset = [], 0
     for source, quota, kept in zip(sources, quotas, kept_tables, strict=True):

@@ -113,16 +113,19 @@ def write_in_order(
     order: Sequence[str],
     then: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     label: str = "ordered",
+    save: Callable[[DataFrame, str], DataFrame] = pin,
 ) -> DataFrame:
     """Range-partition and sort ``df``, apply the row-wise step ``then``, and
-    write the rows down with ``_place``: partition number in the high bits, row
+    ``save`` the rows with ``_place``: partition number in the high bits, row
     number within the partition in the low 33. Once written, every reader sees
-    the same places. There are at least two partitions per core, and no fewer
-    than the scan had."""
+    the same places."""
     spark = df.sparkSession
-    n = max(df.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)
+    n = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        2 * spark.sparkContext.defaultParallelism,
+    )
     rows = then(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    return pin(rows.withColumn("_place", F.monotonically_increasing_id()), label)
+    return save(rows.withColumn("_place", F.monotonically_increasing_id()), label)
 
 
 def index_from_place(

@@ -39,10 +39,7 @@ class PreparedCorpus:
     spark: SparkSession
     config: CorpusConfig
     store: StageStore
-
-    @property
-    def clean(self) -> DataFrame:
-        return self.store.read("clean")
+    clean: DataFrame
 
     @property
     def attribution(self) -> DataFrame:
@@ -115,11 +112,11 @@ def prepare_corpus(
         raise ValueError("name the tokenizer in the configuration if and only if you supply it")
     encode = encode or (lambda df: encode_hash(df, config.vocab_size))
 
-    def clean() -> DataFrame:
-        sources = [read_source(spark, s) for s in config.sources]
-        return union_sources(sources, config.quotas(), config.min_words_exclusive)
+    def save(rows: DataFrame, stage: str) -> DataFrame:
+        return store.get(stage, lambda: rows)
 
-    examples = store.get("clean", clean)
+    sources = [read_source(spark, s) for s in config.sources]
+    examples = union_sources(sources, config.quotas(), config.min_words_exclusive, save)
 
     def about() -> DataFrame:
         labels = {s.domain: s.label or s.domain for s in config.sources}
@@ -148,4 +145,4 @@ def prepare_corpus(
         ),
         ["split"],
     )
-    return PreparedCorpus(spark, config, store)
+    return PreparedCorpus(spark, config, store, examples)

@@ -65,9 +65,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="millrace-scratch-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    sc = spark.sparkContext
+    if not hasattr(sc, "_millrace_scratch"):
+        sc._millrace_scratch = tempfile.mkdtemp(prefix="millrace-scratch-")
+    return sc._millrace_scratch
 
 
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
