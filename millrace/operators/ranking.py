@@ -119,12 +119,7 @@ def write_in_order(
     ``save`` the rows with ``_place``: partition number in the high bits, row
     number within the partition in the low 33. Once written, every reader sees
     the same places."""
-    spark = df.sparkSession
-    n = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        2 * spark.sparkContext.defaultParallelism,
-    )
-    rows = then(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    rows = then(df.repartitionByRange(*order).sortWithinPartitions(*order))
     return save(rows.withColumn("_place", F.monotonically_increasing_id()), label)
 
 

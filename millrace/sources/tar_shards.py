@@ -215,16 +215,16 @@ def write_shards(sharded: DataFrame, path: str, prefix: str, tasks: int | None =
     """Write fragments with ``shard_idx`` and ``shard_pos`` as tar shards,
     replacing those of the same prefix.
 
-    One exchange by shard number; every shard has a fixed size, so no task is
-    heavier than its number of shards. The arrays become JSON text after it.
+    One exchange by shard number, into ``tasks`` partitions or what the adaptive
+    planner makes of the shuffle partitions; every shard has a fixed size, so no
+    task is heavier than its number of shards. The arrays become JSON text
+    after the exchange.
     """
-    spark = sharded.sparkSession
-    register(spark)
-    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    register(sharded.sparkSession)
     has_mask = "attention_mask" in sharded.columns
     mask = F.to_json("attention_mask") if has_mask else F.lit(None).cast("string")
     (
-        sharded.repartition(n, "shard_idx")
+        sharded.repartition(*([tasks] if tasks else []), "shard_idx")
         .sortWithinPartitions("shard_idx", "shard_pos")
         .select(
             "shard_idx",
