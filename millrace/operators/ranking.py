@@ -129,8 +129,9 @@ def index_from_place(
     """Replace ``_place`` by the 0-based rank of the row (within ``by``).
 
     Rows of a group are contiguous in every partition, so a partition needs one
-    count and one first place per group. That table has a row per partition and
-    is broadcast; with ``by`` it could be larger and the optimizer decides.
+    count and one first place per group. That table is written down, so later
+    readers of the result do not derive it again. It has a row per partition
+    and is broadcast; with ``by`` it may be larger and its size decides.
     ``slices`` names a column that orders several written tables.
     """
     part = ([slices] if slices else []) + ["_part"]
@@ -142,6 +143,7 @@ def index_from_place(
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    starts = pin(starts, "offsets")
     starts = starts if by else F.broadcast(starts)
     index = F.col("_start") + F.col("_place") - F.col("_first")
     return (
