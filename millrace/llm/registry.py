@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing
+from millrace.llm import decontaminate, mixing
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,47 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mix": op1_source_mix,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op8_benchmark_decontamination": f"""
+WITH items AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n,
+           array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+    FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0
+),
+docs AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+found AS (
+    SELECT doc_id, item_id, i, sizes.n AS n
+    FROM docs, (SELECT DISTINCT n FROM windows) AS sizes, unnest(range(1, len(w) - sizes.n + 2)) AS u(i)
+    JOIN windows ON windows.n = sizes.n AND windows.t = array_to_string(w[i:i + sizes.n - 1], ' ')
+),
+hit AS (SELECT DISTINCT doc_id, j FROM found, unnest(range(i, i + n)) AS u(j)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM hit GROUP BY 1),
+names AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY 1
+)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""",
+}
 
 
 def queries() -> dict[str, Query]:
