@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, simhash
+from millrace.llm import decontaminate, embedding_dedup, mixing, simhash
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,16 +37,43 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mix": op1_source_mix,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    # Exact where a label has no more rows than a leaf, as in the correctness runs.
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+),
+ok AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+      AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+      ON a.label = b.label AND a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM v
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op8_benchmark_decontamination": f"""
 WITH items AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
 windows AS (
