@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, embedding_dedup, mixing, quality, simhash, toxicity
+from millrace.llm import decontaminate, embedding_dedup, language_model, mixing, quality, simhash, toxicity
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_source_mix": op1_source_mix,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_language_model": op7_language_model,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
