@@ -152,15 +152,30 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, ``fp`` (long), ``component_id``."""
     rows = pin(with_fingerprints(docs.select(id_col, text_col), text_col, shingle).select(id_col, "fp"), "fingerprints")
-    return labelled(rows, id_col)
+    return labelled(rows, id_col).drop("class")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id (of several
+    such rows any one; null ids last)."""
+    numbered = with_fingerprints(docs, text_col, shingle).withColumn("_row", F.monotonically_increasing_id())
+    table = pin(numbered, "fingerprinted")
+    rows = labelled(table.select(F.col(id_col).alias("_id"), "_row", "fp"), "_id")
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")
+    first = rows.groupBy("class").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    groups = pin(first.select("class", F.col("_first._row").alias("_kept")), "groups")
+    # Rows to drop are few or many; the planner sees the size of the written table.
+    dropped = pin(rows.join(groups, "class").where("_row != _kept").select("_row"), "dropped")
+    return table.join(dropped, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def labelled(rows: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` (a written table with ``fp``) with ``component_id``."""
+    """``rows`` (of a written table with ``fp``) with ``class``, a number of the
+    component, and ``component_id``."""
     fps = pin(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = components(links(fps.select("fp"))).withColumnsRenamed({"node": "fp", "root": "_root"})
     rooted = fps.join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
     best = rooted.groupBy("_root").agg(F.min("least").alias("component_id"))
-    named = pin(rooted.join(best, "_root").select("fp", "component_id"), "classes")
+    named = pin(rooted.join(best, "_root").select("fp", F.col("_root").alias("class"), "component_id"), "classes")
     # One fingerprint may own most rows; the adaptive planner splits it here.
     return rows.join(named, "fp", "left")
