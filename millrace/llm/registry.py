@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, embedding_dedup, language_model, mixing, quality, simhash, token_files, toxicity
+from millrace.llm import decontaminate, embedding_dedup, language_model, line_dedup, mixing, quality, simhash, token_counts, token_files, toxicity
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,34 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_spread_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.col("clean_text").cast("binary")).alias("clean_md5")
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count all documents, then recount them after two edits each."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    change = lambda pos, removed, new: F.struct(
+        pos.cast("int").alias("pos"), F.lit(removed).alias("removed"), new.alias("inserted")
+    )
+    edits = F.array(
+        change(F.floor(size / 3), 12, F.lit(" (edited)")),
+        change(F.floor(size / 2), 0, F.concat(F.lit("rev"), F.col("doc_id").cast("string"), F.lit(" "))),
+    )
+    counted = token_counts.count_tokens(docs).withColumn("edits", edits)
+    return token_counts.recount(counted).select(
+        "doc_id",
+        "n_tokens",
+        F.col("recounted.n_tokens").alias("n_tokens_edited"),
+        F.length("recounted.text").cast("long").alias("n_chars_edited"),
+        F.col("recounted.encoded_chars").alias("encoded_chars"),
+    )
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +91,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_source_mix": op1_source_mix,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_toxicity": op6_toxicity,
@@ -76,6 +106,27 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _PLAIN_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": """
+WITH lines AS (
+    SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+    FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)
+),
+spread AS (
+    SELECT trim(line, ' ') AS line FROM lines WHERE trim(line, ' ') != ''
+    GROUP BY 1 HAVING count(DISTINCT source) >= 5
+),
+marked AS (
+    SELECT doc_id, i, line, trim(line, ' ') IN (SELECT line FROM spread) AS gone FROM lines
+),
+kept AS (
+    SELECT doc_id, count(*) AS n_lines, sum(CAST(gone AS INTEGER)) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS clean
+    FROM marked GROUP BY 1
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+       CASE WHEN text IS NOT NULL THEN md5(clean) END AS clean_md5
+FROM documents d LEFT JOIN kept USING (doc_id)""",
     # Exact where a label has no more rows than a leaf, as in the correctness runs.
     "op10_embedding_near_dedup": """
 WITH RECURSIVE v AS (
@@ -83,7 +134,7 @@ WITH RECURSIVE v AS (
 ),
 ok AS (
     SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
-      AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
 ),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b

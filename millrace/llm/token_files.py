@@ -105,8 +105,8 @@ class PieceEncoder:
         self.used += len(flat)
         self.number.update(zip(new, range(first, first + len(new))))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each has."""
+    def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' pieces, one text after another, and how many each has."""
         keys: list = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -120,13 +120,22 @@ class PieceEncoder:
         new = list(dict.fromkeys(k for k in keys if k not in self.number))
         for at in range(0, len(new), 50_000):
             self._learn(new[at : at + 50_000])
-        at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys)), counts
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        at, counts = self._places(texts)
         size = self.size[at]
         ends = np.cumsum(size)
         where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)
         doc = np.repeat(np.arange(len(texts)), counts)
         return self.pool[where], np.bincount(doc, size, minlength=len(texts)).astype(np.int64)
 
+    def piece_sizes(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Number of ids of each piece, by text."""
+        at, counts = self._places(texts)
+        return np.split(self.size[at], np.cumsum(counts)[:-1])
+
 
 _ENCODERS: dict[int, PieceEncoder] = {}
 
