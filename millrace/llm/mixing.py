@@ -44,7 +44,7 @@ def word_count(text: Column) -> Column:
 def text_quality(text: Column, size: Column) -> Column:
     """A cheap quality weight in (0, 1]: near 1 for a mean word length usual in
     prose, falling as words get much shorter or longer."""
-    mean = (F.length(text) - size + 1) / size
+    mean = F.try_divide((F.length(text) - size + 1).cast("double"), size)
     return F.coalesce(F.exp(-F.abs(F.log(mean / 5.5))), F.lit(LEAST_QUALITY))
 
 
@@ -109,7 +109,7 @@ def source_targets(
         water * F.col("_w")
     )
     size = F.col("source_size")
-    epochs = F.when(size > 0, F.floor(F.col("_target") / size)).otherwise(0).cast("long")
+    epochs = F.coalesce(F.floor(F.try_divide(F.col("_target"), size)), F.lit(0)).cast("long")
     return (
         filled.withColumn("_target", target)
         .withColumn("_epochs", epochs)
