@@ -1,9 +1,9 @@
 """Embedding near-duplicates with a forest of random-projection trees.
 
 A tree splits recursively: at each level a random direction, at each node a
-threshold, the median of a sample's projections there. Vectors within ``MARGIN`` of
-a threshold go to both sides, so that close pairs rarely part; ``TREES`` trees catch
-what one misses. Rows of one label in one leaf are compared by a matrix product in
+threshold, the median of a sample's projections there. Vectors near a threshold go to both
+sides, so that close pairs rarely part: within ``SPILL`` standard deviations of the
+projected difference of a pair at the limit. ``TREES`` trees catch what one misses. Rows of one label in one leaf are compared by a matrix product in
 double precision. A pair that meets in several leaves counts in the first one only,
 which both rows know from the list of leaves they carry, so no pair is ever emitted or
 deduplicated: a leaf returns link counts per row and a spanning forest of its links.
@@ -36,7 +36,7 @@ from millrace.session import pin
 
 COSINE = 0.98
 TREES = 5
-MARGIN = 0.01
+SPILL = 0.5
 LEAF_ROWS = 512
 GROUP_ROWS = 2048
 MAX_DEPTH = 18
@@ -88,7 +88,7 @@ class Forest:
                 node = node * 2 + (side >= cut[node])
                 holder = np.repeat(holder, 2)
 
-    def leaves(self, vectors: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    def leaves(self, vectors: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the numbers of the leaves they fall in, in order of rows."""
         rows, codes = [], []
         for t in range(self.trees):
@@ -111,7 +111,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, lengths)
 
 
-def _indexed(nodes: DataFrame, shared) -> DataFrame:
+def _indexed(nodes: DataFrame, shared, cosine: float) -> DataFrame:
     """One row for each node and leaf, with the list of all the node's leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,9 @@ def _indexed(nodes: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                row, code = forest.leaves(unit(_matrix(part.column(2))))
+                vectors = unit(_matrix(part.column(2)))
+                margin = SPILL * np.sqrt(2 * (1 - cosine) / vectors.shape[1])
+                row, code = forest.leaves(vectors, margin)
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 all_leaves = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code, pa.int64()))
                 taken = part.take(pa.array(row))
@@ -185,7 +187,7 @@ def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, largest) / LEAF_ROWS)))))
     sample = nodes.orderBy(F.xxhash64("rep", "v")).limit(SAMPLE_ROWS).select("v").toArrow()
     forest = Forest(unit(_matrix(sample.column(0).combine_chunks())), depth)
-    indexed = _indexed(nodes, spark.sparkContext.broadcast(forest))
+    indexed = _indexed(nodes, spark.sparkContext.broadcast(forest), cosine)
     large = (
         indexed.groupBy("leaf", "label")
         .count()

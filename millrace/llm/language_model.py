@@ -195,7 +195,7 @@ class Automaton:
             logp, state[:n] = self.step(state[:n], words[at[:n] + step])
             total[:n] += np.where(at[:n] + step >= begin[:n], logp, 0.0)
             step += 1
-        return np.bincount(doc[order], total, minlength=len(size))
+        return np.bincount(doc[order], total, minlength=len(size)).astype(np.float64)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Consume a word in each state: its log probability and the next state."""
@@ -371,7 +371,7 @@ def partial_scores(texts: pa.Array, model: Automaton) -> list:
     doc = np.repeat(np.arange(docs), np.diff(bounds))
     inside = ids >= 0
     logs = np.log10(model.count + ADDED)
-    base = np.bincount(doc[inside], logs[ids[inside]], minlength=docs)
+    base = np.bincount(doc[inside], logs[ids[inside]], minlength=docs).astype(np.float64)  # no words: integers
     known = np.bincount(doc[inside], minlength=docs)
     walked = model.walk(np.where(inside, ids, len(model.words)), bounds)
     rare, owner = h[~inside], doc[~inside]
@@ -385,8 +385,8 @@ def partial_scores(texts: pa.Array, model: Automaton) -> list:
     return [
         pa.array(np.diff(bounds)),
         pa.array(known),
-        pa.array(base),
-        pa.array(walked),
+        pa.array(base, pa.float64()),
+        pa.array(walked, pa.float64()),
         pa.ListArray.from_arrays(cuts, pa.array(rare[at].view(np.int64))),
         pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
     ]
