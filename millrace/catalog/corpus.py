@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.inputs import (
     CLEANED_CTE,
+    EDGES,
     EXAMPLES_CTE,
     MATH,
     MIN_WORDS,
+    RAW_MATH,
+    RAW_WEB,
     WEB,
     WORDS_SQL,
     examples,
     math_rows,
     math_sql,
     noisy,
+    raw_sql,
     sources,
     table,
     web_rows,
@@ -136,9 +140,8 @@ _N_WEB = f"count(*) FILTER (domain = '{WEB}')"
 _N_MATH = f"count(*) FILTER (domain = '{MATH}')"
 
 ORACLES = {
-    "clean_web": f"SELECT doc_id AS ord, {web_sql(noisy('doc_id'))} AS text FROM documents",
-    "clean_math": f"""SELECT conv_id * 1000 + turn AS ord,
-        {math_sql(noisy('conv_id * 7 + turn'))} AS text FROM conversations""",
+    "clean_web": f"SELECT ord, {web_sql('text')} AS text FROM {RAW_WEB} AS r",
+    "clean_math": f"SELECT ord, {math_sql('text')} AS text FROM {RAW_MATH} AS r",
     "clean_html": f"""SELECT page_id, {web_sql('html')} AS as_web, {math_sql('html')} AS as_math
         FROM pages""",
     "keep_long": f"""WITH {CLEANED_CTE}
@@ -150,7 +153,7 @@ ORACLES = {
         FROM c WHERE {WORDS_SQL} > {MIN_WORDS} GROUP BY lang""",
     "quota_ids": f"""WITH {CLEANED_CTE},
         size AS (SELECT ((SELECT count(*) FROM documents)
-                 + (SELECT count(*) FROM conversations)) // 2 AS total),
+                 + (SELECT count(*) FROM conversations) + {2 * len(EDGES)}) // 2 AS total),
         quota AS (SELECT total, CAST(floor(total * CAST({QUOTA_RATIO} AS DOUBLE)) AS BIGINT) AS q
                   FROM size),
         numbered AS (
@@ -177,8 +180,12 @@ ORACLES = {
                {MIN_WORDS} AS min_words_exclusive
         FROM examples""",
     "jsonl_roundtrip": f"WITH {EXAMPLES_CTE} SELECT id, domain, text, pos FROM examples",
-    "stream_clean": f"""WITH {EXAMPLES_CTE}
-        SELECT id, domain, text, pos AS idx FROM examples WHERE domain = '{WEB}'""",
+    "stream_clean": f"""WITH c AS (
+            SELECT ord, {web_sql("text")} AS text
+            FROM {raw_sql("documents", "doc_id", "doc_id", edges=False)} AS r),
+        n AS (SELECT text, row_number() OVER (ORDER BY ord) - 1 AS idx FROM c
+              WHERE {WORDS_SQL} > {MIN_WORDS})
+        SELECT '{WEB}_' || idx AS id, '{WEB}' AS domain, text, idx FROM n""",
     "share_report": """WITH g AS (
             SELECT o_orderpriority, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT)
                 AS total

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def noisy(k: str) -> str:
-    """SQL for ``text`` with noise chosen by the integer expression ``k``."""
+    """SQL for the whole ``text`` with noise added, chosen by the integer expression ``k``."""
     odd_blanks = "\t\r\n\u00a0x\u2003y\u0085z\u001c."
     return f"""CASE ({k}) % 12
         WHEN 0 THEN text || ' see https://a.example.com/x?y=1#top and http://h:8080/z%20b'
@@ -32,22 +32,37 @@ def noisy(k: str) -> str:
         WHEN 6 THEN text || ' , odd ; spaces  !'
         WHEN 7 THEN 'file report-v1.pdf run.cgi ' || text
         WHEN 8 THEN text || ' ( ) (x) () (ab) (é )'
-        WHEN 9 THEN 'ten words are one too few for this filter ok'
-        WHEN 10 THEN ''
-        ELSE CASE WHEN ({k}) % 24 = 11 THEN NULL ELSE text END
+        ELSE text
     END"""
 
 
+# Rows beside the given ones, in both sources: (ord, text).
+EDGES = (
+    (-4, None),
+    (-3, ""),
+    (-2, "ten words are one too few for this filter ok"),
+    (-1, "eleven words are just enough to get through this filter here"),
+)
+
+
+def _with_edges(rows: DataFrame) -> DataFrame:
+    return rows.unionByName(rows.sparkSession.createDataFrame(EDGES, "ord bigint, text string"))
+
+
 def web_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ord"), F.expr(noisy("doc_id")).alias("text")
+    return _with_edges(
+        table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("ord"), F.expr(noisy("doc_id")).alias("text")
+        )
     )
 
 
 def math_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
-        F.expr("conv_id * 1000 + turn").alias("ord"),
-        F.expr(noisy("conv_id * 7 + turn")).alias("text"),
+    return _with_edges(
+        table(spark, sf_dir, "conversations").select(
+            F.expr("conv_id * 1000 + turn").alias("ord"),
+            F.expr(noisy("conv_id * 7 + turn")).alias("text"),
+        )
     )
 
 
@@ -63,7 +78,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_sources(sources(spark, sf_dir), [None, None], MIN_WORDS)
 
 
-# The same in SQL. The patterns are the plain form of the cleaning rules.
+# The same in SQL. The patterns, in the plain form of the cleaning rules.
 _W = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -80,7 +95,7 @@ _MATH_RULES = [
     (f"[{_W}]+", " "),
     (rf"www\.[^{_W}]+\.[\p{{L}}\p{{N}}_]+", ""),
     (f"[{_W}]([.,;:!?])", r"\1"),
-    (r"[a-zA-Z0-9_.\-]+\.(pdf|cgi)", ""),
+    (r"[a-zA-Z0-9_\-\.]+\.(pdf|cgi)", ""),
     (rf"\([{_W}]*\)", ""),
     (rf"\([{_W}]*[^\n][{_W}]*\)", ""),
     (f"[{_W}]+", " "),
@@ -104,20 +119,40 @@ def math_sql(text: str) -> str:
 
 WORDS_SQL = "CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END"
 
-CLEANED_CTE = f"""cleaned AS (
-    SELECT 0 AS source_no, '{WEB}' AS domain, doc_id AS ord,
-           {web_sql(noisy("doc_id"))} AS text
-    FROM documents
+_EDGES_SQL = ", ".join(
+    f"({ord_}, {'NULL' if text is None else repr(text)})" for ord_, text in EDGES
+)
+
+
+def raw_sql(table_name: str, key: str, number: str, edges: bool = True) -> str:
+    """The rows of a source as a subquery with ``ord`` and ``text``."""
+    more = f" UNION ALL SELECT * FROM (VALUES {_EDGES_SQL}) AS e(ord, text)" * edges
+    return f"(SELECT {key} AS ord, {noisy(number)} AS text FROM {table_name}{more})"
+
+
+RAW_WEB = raw_sql("documents", "doc_id", "doc_id")
+RAW_MATH = raw_sql("conversations", "conv_id * 1000 + turn", "conv_id * 7 + turn")
+
+
+def cleaned_cte(web: str = RAW_WEB, math: str = RAW_MATH) -> str:
+    return f"""cleaned AS (
+    SELECT 0 AS source_no, '{WEB}' AS domain, ord, {web_sql("text")} AS text FROM {web} AS w
     UNION ALL
-    SELECT 1, '{MATH}', conv_id * 1000 + turn, {math_sql(noisy("conv_id * 7 + turn"))}
-    FROM conversations
+    SELECT 1, '{MATH}', ord, {math_sql("text")} FROM {math} AS m
 )"""
 
-EXAMPLES_CTE = f"""{CLEANED_CTE},
+
+def examples_cte(cleaned: str, taken: str) -> str:
+    return f"""{cleaned},
 kept AS (SELECT * FROM cleaned WHERE {WORDS_SQL} > {MIN_WORDS}),
+numbered_kept AS (
+    SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) - 1 AS idx FROM kept),
 examples AS (
-    SELECT domain || '_' || (row_number() OVER (PARTITION BY domain ORDER BY ord) - 1) AS id,
-           domain, text,
+    SELECT domain || '_' || idx AS id, domain, text,
            CAST(row_number() OVER (ORDER BY source_no, ord) - 1 AS BIGINT) AS pos
-    FROM kept
+    FROM {taken}
 )"""
+
+
+CLEANED_CTE = cleaned_cte()
+EXAMPLES_CTE = examples_cte(CLEANED_CTE, "numbered_kept")

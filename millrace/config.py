@@ -21,6 +21,9 @@ class SourceSpec:
     order: Sequence[str] = ("ord",)
     text: str = "text"
     label: str = ""
+    key_types: Sequence[str] = ()
+    """SQL types of ``order`` in JSON records, which carry none; ``bigint`` each if
+    not given. Other formats bring their own."""
 
 
 @dataclass(frozen=True)

@@ -33,7 +33,7 @@ WEB_REMOVALS = (
 MATH_URL = rf"https?://[^{BLANKS}]+"
 MATH_HOST = r"www\.[^ ]+\.[\p{L}\p{N}_]+"
 MATH_PUNCTUATION = r" ([.,;:!?])"
-MATH_FILE = r"[a-zA-Z0-9_.\-]+\.(?:pdf|cgi)"
+MATH_FILE = r"[a-zA-Z0-9_\-\.]+\.(?:pdf|cgi)"
 MATH_EMPTY_BRACKETS = r"\( *\)"
 MATH_SHORT_BRACKETS = r"\( *[^\n] *\)"
 
@@ -43,7 +43,7 @@ MATH_SHORT_BRACKETS = r"\( *[^\n] *\)"
 _BLANK_RUN = rf"(?! [!-~])[^!-~](?<=[{BLANKS}])[{BLANKS}]*+"
 
 # A file name can only start where a run of its characters starts.
-_FILE_AT_RUN_START = r"(?<![a-zA-Z0-9_.\-])" + MATH_FILE
+_FILE_AT_RUN_START = r"(?<![a-zA-Z0-9_\-\.])" + MATH_FILE
 
 
 def _remove(text: Column, pattern: str) -> Column:

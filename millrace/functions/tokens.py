@@ -13,8 +13,8 @@ FALLBACK_PAD_ID = 100349
 
 
 def words(cleaned: Column) -> Column:
-    """Blank-separated tokens of a cleaned text; no tokens for ''."""
-    return F.filter(F.split(cleaned, " "), lambda w: w != "")
+    """Blank-separated tokens of a cleaned text; none for '' and for null."""
+    return F.filter(F.split(F.coalesce(cleaned, F.lit("")), " "), lambda w: w != "")
 
 
 def hash_token_ids(cleaned: Column, vocab_size: int) -> Column:

@@ -45,7 +45,11 @@ def first_kept(
     source: Source, quota: int | None, min_words_exclusive: int = 10, save: Save = pin
 ) -> DataFrame:
     """Cleaned rows of ``source`` that pass the length filter, saved in source
-    order with ``_slice`` and ``_place``.
+    order with ``_slice`` and ``_place``. A quota of 0 takes no rows.
+
+    Cleaning and filtering run in the scan, once, and what is kept is written;
+    only then are rows put in order, so the range bounds are sampled from the
+    written rows and the exchange moves nothing that the filter drops.
 
     Without a quota below the table size this is one pass. With one, the table
     is cleaned in slices along the sort key, each twice the last, until enough
@@ -56,13 +60,13 @@ def first_kept(
     rows = source.rows.select(*source.order, F.col(source.text).alias("text"))
 
     def kept_in(part: DataFrame, number: int) -> DataFrame:
-        def clean(ordered: DataFrame) -> DataFrame:
-            kept = clean_and_keep(ordered, source.cleaner, min_words_exclusive)
-            return kept.withColumn("_slice", F.lit(number))
-
         label = f"clean-{source.domain}-{number}"
-        return write_in_order(part, source.order, clean, label, save)
+        kept = clean_and_keep(part, source.cleaner, min_words_exclusive)
+        written = save(kept.withColumn("_slice", F.lit(number)), f"kept-{source.domain}-{number}")
+        return write_in_order(written, source.order, label=label, save=save)
 
+    if quota is not None and quota <= 0:
+        return kept_in(rows.limit(0), 0)
     key = source.order[0]
     sliceable = isinstance(rows.schema[key].dataType, T.IntegralType)
     total = rows.count() if quota is not None and sliceable else 0

@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.tokens import (
@@ -20,6 +22,8 @@ from millrace.functions.tokens import (
     token_windows,
     words,
 )
+from millrace.operators.ranking import index_from_place, write_in_order
+from millrace.session import pin
 
 MAX_LOOKUP_ENTRIES = 1_000_000
 SALTS = 32
@@ -35,17 +39,18 @@ def vocabulary(df: DataFrame, size: int, text: str = "text", first_id: int = 0)
     """``(token, n, token_id)``: the ``size`` most frequent tokens, ties by
     token, numbered from ``first_id``.
 
-    Only ``size`` candidate rows per partition reach the final numbering.
+    The counted tokens are range-partitioned by frequency and written, and their
+    place becomes their number: no step sees them all in one task.
     """
     counts = (
         df.select(F.explode(words(F.col(text))).alias("token"))
         .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((-F.count(F.lit(1))).alias("_rarity"))
+    )
+    ranked = index_from_place(write_in_order(pin(counts, "token-counts"), ["_rarity", "token"], label="tokens"))
+    return ranked.filter(F.col("idx") < size).select(
+        "token", (-F.col("_rarity")).alias("n"), (F.col("idx") + first_id).cast("int").alias("token_id")
     )
-    frequency = [F.col("n").desc(), F.col("token")]
-    top = counts.orderBy(*frequency).limit(size)
-    number = F.row_number().over(Window.orderBy(*frequency)) - 1 + first_id
-    return top.select("token", "n", number.cast("int").alias("token_id"))
 
 
 def encode_hash(df: DataFrame, vocab_size: int, text: str = "text", name: str = "ids") -> DataFrame:
@@ -57,38 +62,48 @@ def encode_vocab(
     vocab: DataFrame,
     unk_id: int,
     text: str = "text",
-    key: str = "id",
     name: str = "ids",
     max_lookup: int = MAX_LOOKUP_ENTRIES,
 ) -> DataFrame:
-    """Token ids under ``vocab``; tokens outside it get ``unk_id``.
+    """Token ids under ``vocab``; tokens outside it get ``unk_id``, a null text has
+    none.
 
-    A vocabulary of up to ``max_lookup`` entries is handed to the workers as a
-    dictionary and the texts stay where they are. A larger one is joined.
+    A vocabulary of up to ``max_lookup`` entries is handed to the workers, which
+    look up whole columns of tokens, and the texts stay where they are. A larger
+    one is joined, with the same result.
     """
-    entries = vocab.select("token", "token_id").limit(max_lookup + 1).toPandas()
-    if len(entries) > max_lookup:
-        return encode_by_join(df, vocab, unk_id, text, key, name)
-    lookup = df.sparkSession.sparkContext.broadcast(
-        dict(zip(entries["token"], entries["token_id"].astype(int)))
-    )
+    entries = vocab.select("token", F.col("token_id").cast("int")).limit(max_lookup + 1).toArrow()
+    if entries.num_rows > max_lookup:
+        return encode_by_join(df, vocab, unk_id, text, name)
+    shared = df.sparkSession.sparkContext.broadcast(entries.combine_chunks())
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        get = lookup.value.get
-        return texts.map(
-            lambda t: None if t is None else [get(w, unk_id) for w in t.split(" ") if w]
-        )
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        return _looked_up(texts, shared.value, unk_id)
 
     return df.withColumn(name, ids(F.col(text)))
 
 
+def _looked_up(texts: pa.Array, entries: pa.Table, unk_id: int) -> pa.Array:
+    """Lists of ids for texts of blank-separated tokens, by column operations."""
+    parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    tokens = parts.flatten()
+    real = pc.not_equal(tokens, "")
+    names, numbers = (entries.column(i).combine_chunks() for i in (0, 1))
+    place = pc.index_in(tokens.cast(names.type), value_set=names)
+    found = pc.fill_null(numbers.take(place), unk_id).filter(real)
+    # Tokens before each text, without the empty ones.
+    before = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(real.cast(pa.int64()))])
+    lengths = pc.cumulative_sum(pc.list_value_length(parts).cast(pa.int64()))
+    ends = before.take(pa.concat_arrays([pa.array([0], pa.int64()), lengths]))
+    return pa.ListArray.from_arrays(ends.cast(pa.int32()), found.cast(pa.int32()))
+
+
 def encode_by_join(
     df: DataFrame,
     vocab: DataFrame,
     unk_id: int,
     text: str = "text",
-    key: str = "id",
     name: str = "ids",
     salts: int = SALTS,
 ) -> DataFrame:
@@ -96,23 +111,25 @@ def encode_by_join(
 
     Tokens meet their ids in a join salted by position, which spreads a
     frequent token over ``salts`` tasks; the arrays are rebuilt per row, partly
-    before the exchange. Needs a unique ``key``.
+    before the exchange. The rows are written first, with a number of their own,
+    so no column has to be unique.
     """
-    tokens = df.select(key, F.posexplode(words(F.col(text))).alias("_pos", "token")).withColumn(
+    rows = pin(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    tokens = rows.select("_row", F.posexplode(words(F.col(text))).alias("_pos", "token")).withColumn(
         "_salt", F.col("_pos") % salts
     )
     salted = vocab.select("token", "token_id").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     found = tokens.join(salted, ["token", "_salt"], "left").select(
-        key, F.struct("_pos", F.coalesce("token_id", F.lit(unk_id)).alias("_id")).alias("_t")
+        "_row", F.struct("_pos", F.coalesce("token_id", F.lit(unk_id)).alias("_id")).alias("_t")
     )
-    arrays = found.groupBy(key).agg(
+    arrays = found.groupBy("_row").agg(
         F.transform(F.sort_array(F.collect_list("_t")), lambda t: t["_id"]).alias(name)
     )
     empty = F.array().cast("array<int>")
-    return df.join(arrays, key, "left").withColumn(
-        name, F.when(F.col(text).isNotNull(), F.coalesce(name, empty))
+    return (
+        rows.drop(name).join(arrays, "_row", "left").withColumn(name, F.coalesce(name, empty)).drop("_row")
     )
 
 

@@ -91,6 +91,7 @@ def test_fragments_and_hash_tokens_need_no_exchange_and_no_python(examples):
 
 def test_vocabulary_lookup_leaves_texts_in_place(examples):
     vocab = tokenizing.vocabulary(examples, 5)
+    assert "TakeOrderedAndProject" not in plan_of(vocab) and "SinglePartition" not in exchanges(vocab)
     plan = plan_of(tokenizing.encode_vocab(examples, vocab, 99))
     assert "Exchange" not in plan and "ArrowEvalPython" in plan
 

@@ -13,6 +13,7 @@ from millrace.operators.reports import (
     source_counts,
 )
 from millrace.operators.splitting import split_positions, stratified_split, validation_quotas
+from millrace.session import pin
 
 
 def texts(spark, n, hot=False):
@@ -33,7 +34,7 @@ def test_quotas_truncate():
 
 
 @pytest.mark.parametrize("hot", [False, True])
-@pytest.mark.parametrize("quota", [None, 1, 30, 399, 400, 1000])
+@pytest.mark.parametrize("quota", [None, 0, 1, 30, 399, 400, 1000])
 def test_quota_takes_the_first_kept_rows(spark, hot, quota):
     rows = texts(spark, 600, hot)
     source = Source("web", rows, ["a", "b"], web_clean)
@@ -51,6 +52,34 @@ def test_small_quota_cleans_a_small_prefix(spark):
     assert 20 <= kept.count() < 200
 
 
+def test_whole_quota_for_one_source(spark):
+    pair = [Source(d, texts(spark, 90), ["a", "b"], web_clean) for d in ("web", "math")]
+    got = union_sources(pair, source_quotas(40, (1.0,))).collect()
+    assert len(got) == 40 and {r.domain for r in got} == {"web"}
+
+
+def test_a_source_is_cleaned_once_and_filtered_before_the_exchange(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    counted = counted.asNondeterministic()
+    rows = texts(spark, 500).withColumn("text", counted("text"))
+    plans = []
+
+    def save(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return pin(df, label)
+
+    kept = first_kept(Source("web", rows, ["a", "b"], web_clean), None, save=save)
+    assert kept.count() == 333 and seen.value == 500
+    assert "Exchange" not in plans[0] and "Exchange" in plans[1]
+    assert "regexp_replace" in plans[0] and "regexp_replace" not in plans[1]
+
+
 def test_quota_counts_rows_without_a_key(spark):
     rows = texts(spark, 300).withColumn("a", F.when(F.col("b") != 1, F.col("a")))
     got = union_sources([Source("web", rows, ["a", "b"], web_clean)], [5]).collect()

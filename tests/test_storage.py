@@ -239,6 +239,21 @@ def test_json_source_with_missing_text(spark, tmp_path):
     assert {tuple(r) for r in source.rows.collect()} == {(1, "x"), (2, None)}
 
 
+def test_json_keys_of_other_types_and_unreadable_ones(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"ord": "k2", "text": "x"}\n{"ord": "k1", "text": "y"}\n')
+    spec = SourceSpec("web", str(tmp_path), format="json", key_types=("string",))
+    rows = read_source(spark, spec).rows.orderBy("ord").collect()
+    assert [tuple(r) for r in rows] == [("k1", "y"), ("k2", "x")]
+    with pytest.raises(Exception, match="does not fit its schema"):
+        read_source(spark, SourceSpec("web", str(tmp_path), format="json")).rows.collect()
+
+
+def test_source_without_its_text(spark, sf_dir):
+    spec = SourceSpec("web", f"{sf_dir}/documents.parquet", order=("doc_id",), text="content")
+    with pytest.raises(ValueError, match="no text column"):
+        read_source(spark, spec)
+
+
 def _write(folder, name, start, n):
     lines = [
         json.dumps({"ord": start + i, "text": " ".join(["w"] * (12 if i % 2 else 3))}) for i in range(n)

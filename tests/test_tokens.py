@@ -115,6 +115,17 @@ def test_both_vocabulary_encodings_agree(texts):
         assert {r.id: r.ids for r in df.collect()} == want
 
 
+def test_both_encodings_agree_on_repeated_and_missing_keys_and_texts(spark):
+    rows = [("x", "a b"), ("x", "b  a  c"), (None, "a"), ("y", None), ("z", ""), (None, " c ")]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    vocab = spark.createDataFrame([("a", 5), ("b", 6), ("", 9)], "token string, token_id int")
+    lookup = {"a": 5, "b": 6}
+    want = sorted((str(i), str(t), [lookup.get(w, 1) for w in (t or "").split()]) for i, t in rows)
+    for out in (encode_vocab(df, vocab, 1), encode_vocab(df, vocab, 1, max_lookup=1)):
+        assert out.columns == ["id", "text", "ids"]
+        assert sorted((str(r.id), str(r.text), r.ids) for r in out.collect()) == want
+
+
 def test_supplied_tokenizer(texts):
     class Lengths:
         def encode(self, batch):
