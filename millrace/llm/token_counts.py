@@ -1,7 +1,7 @@
 """Token counts that follow edits.
 
-A text is cut where the tokenizer's own cut always lies (at a space between characters
-that are no blanks) into leaves of about ``LEAF_CHARS`` characters, which can be encoded
+A text is cut where the tokenizer's own cut always lies (at a space or line feed between
+characters that are no blanks, or at a mark after a letter) into leaves of about ``LEAF_CHARS`` characters, which can be encoded
 independently. Over the leaves stands a tree of sums, an array in which node k has the
 children 2k and 2k+1: characters and tokens of each subtree.
 
@@ -93,11 +93,12 @@ class SumTree:
 
 def leaf_counts(text: str, encode: PieceEncoder) -> tuple[list[int], list[int]]:
     """Characters and tokens of a text's leaves."""
-    if not text:
+    return _leaves(*encode.pieces([text])[0])
+
+
+def _leaves(chars: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]:
+    if not len(chars):
         return [0], [0]
-    sizes = encode.piece_sizes([text])[0]
-    chars = np.fromiter(map(len, encode.pieces(text)), np.int64, len(sizes)) + 1  # with the space before
-    chars[0] -= 1
     leaf = (np.cumsum(chars) - 1) // LEAF_CHARS
     first = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
     return np.add.reduceat(chars, first).tolist(), np.add.reduceat(sizes, first).tolist()
@@ -153,7 +154,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str | None
         encode = encoder(shared.value)
 
         def work(texts: pa.Array) -> list:
-            trees = [SumTree.of_leaves(*leaf_counts(t or "", encode)) for t in texts.to_pylist()]
+            trees = [SumTree.of_leaves(*_leaves(*p)) for p in encode.pieces(texts)]
             return [
                 pa.array([t.total() for t in trees], pa.int64()),
                 _lists([t.chars for t in trees]),

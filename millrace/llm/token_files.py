@@ -19,9 +19,9 @@ segment is decoded on its own.
 
 Shards are ranges of the id, cut at quantiles of the id column alone, so only one
 exchange moves the texts; equal ids stay together, ordered by text. Texts are cut at
-single spaces between non-blank characters, where the tokenizer's own cut always lies,
-and each different piece is encoded once per worker (``CACHE_PIECES`` at most are
-remembered).
+single spaces and line feeds between non-blank characters, where the tokenizer's own cut
+always lies, and each different piece is encoded once per worker (about ``CACHE_PIECES``
+are remembered).
 
 Defined results: a null text is an empty one; a document without tokens has the end id
 alone; null ids come first; rows with equal ids are kept in the order of their texts; an
@@ -30,7 +30,6 @@ empty table gives an empty file. Special tokens' names in a text are ordinary te
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,18 +39,29 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import words
 from millrace.llm.words import slices
 from millrace.session import pin, scratch_path
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 SHARD_BYTES = 64 << 20  # of text
 LEVEL = 3
 
-_BESIDE_BLANK = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+# Blanks in ASCII (with the separators some engines count), and beyond.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE_BLANKS = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+# Marks, and letters: of ASCII, and after 0xC3.
+_MARK, _LETTER, _LATIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LATIN[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+_WIDE_FIRST, _MAYBE_BLANK = np.zeros(256, bool), np.zeros(256, bool)
+for _b in _WIDE_BLANKS:
+    _WIDE_FIRST[_b[0]] = _MAYBE_BLANK[_b[0]] = _MAYBE_BLANK[_b[-1]] = True
 
 
 def default_tokenizer() -> str:
@@ -60,81 +70,182 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the UTF-8 bytes of texts: at each text that isn't empty; at a
+    space, and at and after a line feed, if no other blank is beside it; and at a mark
+    between a letter and such a blank."""
+    n = len(data)
+    blank = _BLANK[data]
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    inner = (at > 0) & (at < n - 1)
+    at = at[inner]
+    at = at[~blank[at - 1] & ~blank[at + 1]]
+    # Blanks beyond ASCII have two or three bytes.
+    for side in (-1, 1):
+        near = np.flatnonzero(_MAYBE_BLANK[data[at + side]])
+        odd = [_blank_beside(data, int(at[k]), side) for k in near]
+        at = np.delete(at, near[np.array(odd, bool)]) if len(near) else at
+    text = np.zeros(n + 1, bool)
+    text[offsets] = True
+    at = at[~text[at] & ~text[at + 1]]  # not first or last in its text
+    starts = text[:n].copy()
+    starts[at] = True
+    mark = at[_MARK[data[at - 1]] & (at > 2)] - 1
+    before = data[mark - 1]
+    starts[mark[(_LETTER[before] | (_LATIN[before] & (data[mark - 2] == 0xC3))) & ~text[mark]]] = True
+    starts[at[data[at] == 0x0A] + 1] = True
+    return np.flatnonzero(starts)
+
+
+def _blank_beside(data: np.ndarray, at: int, side: int) -> bool:
+    around = bytes(data[max(0, at - 3) : at] if side < 0 else data[at + 1 : at + 4])
+    return around.endswith(_WIDE_BLANKS) if side < 0 else around.startswith(_WIDE_BLANKS)
+
+
 class PieceEncoder:
-    """A byte-level tokenizer behind a memory of pieces."""
+    """A byte-level tokenizer behind a memory of pieces.
+
+    Pieces are found by a 64-bit hash and then compared byte by byte, whole columns at a
+    time. When more than ``cache`` are remembered, the half that has not been used for the
+    longest time is forgotten."""
 
     def __init__(self, tokenizer_json: str, cache: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.cache = cache
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Parts that are encoded independently; all but the first stand for
-        themselves after a space."""
-        if _BESIDE_BLANK.search(text) or text[:1] == " " or text[-1:] == " ":
-            parts = _CUT.split(text)
-            return [parts[0], *[p[1:] for p in parts[1:]]]
-        return text.split(" ")
-
-    def _learn(self, new: list) -> None:
-        texts = [k[0] if isinstance(k, tuple) else " " + k for k in new]
-        many = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [e.ids for e in many]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        first = len(self.number)
-        while first + len(new) > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(new)] = sizes
-        self.used += len(flat)
-        self.number.update(zip(new, range(first, first + len(new))))
-
-    def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all texts' pieces, one text after another, and how many each has."""
-        keys: list = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                parts = self.pieces(text)
-                counts[i] = len(parts)
-                keys.append((parts[0],))  # a first piece has no space before it
-                keys += parts[1:]
-        if len(self.number) > self.cache:
-            self.clear()
-        new = list(dict.fromkeys(k for k in keys if k not in self.number))
-        for at in range(0, len(new), 50_000):
-            self._learn(new[at : at + 50_000])
-        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys)), counts
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.cache, self.clock = cache, 0
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes, and the piece of each
+        self.piece = np.zeros(0, np.int64)
+        self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.first, self.size, self.raw_first, self.raw_size, self.used = (np.zeros(0, np.int64) for _ in range(5))
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.used > np.median(self.used))
+        number = np.full(len(self.size), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        self.ids, self.raw = self.ids[_spread(self.first[kept], self.size[kept])], self.raw[_spread(self.raw_first[kept], self.raw_size[kept])]
+        self.size, self.raw_size, self.used = self.size[kept], self.raw_size[kept], self.used[kept]
+        self.first, self.raw_first = np.cumsum(self.size) - self.size, np.cumsum(self.raw_size) - self.raw_size
+        new = number[self.piece]
+        self.keys, self.piece = self.keys[new >= 0], new[new >= 0]
+
+    def _encoded(self, pieces: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces' order, all their ids one piece after another in it, and how many
+        each has. ``plain`` ones hold no blank but one space before; they are encoded as
+        one text with line feeds between, each of which stands alone for the tokenizer."""
+        order, ids, size, single = [], [], [], np.flatnonzero(~plain).tolist()
+        joined = np.flatnonzero(plain).tolist()
+        for k in range(0, len(joined), 20_000):
+            some = joined[k : k + 20_000]
+            text = b"\n".join([pieces[i] for i in some]).decode()
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            feeds = got == self.feed[0]
+            ends = np.append(np.flatnonzero(feeds), len(got))
+            if len(self.feed) > 1 or len(ends) != len(some):
+                single += some
+                continue
+            order.append(np.array(some, np.int64))
+            ids.append(got[~feeds])
+            size.append(np.diff(ends, prepend=-1) - 1)
+        many = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in single], add_special_tokens=False)
+        lists = [e.ids for e in many]
+        order.append(np.array(single, np.int64))
+        ids.append(np.array([i for x in lists for i in x], np.uint32))
+        size.append(np.array([len(x) for x in lists], np.int64))
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(size)
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        blanks = np.concatenate(([0], np.cumsum(_BLANK[data] | _WIDE_FIRST[data])))
+        order, ids, size = self._encoded(pieces, blanks[ends] - blanks[starts] == (data[starts] == 0x20))
+        starts, length = starts[order], (ends - starts)[order]
+        number = np.empty(len(order), np.int64)
+        number[order] = len(self.size) + np.arange(len(order))
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        self.raw_first = np.append(self.raw_first, len(self.raw) + np.cumsum(length) - length)
+        self.size, self.raw_size = np.append(self.size, size), np.append(self.raw_size, length)
+        self.used = np.append(self.used, np.full(len(pieces), self.clock))
+        self.ids = np.append(self.ids, ids)
+        self.raw = np.append(self.raw, data[_spread(starts, length)])
+        place = np.searchsorted(self.keys, hashes)
+        self.keys, self.piece = np.insert(self.keys, place, hashes), np.insert(self.piece, place, number)
+
+    def _found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, text borders, and of every piece its beginning, end and number."""
+        data, offsets = words.flat(texts)
+        starts = piece_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        self.clock += 1
+        if len(self.size) > self.cache:
+            self._forget()
+        hashes, one, back = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        new = one[words.look_up(hashes, self.keys) < 0]
+        if len(new):
+            order = np.sort(new)
+            fresh = words.hashes(data, starts[order], ends[order])
+            by = np.argsort(fresh)
+            self._learn(data, fresh[by], starts[order][by], ends[order][by])
+        number = self.piece[words.look_up(hashes, self.keys)]
+        self.used[number] = self.clock
+        number = number[back]
+        length = ends - starts
+        same = length == self.raw_size[number]
+        if same.all():
+            where = _spread(self.raw_first[number], length)
+            same = np.ones(len(starts), bool)
+            different = np.flatnonzero(self.raw[where] != data)
+            same[np.searchsorted(starts, different, "right") - 1] = False
+        if not same.all():  # two pieces of one hash
+            raise _Collision
+        return data, offsets, starts, ends, number
+
+    def _each(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        at, counts = self._places(texts)
-        size = self.size[at]
-        ends = np.cumsum(size)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        return self.pool[where], np.bincount(doc, size, minlength=len(texts)).astype(np.int64)
-
-    def piece_sizes(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Number of ids of each piece, by text."""
-        at, counts = self._places(texts)
-        return np.split(self.size[at], np.cumsum(counts)[:-1])
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        try:
+            _, offsets, starts, _, number = self._found(texts)
+        except _Collision:
+            return self._each(texts)
+        size = self.size[number]
+        totals = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, offsets)]
+        return self.ids[_spread(self.first[number], size)], np.diff(totals)
+
+    def pieces(self, texts: list[str | None] | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Characters and number of ids of each piece, by text; a line feed and what
+        follows it count as one, for the cut between them depends on what is before."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        try:
+            data, offsets, starts, ends, number = self._found(texts)
+        except _Collision:  # every text is one piece
+            chars = [len(t or "") for t in texts.to_pylist()]
+            return [(np.array([c]), np.array([n])) if c else (np.zeros(0, np.int64),) * 2 for c, n in zip(chars, self._each(texts)[1].tolist())]
+        if not len(starts):
+            return [(starts, starts)] * len(texts)
+        text = np.zeros(len(data) + 1, bool)
+        text[offsets] = True
+        first = np.flatnonzero(text[starts] | (data[starts - 1] != 0x0A))
+        letters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        chars = np.add.reduceat(letters[ends] - letters[starts], first)
+        sizes = np.add.reduceat(self.size[number], first)
+        cuts = np.searchsorted(starts[first], offsets)[1:-1]
+        return list(zip(np.split(chars, cuts), np.split(sizes, cuts)))
+
+
+class _Collision(Exception):
+    pass
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``first``, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
@@ -205,7 +316,7 @@ def _write_segments(shared, end_id: int, block: int, segment: int, unit: str):
         for batch in batches:
             for part in slices(batch, "text"):
                 shard = part.column(2)[0].as_py()
-                got, size = encode(part.column(1).to_pylist())
+                got, size = encode(part.column(1))
                 ends = np.cumsum(size)
                 with_end = np.insert(got, ends, np.uint32(end_id))
                 size += 1
