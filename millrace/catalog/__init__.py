@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.catalog import corpus, reading, scoring, splits, tokens, vectors
+from millrace.catalog import corpus, prepared, reading, scoring, splits, tokens, vectors
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (corpus, splits, tokens, reading, scoring, vectors)
+_MODULES = (corpus, splits, tokens, reading, prepared, scoring, vectors)
 
 
 def _shipping(query: Query) -> Query:

@@ -31,13 +31,10 @@ from millrace.operators import reports
 from millrace.operators.quota import union_sources
 from millrace.session import scratch_path, spread
 from millrace.sources.text import read_jsonl, write_jsonl
-from millrace.streaming.clean_stream import (
-    cleaned_stream,
-    read_numbered,
-    start_numbered_sink,
-)
+from millrace.streaming.clean_stream import read_numbered, read_progress, start_numbered_sink
 
 QUOTA_RATIO = 0.65
+ARRIVALS = 4
 DATE = "2024-01-01"
 FACTS = {"source": "documents", "additional_source": "conversations", "original_license": "none"}
 LABELS = {WEB: "Web", MATH: "Math"}
@@ -101,20 +98,45 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_jsonl(spark, path)
 
 
-def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "documents").schema
-    stream = (
+def _as_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
+    return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
+        .options(**options)
+        .parquet(path)
         .select(F.col("doc_id").alias("ord"), F.expr(noisy("doc_id")).alias("text"))
     )
+
+
+def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "documents").schema
+    stream = _as_stream(spark, f"{sf_dir}", schema, pathGlobFilter="documents.parquet")
     out = scratch_path(spark, "stream")
-    kept = cleaned_stream(stream, web_clean, MIN_WORDS)
-    start_numbered_sink(kept, WEB, ["ord"], out).awaitTermination()
+    start_numbered_sink(stream, web_clean, WEB, ["ord"], out, min_words_exclusive=MIN_WORDS).awaitTermination()
     return read_numbered(spark, out).drop("batch")
 
 
+def _streamed_with_quota(spark: SparkSession, sf_dir: str) -> str:
+    """The documents arrive in ``ARRIVALS`` files by id, a file per micro-batch, and half
+    of their number is wanted: the quota ends within a batch."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    step, arrivals, out = -(-n // ARRIVALS), scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    for k in range(ARRIVALS):
+        part = docs.filter(F.least(F.expr(f"doc_id div {step}"), F.lit(ARRIVALS - 1)) == k)
+        part.coalesce(1).write.mode("append").parquet(arrivals)
+    stream = _as_stream(spark, arrivals, docs.schema, maxFilesPerTrigger="1")
+    start_numbered_sink(stream, web_clean, WEB, ["ord"], out, n // 2, MIN_WORDS).awaitTermination()
+    return out
+
+
+def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_numbered(spark, _streamed_with_quota(spark, sf_dir))
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_progress(spark, _streamed_with_quota(spark, sf_dir))
+
+
 def share_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     report = reports.share_report(table(spark, sf_dir, "orders"), "o_orderpriority", cents)
@@ -133,13 +155,36 @@ QUERIES = {
     "attribution": attribution,
     "jsonl_roundtrip": jsonl_roundtrip,
     "stream_clean": stream_clean,
+    "stream_quota": stream_quota,
+    "stream_progress": stream_progress,
     "share_report": share_report,
 }
 
 _N_WEB = f"count(*) FILTER (domain = '{WEB}')"
 _N_MATH = f"count(*) FILTER (domain = '{MATH}')"
 
+_ARRIVED = f"""size AS (SELECT count(*) AS n, -(-count(*) // {ARRIVALS}) AS step FROM documents),
+arrived AS (
+    SELECT ord, {web_sql("text")} AS text, CAST(least(ord // step, {ARRIVALS - 1}) AS INTEGER) AS batch
+    FROM {raw_sql("documents", "doc_id", "doc_id", edges=False)} AS r, size),
+accepted AS (
+    SELECT *, row_number() OVER (ORDER BY ord) - 1 AS idx FROM arrived WHERE {WORDS_SQL} > {MIN_WORDS})"""
+
 ORACLES = {
+    "stream_quota": f"""WITH {_ARRIVED}
+        SELECT '{WEB}_' || idx AS id, '{WEB}' AS domain, text, idx, batch
+        FROM accepted, size WHERE idx < n // 2""",
+    "stream_progress": f"""WITH {_ARRIVED},
+        per AS (SELECT batch, count(*) AS seen FROM arrived GROUP BY batch),
+        acc AS (SELECT batch, count(*) AS kept FROM accepted GROUP BY batch),
+        b AS (
+            SELECT batch, seen, coalesce(kept, 0) AS kept,
+                   coalesce(CAST(sum(kept) OVER (ORDER BY batch) AS BIGINT), 0) - coalesce(kept, 0) AS before
+            FROM per LEFT JOIN acc USING (batch))
+        SELECT batch, CASE WHEN before < n // 2 THEN seen ELSE 0 END AS seen,
+               CASE WHEN before < n // 2 THEN kept ELSE 0 END AS kept,
+               greatest(least(kept, n // 2 - before), 0) AS written
+        FROM b, size""",
     "clean_web": f"SELECT ord, {web_sql('text')} AS text FROM {RAW_WEB} AS r",
     "clean_math": f"SELECT ord, {math_sql('text')} AS text FROM {RAW_MATH} AS r",
     "clean_html": f"""SELECT page_id, {web_sql('html')} AS as_web, {math_sql('html')} AS as_math

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from millrace.operators import batching, sharding, shuffling, splitting, tokeniz
 from millrace.session import pin, scratch_path
 from millrace.sources.stages import StageStore
 from millrace.sources.tar_shards import (
+    bad_samples,
+    open_fs,
     read_shards,
     verify_shards,
     write_shards,
@@ -36,10 +40,9 @@ LIMIT = 5
 
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = splitting.stratified_split(examples(spark, sf_dir), VAL_RATIO, SEED)
-    placed = splitting.split_positions(marked, SEED)
-    tokens = tokenizing.encode_hash(placed, HASH_VOCAB).drop("text", "pos")
+    tokens = tokenizing.encode_hash(marked, HASH_VOCAB).drop("text", "pos")
     stored = pin(tokens.withColumn("n_tokens", F.size("ids")), "tokens")
-    return sharding.sharded_fragments(stored, LENGTH, STRIDE, PAD_ID, SHARD_SIZE)
+    return sharding.shuffled_fragments(stored, SEED, LENGTH, STRIDE, PAD_ID, SHARD_SIZE)
 
 
 def _keys(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
@@ -64,10 +67,17 @@ def stage_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.manifest()
 
 
-def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _exported(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the tar shards of both splits."""
     path = scratch_path(spark, "shards")
-    write_shards(sharded(spark, sf_dir).filter(F.col("split") == splitting.TRAIN), path, "train")
-    return read_shards(spark, path, "train").select(
+    rows = pin(sharded(spark, sf_dir), "sharded")
+    for split in (splitting.TRAIN, splitting.VALIDATION):
+        write_shards(rows.filter(F.col("split") == split), path, split)
+    return path
+
+
+def _read_back(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "sample_key",
         "original_id",
         "domain",
@@ -78,10 +88,56 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _exported(spark, sf_dir)
+    return _read_back(
+        read_shards(spark, path, splitting.TRAIN).unionByName(
+            read_shards(spark, path, splitting.VALIDATION)
+        )
+    )
+
+
 def shard_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "shards")
-    write_shards(sharded(spark, sf_dir).filter(F.col("split") == splitting.TRAIN), path, "train")
-    return verify_shards(spark, path)
+    return verify_shards(spark, _exported(spark, sf_dir))
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> str:
+    """The shards with three of them damaged: shard 0 of train is cut off within its
+    first member, shard 0 of validation is no tar, and in shard 1 of train a byte of
+    the first sample's description is not UTF-8. Fixed members of a few known files are
+    rewritten here, in place of what a bad disk does."""
+    path = _exported(spark, sf_dir)
+    fs, root = open_fs(path)
+
+    def rewrite(name: str, change) -> None:
+        with fs.open_input_stream(f"{root}/{name}") as f:
+            content = f.read()
+        fs.delete_file(f"{root}/{name}")
+        with fs.open_output_stream(f"{root}/{name}") as f:
+            f.write(change(content))
+
+    rewrite("train-00000.tar", lambda c: c[:520])
+    rewrite("validation-00000.tar", lambda c: b"not a tar file " * 100)
+    rewrite("train-00001.tar", lambda c: re.sub(rb'(?<="original_id":").', lambda _: b"\xff", c, count=1))
+    return path
+
+
+def shard_bad_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _damaged(spark, sf_dir)
+    both = bad_samples(spark, path, splitting.TRAIN).unionByName(
+        bad_samples(spark, path, splitting.VALIDATION)
+    )
+    return both.select("shard", "sample_key", F.split("error", ":")[0].alias("error"))
+
+
+def shard_tolerant_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _damaged(spark, sf_dir)
+    return _read_back(read_shards(spark, path, splitting.TRAIN, "DROPMALFORMED"))
+
+
+def shard_verify_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = verify_shards(spark, _damaged(spark, sf_dir), every_n=1)
+    return checked.select("shard", "ok", F.split("error", ":")[0].alias("error"))
 
 
 def shard_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,29 +202,41 @@ sharded AS (
            printf('%05d_%05d', slot // {SHARD_SIZE}, slot % {SHARD_SIZE}) AS sample_key
     FROM slots)"""
 
-_HASH = f"md5('{SEED}:{EPOCH}:' ||"
+_SAMPLE_SQL = f"""sample_key, original_id, domain, fragment_idx,
+               array_to_string({PADDED}, ',') AS text, array_to_string({MASK}, ',')
+               AS attention_mask, printf('%s-%05d.tar', split, shard_idx) AS shard"""
 
-_ORDER_CTE = f"""{SHARD_CTE},
+def order_cte(shards: str, epoch: int) -> str:
+    return f"""{shards},
 shards AS (SELECT shard_idx, count(*) AS n FROM sharded WHERE split = 'train' GROUP BY shard_idx),
 shard_order AS (
     SELECT *, row_number() OVER w - 1 AS shard_rank, CAST(sum(n) OVER w - n AS BIGINT) AS first_pos
-    FROM shards WINDOW w AS (ORDER BY {_HASH} shard_idx), shard_idx))"""
+    FROM shards WINDOW w AS (ORDER BY md5('{SEED}:{epoch}:' || shard_idx), shard_idx))"""
 
-_BLOCK_CTE = f"""{_ORDER_CTE},
+
+def block_cte(shards: str, epoch: int, block: int) -> str:
+    return f"""{order_cte(shards, epoch)},
 positions AS (
     SELECT sample_key, first_pos + shard_pos AS pos
     FROM sharded JOIN shard_order USING (shard_idx) WHERE split = 'train'),
 blocks AS (
     SELECT sample_key, row_number() OVER (
-               ORDER BY pos // {BUFFER // 2}, {_HASH} sample_key), sample_key) - 1 AS pos
+               ORDER BY pos // {block}, md5('{SEED}:{epoch}:' || sample_key), sample_key) - 1 AS pos
     FROM positions)"""
 
-_CHUNK_CTE = f"""{_BLOCK_CTE},
+
+def chunk_cte(shards: str, epoch: int, block: int, chunk: int, group: int) -> str:
+    return f"""{block_cte(shards, epoch, block)},
 chunks AS (
-    SELECT sample_key, row_number() OVER (ORDER BY pos // {CHUNK * GROUP},
-               {_HASH} (pos // {CHUNK})), pos // {CHUNK}, pos) - 1 AS pos
+    SELECT sample_key, row_number() OVER (ORDER BY pos // {chunk * group},
+               md5('{SEED}:{epoch}:' || (pos // {chunk})), pos // {chunk}, pos) - 1 AS pos
     FROM blocks)"""
 
+
+_ORDER_CTE = order_cte(SHARD_CTE, EPOCH)
+_BLOCK_CTE = block_cte(SHARD_CTE, EPOCH, BUFFER // 2)
+_CHUNK_CTE = chunk_cte(SHARD_CTE, EPOCH, BUFFER // 2, CHUNK, GROUP)
+
 _VAL_CTE = f"""{SHARD_CTE},
 val AS (
     SELECT sample_key, CAST(slot // {BATCH} AS BIGINT) AS batch_id,
@@ -181,6 +249,9 @@ QUERIES = {
     "stage_manifest": stage_manifest,
     "shard_roundtrip": shard_roundtrip,
     "shard_verify": shard_verify,
+    "shard_bad_samples": shard_bad_samples,
+    "shard_tolerant_read": shard_tolerant_read,
+    "shard_verify_broken": shard_verify_broken,
     "shard_order": shard_order,
     "block_shuffle": block_shuffle,
     "chunk_shuffle": chunk_shuffle,
@@ -202,14 +273,22 @@ ORACLES = {
                CAST(max(shard_idx) + 1 AS BIGINT) AS shards
         FROM sharded GROUP BY split""",
     "shard_roundtrip": f"""WITH {SHARD_CTE}
-        SELECT sample_key, original_id, domain, fragment_idx,
-               array_to_string({PADDED}, ',') AS text, array_to_string({MASK}, ',')
-               AS attention_mask, printf('train-%05d.tar', shard_idx) AS shard
-        FROM sharded WHERE split = 'train'""",
+        SELECT {_SAMPLE_SQL} FROM sharded""",
     "shard_verify": f"""WITH {SHARD_CTE}
-        SELECT printf('train-%05d.tar', shard_idx) AS shard, true AS ok, NULL::VARCHAR AS error,
+        SELECT printf('%s-%05d.tar', split, shard_idx) AS shard, true AS ok, NULL::VARCHAR AS error,
                CAST(least(5, 3 * count(*)) AS INTEGER) AS members
-        FROM sharded WHERE split = 'train' AND shard_idx % 10 = 0 GROUP BY shard_idx""",
+        FROM sharded WHERE shard_idx % 10 = 0 GROUP BY split, shard_idx""",
+    "shard_bad_samples": """
+        SELECT 'train-00000.tar' AS shard, NULL::VARCHAR AS sample_key, 'ReadError' AS error
+        UNION ALL SELECT 'validation-00000.tar', NULL, 'ReadError'
+        UNION ALL SELECT 'train-00001.tar', '00001_00000', 'UnicodeDecodeError'""",
+    "shard_tolerant_read": f"""WITH {SHARD_CTE}
+        SELECT {_SAMPLE_SQL} FROM sharded
+        WHERE split = 'train' AND shard_idx > 0 AND sample_key != '00001_00000'""",
+    "shard_verify_broken": f"""WITH {SHARD_CTE}
+        SELECT printf('%s-%05d.tar', split, shard_idx) AS shard, shard_idx > 0 AS ok,
+               CASE WHEN shard_idx = 0 THEN 'ReadError' END AS error
+        FROM sharded GROUP BY split, shard_idx""",
     "shard_order": f"WITH {_ORDER_CTE} SELECT shard_idx, n, shard_rank, first_pos FROM shard_order",
     "block_shuffle": f"WITH {_BLOCK_CTE} SELECT sample_key, pos FROM blocks",
     "chunk_shuffle": f"WITH {_CHUNK_CTE} SELECT sample_key, pos FROM chunks",

@@ -1,36 +1,30 @@
-"""SQL table functions.
-
-In DataFrames, ``operators.tokenizing.fragments`` does the same without Python
-and is the form to prefer; this one is for SQL text that starts from token ids.
-"""
+"""SQL table functions, declared in SQL, so that the planner sees through them."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
-
-
-class TokenWindows:
-    """``token_windows(ids, length, stride, pad_id)``: one row per window."""
-
-    def eval(self, ids: list[int], length: int, stride: int, pad_id: int):
-        if not 0 <= stride < length:
-            raise ValueError(f"need 0 <= stride < length, got {stride} and {length}")
-        if ids is None:
-            return
-        step, start, index = length - stride, 0, 0
-        while True:
-            window = list(ids[start : start + length])
-            padding = length - len(window)
-            yield index, window + [pad_id] * padding, [1] * len(window) + [0] * padding
-            if start + length >= len(ids):
-                return
-            start, index = start + step, index + 1
-
 
-WINDOWS_TYPE = "fragment_idx int, input_ids array<int>, attention_mask array<int>"
+# ``token_windows(ids, length, stride, pad_id)``: one row per window; none for null ids.
+_TOKEN_WINDOWS = """
+CREATE OR REPLACE TEMPORARY FUNCTION token_windows(ids ARRAY<INT>, length INT, stride INT, pad_id INT)
+RETURNS TABLE (fragment_idx INT, input_ids ARRAY<INT>, attention_mask ARRAY<INT>)
+RETURN
+    SELECT fragment_idx,
+           concat(part, array_repeat(token_windows.pad_id, token_windows.length - size(part))),
+           concat(array_repeat(1, size(part)), array_repeat(0, token_windows.length - size(part)))
+    FROM (
+        SELECT j AS fragment_idx,
+               slice(token_windows.ids, j * (token_windows.length - token_windows.stride) + 1,
+                     token_windows.length) AS part
+        FROM explode(
+            CASE WHEN token_windows.stride < 0 OR token_windows.stride >= token_windows.length
+                THEN raise_error('need 0 <= stride < length')
+            WHEN token_windows.ids IS NULL THEN CAST(array() AS ARRAY<INT>)
+            ELSE sequence(0, greatest(0, CAST(ceil(try_divide(size(token_windows.ids) - token_windows.length,
+                     token_windows.length - token_windows.stride)) AS INT)))
+            END) AS t(j))"""
 
 
 def register(spark: SparkSession) -> None:
     """Make the table functions callable from SQL."""
-    spark.udtf.register("token_windows", udtf(TokenWindows, returnType=WINDOWS_TYPE))
+    spark.sql(_TOKEN_WINDOWS)

@@ -124,7 +124,11 @@ def write_in_order(
 
 
 def index_from_place(
-    placed: DataFrame, by: Sequence[str] = (), name: str = "idx", slices: str | None = None
+    placed: DataFrame,
+    by: Sequence[str] = (),
+    name: str = "idx",
+    slices: str | None = None,
+    save: Callable[[DataFrame, str], DataFrame] = pin,
 ) -> DataFrame:
     """Replace ``_place`` by the 0-based rank of the row (within ``by``).
 
@@ -143,7 +147,7 @@ def index_from_place(
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    starts = pin(starts, "offsets")
+    starts = save(starts, "offsets")
     starts = starts if by else F.broadcast(starts)
     index = F.col("_start") + F.col("_place") - F.col("_first")
     return (
@@ -163,13 +167,13 @@ def dense_index(
     """Add the 0-based rank of each row in ``order`` (within ``by``); with
     ``first``, keep that many rows per group only.
 
-    ``order`` must be unique within ``by``. ``df`` is read twice, once for the
-    key columns alone, so pass a written table if it is costly to derive.
+    Ties in ``order`` are broken arbitrarily, and each row gets one index. The rows are
+    written with a number of their own; only keys and numbers are put in order, and meet
+    their rows again by the number.
     """
     keys = [*by, *order]
-    ranked = index_from_place(write_in_order(df.select(*keys), keys), by, name)
+    numbered = pin(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ranked = index_from_place(write_in_order(numbered.select(*keys, "_row"), [*keys, "_row"]), by, name)
     if first is not None:
         ranked = ranked.filter(F.col(name) < first)
-    if set(df.columns) == set(keys):
-        return ranked
-    return join_null_safe(df, ranked, keys)
+    return numbered.join(ranked.select("_row", name), "_row").drop("_row")

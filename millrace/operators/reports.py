@@ -19,9 +19,10 @@ def source_counts(examples: DataFrame) -> DataFrame:
 
 
 def share_report(df: DataFrame, key: str, weight: Column) -> DataFrame:
-    """Weight per key, and its percentage of the whole."""
+    """Weight per key, and its percentage of the whole. The window sees one row per
+    key."""
     grouped = df.groupBy(key).agg(F.sum(weight).alias("total"))
-    whole = grouped.agg(F.sum("total").alias("whole")).scalar()
+    whole = F.sum("total").over(Window.partitionBy())
     return grouped.select(key, "total", percent(F.col("total"), whole).alias("pct"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import order_hash
 from millrace.functions.tokens import fragment_count, sample_key
-from millrace.operators.ranking import running_total
+from millrace.operators.ranking import rank_by_hash, running_total
 from millrace.operators.tokenizing import fragments
 
 
@@ -27,12 +28,41 @@ def sharded_fragments(
     without its arrays. A document's first slot is the running total of
     fragments before it, so documents are ordered, never the many fragments.
     """
-    if shard_size < 1:
-        raise ValueError("shard_size must be at least 1")
     counted = documents.select(
         "id", "domain", "ids", pos, *by, fragment_count(F.col("n_tokens"), length, stride).alias("_k")
     )
     placed = running_total(counted, pos, F.col("_k"), by, name="_first")
+    return _cut_and_numbered(placed, length, stride, pad_id, shard_size, by)
+
+
+def shuffled_fragments(
+    documents: DataFrame,
+    seed: int,
+    length: int,
+    stride: int,
+    pad_id: int,
+    shard_size: int,
+    by: tuple[str, ...] = ("split",),
+) -> DataFrame:
+    """``sharded_fragments`` in the seeded order of ``split_positions``, for documents
+    without a position.
+
+    Position and first slot are totals over the same order, so one exchange gives
+    both; it carries the token arrays, and the texts never move.
+    """
+    counted = documents.select(
+        "id", "domain", "ids", *by, fragment_count(F.col("n_tokens"), length, stride).alias("_k")
+    )
+    digest = order_hash(seed, "order", F.col("id"))
+    placed = rank_by_hash(counted, digest, ["id"], by, {"_first": F.col("_k")})
+    return _cut_and_numbered(placed, length, stride, pad_id, shard_size, by)
+
+
+def _cut_and_numbered(
+    placed: DataFrame, length: int, stride: int, pad_id: int, shard_size: int, by: tuple[str, ...]
+) -> DataFrame:
+    if shard_size < 1:
+        raise ValueError("shard_size must be at least 1")
     cut = fragments(placed, length, stride, pad_id, keep=(*by, "_first"))
     slot = F.col("_first") + F.col("fragment_idx")
     return (

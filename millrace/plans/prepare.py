@@ -10,22 +10,16 @@ from pyspark.sql import functions as F
 
 from millrace.config import CorpusConfig
 from millrace.operators.batching import with_batches
-from millrace.operators.joining import join_null_safe
 from millrace.operators.quota import union_sources
 from millrace.operators.reports import attribution, domain_stats
-from millrace.operators.sharding import sharded_fragments
+from millrace.operators.sharding import shuffled_fragments
 from millrace.operators.shuffling import (
     block_shuffle,
     chunk_shuffle,
     read_positions,
     seeded_shuffle,
 )
-from millrace.operators.splitting import (
-    TRAIN,
-    VALIDATION,
-    split_positions,
-    stratified_split,
-)
+from millrace.operators.splitting import TRAIN, VALIDATION, stratified_split
 from millrace.operators.tokenizing import encode_hash
 from millrace.sources.stages import StageStore
 from millrace.sources.tar_shards import verify_shards, write_shards
@@ -67,20 +61,16 @@ class PreparedCorpus:
     def train_batches(self, epoch: int = 0) -> DataFrame:
         """Shuffled fragments with ``batch_id``; a short last batch is dropped.
 
-        The order is worked out on sample keys alone; the token arrays move
-        once, to their place.
+        Reading positions come from a table of one row per shard; the rows move once,
+        to their block, and chunks are placed by a table that does not need them.
         """
         cfg = self.config
         rows = self.fragments.filter(F.col("split") == TRAIN)
         n = self.length(TRAIN)
-        keys = rows.select("shard_idx", "shard_pos", "sample_key")
-        order = read_positions(keys, cfg.seed, epoch)
+        order = read_positions(rows, cfg.seed, epoch)
         order = block_shuffle(order, cfg.seed, epoch, "sample_key", max(cfg.shuffle_buffer // 2, 1))
         order = chunk_shuffle(order, cfg.seed, epoch, n)
-        placed = with_batches(order, cfg.batch_size, drop_last=True, rows=n)
-        return join_null_safe(
-            rows, placed.select("sample_key", "pos", "batch_id", "batch_pos"), ["sample_key"]
-        )
+        return with_batches(order, cfg.batch_size, drop_last=True, rows=n)
 
     def validation_batches(self) -> DataFrame:
         """Fragments in stored order with ``batch_id``; all rows are kept."""
@@ -127,21 +117,20 @@ def prepare_corpus(
     store.get("attribution", about, file_format="json")
 
     def split() -> DataFrame:
-        marked = stratified_split(examples, config.val_ratio, config.seed)
-        return split_positions(marked, config.seed)
+        return stratified_split(examples, config.val_ratio, config.seed)
 
     parts = store.get("split", split, ["split"])
     tokens = store.get(
         "tokens",
-        lambda: encode(parts.select("id", "domain", "split", "split_pos", "text"))
+        lambda: encode(parts.select("id", "domain", "split", "text"))
         .drop("text")
         .withColumn("n_tokens", F.size("ids")),
         ["split"],
     )
     store.get(
         "fragments",
-        lambda: sharded_fragments(
-            tokens, config.window, config.stride, config.pad_id, config.shard_size
+        lambda: shuffled_fragments(
+            tokens, config.seed, config.window, config.stride, config.pad_id, config.shard_size
         ),
         ["split"],
     )

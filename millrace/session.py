@@ -76,6 +76,12 @@ def scratch_path(spark: SparkSession, label: str = "table") -> str:
     return f"{scratch_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder this library wrote, in any store Spark reaches."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pin(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -29,8 +29,11 @@ class StageStore:
 
     def exists(self, stage: str) -> bool:
         """True once the stage has been written to its end."""
+        return self._written(self.path(stage))
+
+    def _written(self, folder: str) -> bool:
         jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.path(stage)}/_SUCCESS")
+        marker = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         return marker.getFileSystem(conf).exists(marker)
 
@@ -41,11 +44,14 @@ class StageStore:
         partition_by: Sequence[str] = (),
         file_format: str = "parquet",
     ) -> DataFrame:
-        """The stored stage, built and written first if it is not there."""
+        """The stored stage, built and written first if it is not there. If only its
+        counts are missing (a crash between the two writes), they are taken again."""
         if not self.exists(stage):
             writer = build().write.mode("overwrite").partitionBy(*partition_by)
             writer.format(file_format).save(self.path(stage))
             self._record(stage, file_format)
+        elif not self._written(f"{self.root}/manifest/part={stage}"):
+            self._record(stage, file_format)
         return self.read(stage, file_format)
 
     def read(self, stage: str, file_format: str = "parquet") -> DataFrame:

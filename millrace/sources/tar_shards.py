@@ -15,6 +15,7 @@ import re
 import tarfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,6 +38,7 @@ ABOUT_SCHEMA = "original_id string, domain string, fragment_idx int"
 IDS_SCHEMA = "array<int>"
 MODES = ("DROPMALFORMED", "PERMISSIVE", "FAILFAST")
 ROWS_PER_BATCH = 1000
+COMMIT_REQUESTS = 64
 
 # Member name endings and the column each one fills.
 MEMBERS = {"json": "about", "input.json": "input", "mask.json": "mask"}
@@ -44,14 +46,15 @@ RAW_COLUMNS = ("sample_key", *MEMBERS.values(), "shard", "error")
 _RAW_SCHEMA = pa.schema([(c, pa.string()) for c in RAW_COLUMNS])
 
 
-def _open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path or URI, and the path within it."""
     local = re.fullmatch(r"file:/+(.*)", path)
     return pafs.FileSystem.from_uri("/" + local.group(1) if local else path)
 
 
 def list_shards(path: str, prefix: str) -> list[str]:
     """Shard names of a prefix by number; an error if there are none."""
-    fs, root = _open_fs(path)
+    fs, root = open_fs(path)
     name = re.compile(re.escape(prefix) + r"-(\d+)\.tar")
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
     names = sorted(
@@ -94,7 +97,7 @@ class TarShardReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_RAW_SCHEMA)
 
     def _rows(self, shard: str) -> Iterator[dict]:
-        fs, root = _open_fs(self.path)
+        fs, root = open_fs(self.path)
         row: dict = {}
         with fs.open_input_stream(f"{root}/{shard}") as stream:
             try:
@@ -108,8 +111,11 @@ class TarShardReader(DataSourceReader):
                             row = {}
                         if kind in MEMBERS:
                             content = tar.extractfile(member).read()
-                            row[MEMBERS[kind]] = content.decode("utf-8", "replace")
                             row |= {"sample_key": key, "shard": shard}
+                            try:
+                                row[MEMBERS[kind]] = content.decode()
+                            except UnicodeDecodeError as problem:
+                                row["error"] = f"{type(problem).__name__}: {member.name}: {problem}"
                 if row:
                     yield row
             except (tarfile.TarError, EOFError) as problem:
@@ -128,7 +134,7 @@ class TarShardWriter(DataSourceArrowWriter):
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> ShardsWritten:
-        fs, root = _open_fs(self.path)
+        fs, root = open_fs(self.path)
         fs.create_dir(f"{root}/{self.staging}", recursive=True)
         attempt = uuid.uuid4().hex
         written = ShardsWritten([])
@@ -163,7 +169,7 @@ class TarShardWriter(DataSourceArrowWriter):
         return written
 
     def commit(self, messages: list[ShardsWritten | None]) -> None:
-        fs, root = _open_fs(self.path)
+        fs, root = open_fs(self.path)
         written = [n for m in messages if m for n in m.names]
         final = {n.split(".", 1)[1]: n for n in written}
         if len(final) != len(written):
@@ -173,14 +179,15 @@ class TarShardWriter(DataSourceArrowWriter):
             stale = set(list_shards(self.path, self.prefix)) if self.overwrite else set()
         except FileNotFoundError:
             stale = set()
-        for target, source in final.items():
-            fs.move(f"{root}/{self.staging}/{source}", f"{root}/{target}")
-        for name in stale - set(final):
-            fs.delete_file(f"{root}/{name}")
+        # Requests to the store, not data; a store answers many at a time.
+        with ThreadPoolExecutor(COMMIT_REQUESTS) as pool:
+            moves = [(f"{root}/{self.staging}/{s}", f"{root}/{t}") for t, s in final.items()]
+            list(pool.map(lambda m: fs.move(*m), moves))
+            list(pool.map(fs.delete_file, [f"{root}/{name}" for name in stale - set(final)]))
         self._drop_staging(fs, root)
 
     def abort(self, messages: list[ShardsWritten | None]) -> None:
-        self._drop_staging(*_open_fs(self.path))
+        self._drop_staging(*open_fs(self.path))
 
     def _drop_staging(self, fs: pafs.FileSystem, root: str) -> None:
         folder = f"{root}/{self.staging}"
@@ -241,10 +248,11 @@ def write_shards(sharded: DataFrame, path: str, prefix: str, tasks: int | None =
     )
 
 
-def read_shards(spark: SparkSession, path: str, prefix: str, mode: str = MODES[0]) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, prefix: str, mode: str = "PERMISSIVE") -> DataFrame:
     """``(sample_key, original_id, domain, fragment_idx, text, attention_mask,
-    shard)``. What cannot be decoded is left out (DROPMALFORMED), kept as a row
-    with ``error`` set (PERMISSIVE), or ends the query (FAILFAST)."""
+    shard)``. What cannot be decoded is kept as a row with ``error`` set (PERMISSIVE,
+    so that nothing goes unseen), left out (DROPMALFORMED), or ends the query
+    (FAILFAST)."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     register(spark)
@@ -328,7 +336,7 @@ _CHECK_SCHEMA = pa.schema(
 def _check(path: str, max_members: int) -> dict:
     listed, error = 0, None
     try:
-        fs, name = _open_fs(path)
+        fs, name = open_fs(path)
         with (
             fs.open_input_stream(name) as stream,
             tarfile.open(fileobj=stream, mode="r|") as tar,

@@ -46,6 +46,13 @@ def test_dense_index_within_groups_and_first(skewed):
         assert sorted(((r.id, r.idx) for r in got if r.grp == grp), key=lambda t: t[1]) == want
 
 
+def test_dense_index_gives_repeated_keys_one_index_each(spark):
+    df = spark.createDataFrame([(1, v) for v in "abc"] + [(0, "z")], "k long, v string")
+    got = dense_index(df, ["k"]).collect()
+    assert sorted(r.idx for r in got) == [0, 1, 2, 3] and {r.v for r in got} == set("abcz")
+    assert [r.idx for r in got if r.v == "z"] == [0]
+
+
 def test_dense_index_keeps_rows_with_null_keys(spark):
     df = spark.createDataFrame([(None, "n"), (2, "b"), (1, "a")], "k int, v string")
     assert {r.v: r.idx for r in dense_index(df, ["k"]).collect()} == {"n": 0, "a": 1, "b": 2}

@@ -21,6 +21,7 @@ from millrace.sources.text import read_jsonl, read_source, write_jsonl
 from millrace.streaming.clean_stream import (
     cleaned_stream,
     read_numbered,
+    read_progress,
     start_numbered_sink,
 )
 
@@ -114,7 +115,7 @@ def test_tolerant_reading(spark, sharded, tmp_path):
     (tmp_path / "train-00001.tar").write_bytes(whole[:6000])
     (tmp_path / "train-00010.tar").write_bytes(b"this is not a tar file" * 100)
     path = str(tmp_path)
-    good = read_shards(spark, path, "train")
+    good = read_shards(spark, path, "train", "DROPMALFORMED")
     keys = {r.sample_key for r in good.collect()}
     assert {k for k in keys if k.startswith("00002")} == {"00002_00000"}
     assert len([k for k in keys if k.startswith("00000")]) == 20
@@ -131,6 +132,20 @@ def test_tolerant_reading(spark, sharded, tmp_path):
     assert {r.shard: r.ok for r in every}["train-00002.tar"]
 
 
+def test_a_byte_that_is_no_text_fails_its_sample(spark, tmp_path):
+    _tar(
+        tmp_path / "train-00000.tar",
+        [
+            ("00000_00000.json", b'{"original_id": "\xff", "domain": "d", "fragment_idx": 0}'),
+            ("00000_00000.input.json", b"[1]"),
+            ("00000_00001.json", b'{"original_id": "b", "domain": "d", "fragment_idx": 0}'),
+            ("00000_00001.input.json", b"[2]"),
+        ],
+    )
+    rows = {r.sample_key: r for r in read_shards(spark, str(tmp_path), "train").collect()}
+    assert "UnicodeDecodeError" in rows["00000_00000"].error and rows["00000_00001"].error is None
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     rows = [("a_0", "a", "é \"q\" \\ \n x", 0), ("a_1", "a", "😀", 1)]
     df = spark.createDataFrame(rows, "id string, domain string, text string, pos bigint")
@@ -222,6 +237,15 @@ def test_supplied_tokenizer_needs_a_name(spark, config):
     assert ids <= {1, named.pad_id}
 
 
+def test_a_lost_manifest_is_written_again(spark, tmp_path):
+    store = StageStore(spark, str(tmp_path), "f")
+    store.get("s", lambda: spark.range(7))
+    for f in sorted((tmp_path / "f" / "manifest" / "part=s").iterdir()):
+        f.unlink()
+    store.get("s", lambda: pytest.fail("built twice"))
+    assert store.length("s") == 7
+
+
 def test_configuration_is_checked(config):
     for change in ({"ratios": ()}, {"stride": 64}, {"val_ratio": 0.0}, {"pad_id": 3}):
         with pytest.raises(ValueError):
@@ -267,7 +291,7 @@ def _run(spark, source, out, quota):
         .option("maxFilesPerTrigger", 1)
         .json(str(source))
     )
-    query = start_numbered_sink(cleaned_stream(stream, web_clean), "web", ["ord"], str(out), quota)
+    query = start_numbered_sink(stream, web_clean, "web", ["ord"], str(out), quota)
     query.awaitTermination()
     return query
 
@@ -278,11 +302,11 @@ def test_stream_numbers_run_on_over_batches(spark, tmp_path, quota):
     source.mkdir()
     for b in range(3):
         _write(source, f"f{b}.json", 100 * b, 10)
-    query = _run(spark, source, out, quota)
-    seen = [p["observedMetrics"]["progress_seen"]["rows"] for p in query.recentProgress]
-    kept = [p["observedMetrics"]["progress_kept"]["rows"] for p in query.recentProgress]
-    assert sum(seen) == 30 and sum(kept) == 15
+    _run(spark, source, out, quota)
     want = 15 if quota is None else 12
+    progress = sorted(tuple(r) for r in read_progress(spark, str(out)).collect())
+    assert progress == [(0, 10, 5, 5), (1, 10, 5, 5), (2, 10, 5, want - 10)]
+    assert not list((out / "work").iterdir())
     rows = read_numbered(spark, str(out)).collect()
     assert sorted(r.idx for r in rows) == list(range(want))
     assert {r.id for r in rows} == {f"web_{i}" for i in range(want)}
@@ -291,6 +315,18 @@ def test_stream_numbers_run_on_over_batches(spark, tmp_path, quota):
     _run(spark, source, out, quota)
     rows = read_numbered(spark, str(out)).collect()
     assert sorted(r.idx for r in rows) == list(range(20 if quota is None else 12))
+    last = read_progress(spark, str(out)).filter("batch = 3").first()
+    assert tuple(last) == ((3, 10, 5, 5) if quota is None else (3, 0, 0, 0))
+
+
+def test_stream_with_repeated_keys_keeps_each_row_once(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    lines = [json.dumps({"ord": i % 3, "text": f"t{i} " * 12}) for i in range(30)]
+    (source / "a.json").write_text("\n".join(lines))
+    _run(spark, source, out, None)
+    rows = read_numbered(spark, str(out)).collect()
+    assert len({r.text for r in rows}) == 30 and sorted(r.idx for r in rows) == list(range(30))
 
 
 def test_replayed_batch_gives_the_same_ids(spark, tmp_path):
