@@ -21,6 +21,7 @@ text are ordinary text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -104,12 +105,23 @@ def _leaves(chars: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]
     return np.add.reduceat(chars, first).tolist(), np.add.reduceat(sizes, first).tolist()
 
 
-def edit(text: str, tree: SumTree, pos: int, removed: int, inserted: str, encode: PieceEncoder) -> tuple[str, SumTree, int]:
-    """The text after one edit, its tree, and how many characters were encoded."""
+@dataclass
+class Region:
+    """What one edit touches: leaves ``low`` to ``high``, the text they hold afterwards,
+    and the whole text afterwards."""
+
+    low: int
+    high: int
+    text: str
+    after: str
+
+
+def locate(text: str, tree: SumTree, pos: int, removed: int, inserted: str) -> Region:
     a = min(max(pos, 0), len(text))
     b = min(a + max(removed, 0), len(text))
+    after = text[:a] + inserted + text[b:]
     if not text:
-        return inserted, SumTree.of_leaves(*leaf_counts(inserted, encode)), len(inserted)
+        return Region(0, tree.width - 1, after, after)
     low, begin = tree.leaf_at(a)
     chars, _ = tree.leaves()
     while low and begin >= a - 1:  # the border may be a cut no longer
@@ -119,20 +131,47 @@ def edit(text: str, tree: SumTree, pos: int, removed: int, inserted: str, encode
     while end < len(text) and end <= b:
         high += 1
         end += int(chars[high])
-    region = text[begin:a] + inserted + text[b:end]
-    new_chars, new_tokens = leaf_counts(region, encode)
-    after = text[:a] + inserted + text[b:]
-    if len(region) > SPLIT_CHARS:
-        all_chars, all_tokens = (x.tolist() for x in tree.leaves())
-        tree = SumTree.of_leaves(
-            all_chars[:low] + new_chars + [c for c in all_chars[high + 1 :] if c],
-            all_tokens[:low] + new_tokens + [t for c, t in zip(all_chars[high + 1 :], all_tokens[high + 1 :]) if c],
-        )
-    else:
-        tree.put(low, len(region), sum(new_tokens))
+    return Region(low, high, text[begin:a] + inserted + text[b:end], after)
+
+
+def replace(tree: SumTree, region: Region, chars: list[int], tokens: list[int]) -> SumTree:
+    """The tree with the region's leaves counted anew."""
+    low, high = region.low, region.high
+    if len(region.text) <= SPLIT_CHARS:
+        tree.put(low, len(region.text), sum(tokens))
         for k in range(low + 1, high + 1):
             tree.put(k, 0, 0)
-    return after, tree, len(region)
+        return tree
+    old_chars, old_tokens = (x.tolist() for x in tree.leaves())
+    rest = [(c, t) for c, t in zip(old_chars[high + 1 :], old_tokens[high + 1 :]) if c]
+    return SumTree.of_leaves(
+        old_chars[:low] + chars + [c for c, _ in rest], old_tokens[:low] + tokens + [t for _, t in rest]
+    )
+
+
+def edit(text: str, tree: SumTree, pos: int, removed: int, inserted: str, encode: PieceEncoder) -> tuple[str, SumTree, int]:
+    """The text after one edit, its tree, and how many characters were encoded."""
+    region = locate(text, tree, pos, removed, inserted)
+    return region.after, replace(tree, region, *leaf_counts(region.text, encode)), len(region.text)
+
+
+def apply_edits(
+    texts: list[str], trees: list[SumTree], edits: list[list], encode: PieceEncoder
+) -> tuple[list[str], list[SumTree], list[int]]:
+    """All texts after their edits. The first edits of all texts are encoded together,
+    then the second ones, and so on."""
+    texts, trees, costs = list(texts), list(trees), [0] * len(texts)
+    for turn in range(max(map(len, edits), default=0)):
+        at = [i for i, e in enumerate(edits) if turn < len(e)]
+        regions = [
+            locate(texts[i], trees[i], e["pos"], e["removed"] or 0, e["inserted"] or "")
+            for i, e in ((i, edits[i][turn]) for i in at)
+        ]
+        for i, region, counts in zip(at, regions, encode.pieces([r.text for r in regions])):
+            trees[i] = replace(trees[i], region, *_leaves(*counts))
+            texts[i] = region.after
+            costs[i] += len(region.text)
+    return texts, trees, costs
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -180,17 +219,13 @@ def recount(
         encode = encoder(shared.value)
         for batch in batches:
             for part in W.slices(batch, text_col):
-                texts, trees, costs = [], [], []
-                for t, chars, tokens, edits in zip(*[part.column(i) for i in places]):
-                    text, cost = t.as_py() or "", 0
-                    tree = SumTree(chars.values.to_numpy().copy(), tokens.values.to_numpy().copy())
-                    for e in edits.as_py() or ():
-                        if e is not None and e["pos"] is not None:
-                            text, tree, n = edit(text, tree, e["pos"], e["removed"] or 0, e["inserted"] or "", encode)
-                            cost += n
-                    texts.append(text)
-                    trees.append(tree)
-                    costs.append(cost)
+                text, chars, tokens, edits = (part.column(k) for k in places)
+                texts, trees, costs = apply_edits(
+                    [t or "" for t in text.to_pylist()],
+                    [SumTree(c.values.to_numpy().copy(), t.values.to_numpy().copy()) for c, t in zip(chars, tokens)],
+                    [[e for e in x or () if e is not None and e["pos"] is not None] for x in edits.to_pylist()],
+                    encode,
+                )
                 new = pa.StructArray.from_arrays(
                     [
                         pa.array(texts, pa.string()),
