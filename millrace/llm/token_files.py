@@ -17,14 +17,14 @@ executor's part is written again; its row is a segment:
 them alone, and with the sums of the shards before they give the place of every id. A
 segment is decoded on its own.
 
-Shards are ranges of the id, cut at quantiles of the id column alone, so only one
-exchange moves the texts; equal ids stay together, ordered by text. Texts are cut at
+Shards are ranges of (id, hash of the text), so one exchange moves the texts, and rows of
+one id can be split like others; the range bounds are sampled by one more scan. Texts are cut at
 single spaces and line feeds between non-blank characters, where the tokenizer's own cut
 always lies, and each different piece is encoded once per worker (about ``CACHE_PIECES``
 are remembered).
 
 Defined results: a null text is an empty one; a document without tokens has the end id
-alone; null ids come first; rows with equal ids are kept in the order of their texts; an
+alone; null ids come first; rows with equal ids are in the order of their texts' hashes; an
 empty table gives an empty file. Special tokens' names in a text are ordinary text.
 """
 
@@ -46,7 +46,7 @@ from millrace.session import pin, scratch_path
 END_ID = 0
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 SHARD_BYTES = 64 << 20  # of text
 LEVEL = 3
 
