@@ -210,8 +210,9 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of
-    ``docs``."""
-    out = mix(docs, **options)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    ``docs`` as they were, whatever their names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    named = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
+    out = mix(docs.select(whole, *named), **options).where("copies > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return out.select("_doc", copies).select("_doc.*")

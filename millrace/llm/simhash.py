@@ -66,8 +66,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 _LOWER = bytes(W.LOWER.tolist())
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``fp``, the fingerprint as a signed long."""
+def with_fingerprints(
+    docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, name: str = "fp"
+) -> DataFrame:
+    """``docs`` with the fingerprint as a signed long."""
 
     def make():
         def work(texts: pa.Array) -> list:
@@ -76,7 +78,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SH
 
         return work
 
-    return W.with_text_columns(docs, text_col, [T.StructField("fp", T.LongType())], make)
+    return W.with_text_columns(docs, text_col, [T.StructField(name, T.LongType())], make)
 
 
 def _turned(fp: Column, left: int) -> Column:
@@ -139,6 +141,7 @@ def links(fps: DataFrame, segments: int = SEGMENTS, pair_limit: int = PAIR_LIMIT
         .select("turn", F.array_min("all").alias("f"), F.explode("all").alias("g"))
         .where("f != g")
     )
+
     def restored(c: str) -> Column:
         return F.element_at(
             F.array(*[_turned(F.col(c), (64 - i * width) % 64) for i in range(segments)]), F.col("turn") + 1
@@ -158,9 +161,9 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id (of several
     such rows any one; null ids last)."""
-    numbered = with_fingerprints(docs, text_col, shingle).withColumn("_row", F.monotonically_increasing_id())
-    table = pin(numbered, "fingerprinted")
-    rows = labelled(table.select(F.col(id_col).alias("_id"), "_row", "fp"), "_id")
+    marked = with_fingerprints(docs, text_col, shingle, "_fp")
+    table = pin(marked.withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    rows = labelled(table.select(F.col(id_col).alias("_id"), "_row", F.col("_fp").alias("fp")), "_id")
     order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")
     first = rows.groupBy("class").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     groups = pin(first.select("class", F.col("_first._row").alias("_kept")), "groups")

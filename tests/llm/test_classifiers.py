@@ -58,7 +58,9 @@ def test_quality_on_held_out_rows(spark, tables):
     assert len(out) == docs.count()
     assert all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
     assert accuracy(out, truth, 0) >= 0.97
-    kept = {r[0] for r in Q.keep_good(docs, labels).select("doc_id").collect()}
+    good = Q.keep_good(docs, labels)
+    assert good.columns == docs.columns and good.exceptAll(docs).count() == 0
+    kept = {r[0] for r in good.select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in out if r["predicted"]}
 
 

@@ -66,6 +66,7 @@ def test_removed_passages_are_gone_and_the_rest_stays(spark):
     out = D.decontaminate(docs, tests)
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.columns == docs.columns and sorted(got) == [1, 2, 4]
+    assert got[1] == next(r for r in docs.collect() if r["doc_id"] == 1)
     assert got[1]["text"] == clean and got[4]["text"] is None
     assert words(got[2]["text"]) == words(clean) * 2
     assert got[2]["n_chars"] == len(got[2]["text"])

@@ -78,3 +78,4 @@ def test_mixed_documents_repeat(spark):
     want = mixing.mix(docs).agg(F.sum("copies")).first()[0]
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.count() == want
+    assert out.distinct().exceptAll(docs.distinct()).count() == 0
