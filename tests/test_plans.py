@@ -5,10 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import table_functions
 from millrace.functions.tokens import hash_token_ids
 from millrace.operators import metrics, sampling, tokenizing
 from millrace.operators.batching import with_batches
-from millrace.operators.sharding import sharded_fragments
+from millrace.operators.sharding import sharded_fragments, shuffled_fragments
 from millrace.operators.shuffling import block_shuffle, chunk_shuffle, seeded_shuffle
 from millrace.operators.splitting import split_positions, stratified_split
 from millrace.session import pin
@@ -83,6 +84,28 @@ def test_shards_count_without_the_arrays(examples, unbroadcast):
     assert "text" not in plan.split("FileScan")[1].split("]")[0]
 
 
+def test_split_and_shard_slots_move_the_tokens_once(spark, examples, unbroadcast):
+    docs = pin(
+        examples.select(
+            "id", "domain", F.lit("train").alias("split"),
+            hash_token_ids(F.col("text"), 100).alias("ids"), F.lit(20).alias("n_tokens"),
+        )
+    )
+    df = shuffled_fragments(docs, 1, 8, 2, 999, 50)
+    assert _payload_exchanges(df, "ids") == 1
+    # The same slots as by way of positions.
+    placed = pin(split_positions(docs, 1))
+    want = sharded_fragments(placed, 8, 2, 999, 50)
+    keys = ["original_id", "fragment_idx", "sample_key"]
+    assert df.select(keys).exceptAll(want.select(keys)).count() == 0
+
+
+def test_table_function_is_seen_through(spark):
+    table_functions.register(spark)
+    df = spark.sql("SELECT w.* FROM (SELECT array(1, 2, 3) AS ids), LATERAL token_windows(ids, 2, 1, 9) AS w")
+    assert "Python" not in plan_of(df) and "Exchange" not in plan_of(df)
+
+
 def test_fragments_and_hash_tokens_need_no_exchange_and_no_python(examples):
     plan = plan_of(tokenizing.fragments(tokenizing.encode_hash(examples, 100), 8, 2, 999))
     assert "Exchange" not in plan and "Python" not in plan
