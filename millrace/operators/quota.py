@@ -17,6 +17,9 @@ from millrace.session import pin
 
 Save = Callable[[DataFrame, str], DataFrame]
 
+# Sort keys along which a source can be read in slices: quantiles exist for them.
+SLICEABLE = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 @dataclass(frozen=True)
 class Source:
@@ -68,7 +71,7 @@ def first_kept(
     if quota is not None and quota <= 0:
         return kept_in(rows.limit(0), 0)
     key = source.order[0]
-    sliceable = isinstance(rows.schema[key].dataType, T.IntegralType)
+    sliceable = isinstance(rows.schema[key].dataType, SLICEABLE)
     total = rows.count() if quota is not None and sliceable else 0
     if quota is None or not sliceable or quota >= total:
         return kept_in(rows, 0)

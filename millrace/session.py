@@ -55,12 +55,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the configured checkpoint folder.
+    """Shared folder for intermediate tables: the checkpoint folder of the configuration
+    or, failing that, of the running context.
 
     Only a local session may fall back to a temporary folder; on a cluster a
     machine-local one would vanish with its machine.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
+    if not root:
+        # A folder set on the running context.
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = chosen.get() if chosen.isDefined() else None
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

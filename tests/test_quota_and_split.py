@@ -80,6 +80,17 @@ def test_a_source_is_cleaned_once_and_filtered_before_the_exchange(spark):
     assert "regexp_replace" in plans[0] and "regexp_replace" not in plans[1]
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_time_keys_stop_early_too(spark, kind):
+    day = "date_add(date'2020-01-01', cast(a as int))"
+    rows = texts(spark, 3000).withColumn("a", F.expr(day if kind == "date" else f"cast({day} as timestamp)"))
+    source = Source("web", rows, ["a", "b"], web_clean)
+    assert first_kept(source, 20).count() < 200
+    want = [r.text.strip() for r in sorted((r for r in rows.collect() if r.b % 3), key=lambda r: (r.a, r.b))][:20]
+    got = sorted(union_sources([source], [20]).collect(), key=lambda r: r.pos)
+    assert [r.text for r in got] == want
+
+
 def test_quota_counts_rows_without_a_key(spark):
     rows = texts(spark, 300).withColumn("a", F.when(F.col("b") != 1, F.col("a")))
     got = union_sources([Source("web", rows, ["a", "b"], web_clean)], [5]).collect()
