@@ -137,6 +137,7 @@ def _counting(pick: Callable, share: float) -> Callable:
 
 
 def _count(docs: DataFrame, pick: Callable, share: float = 0.0) -> DataFrame:
+    W.bound_batches(docs.sparkSession)
     out = docs.select("text").mapInArrow(_counting(pick, share), "kind int, key long, n long")
     return out.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 

@@ -46,7 +46,7 @@ from millrace.session import pin, scratch_path
 END_ID = 0
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 SHARD_BYTES = 64 << 20  # of text
 LEVEL = 3
 
@@ -344,6 +344,7 @@ def write_tokens(
     end_id: int = END_ID, unit: str = "byte", block: int = BLOCK_IDS, segment: int = SEGMENT_IDS,
 ) -> None:
     """Write the file ``path`` with the ids of all documents in ascending id order."""
+    words.bound_batches(docs.sparkSession)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     ordered = (

@@ -237,6 +237,7 @@ def fit(
     sample_rows: int = SAMPLE_ROWS,
 ) -> ToxicityModel:
     spark = docs.sparkSession
+    W.bound_batches(spark)
     sample = labelled_sample(labels, id_col, label_col, sample_rows)
     known = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))

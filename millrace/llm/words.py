@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20  # of text handled at once; a longer text is a slice of its own
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+SLICE_BYTES = 2 << 20  # of text handled at once; a longer text is a slice of its own
 BLOCK_BYTES = 1 << 20  # hashed at once; a longer word is a block of its own
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -115,6 +117,13 @@ def look_up(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts may be long: unless the session chose otherwise, hand Python ``BATCH_ROWS``
+    rows at a time, not the default of ten thousand."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text, one row at least."""
     column = batch.column(batch.schema.get_field_index(text_col))
@@ -133,6 +142,7 @@ def with_text_columns(
     """``df`` with columns computed from its texts, batch by batch. ``make`` gives
     the function, once in a task, from a text array to the values of ``fields``.
     Columns that bear the name of a field are replaced."""
+    bound_batches(df.sparkSession)
     df = df.drop(*[f.name for f in fields])
     schema = T.StructType([*df.schema.fields, *fields])
 
