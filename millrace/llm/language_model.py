@@ -12,13 +12,15 @@ context, and tries again. A text is walked once from left to right. Many stretch
 text are walked in step, a stretch beginning with the words before it, as many as the
 longest context, to reach its first state.
 
-Unigram counts are complete: every training word is counted and summed by Spark. Words of
-relative frequency ``WORD_SHARE`` or more (at most ``1 / WORD_SHARE`` of them, whatever the
-corpus) are broadcast, and so are the n-grams of ``NGRAM_SHARE`` or more. They have arcs. All other
-words always take failure arcs to the root; their exact counts are joined from the table of
-counts, by word, and their log probabilities are added to the text's. An n-gram can only
-reach the share if it reaches it in some part of the corpus, and if its shorter parts reach
-it; each pass counts the candidates that the one before left, exactly.
+Counts are complete: every training word is counted, and every n-gram that occurs
+``MIN_COUNT`` times or more, whatever the corpus; they are written tables that grow with it.
+In the sum of a text's log probabilities each n-gram has a weight of its own: what its arc
+gives beyond failing from its context, and its backoff weight, since every word but the end
+is followed by one. So the n-grams of relative frequency ``NGRAM_SHARE`` or more and the
+words of ``WORD_SHARE`` or more (at most one over the share of them, whatever the corpus)
+are broadcast as an automaton, and the weights of all others are joined by hash and added.
+What is left to join is rare, so no key is heavy. Bitmaps of bounded size leave out n-grams
+that are surely not in a table; they decide nothing else.
 
 Defined results: null and empty texts have the end only; repeated documents count as often
 as they occur and each get a row; a null id is part of the training rows; without training
@@ -43,12 +45,14 @@ from millrace.session import pin
 
 ORDER = 3
 WORD_SHARE = 3e-7
-NGRAM_SHARE = 4e-6
+NGRAM_SHARE = 4e-6  # both only say what is broadcast
+MIN_COUNT = 2  # of an n-gram of two words or more
+SIEVE_BITS = 1 << 27
 DISCOUNT = 0.5
 ADDED = 0.1  # to every unigram count
 PARTS = 10  # one in so many documents is held out
 STRETCH = 256
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 END = int(W.hashes(np.frombuffer(b" end", np.uint8), np.array([0]), np.array([4]))[0])  # no word has a blank
 
 
@@ -61,93 +65,98 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, bounds[1:], np.uint64(END)), bounds + np.arange(len(bounds))
 
 
-def gram_codes(ids: np.ndarray, bounds: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams, n = len(tables) + 2, whose shorter parts are kept, and where
-    each one ends. ``ids``: numbers of words, -1 for those outside the table;
-    ``tables``: sorted codes of the kept n-grams, from n = 2 on. A code is the number of
-    the n-gram's beginning in its table, and of its last word."""
-    begins = np.zeros(len(ids), bool)
-    begins[bounds[:-1][bounds[:-1] < len(ids)]] = True
-    number = ids
-    for n in range(len(tables) + 1):
-        at = np.flatnonzero((number[1:] >= 0) & (number[:-1] >= 0) & ~begins[1:]) + 1
-        codes = (number[at - 1].astype(np.uint64) << np.uint64(32)) | ids[at].astype(np.uint64)
-        if n < len(tables):
-            number = np.full(len(ids), -1, np.int64)
-            number[at] = W.look_up(codes, tables[n])
-    return codes, at
-
-
-def spelled(tables: list[np.ndarray]) -> list[np.ndarray]:
-    """The n-grams of each table as rows of word numbers."""
-    out: list[np.ndarray] = []
-    for codes in tables:
-        first, last = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out.append(np.column_stack([out[-1][first] if out else first, last]))
+def gram_keys(h: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 2, ..., ``order`` the n-grams of all texts: key, keys of the n-gram
+    without its last and without its first word, and the place of its last word. The key
+    of a word is its hash."""
+    begins = np.zeros(len(h), bool)
+    begins[bounds[:-1][bounds[:-1] < len(h)]] = True
+    keys, at, out = h, np.arange(len(h)), []
+    for _ in range(2, order + 1):
+        follows = np.flatnonzero((at[1:] == at[:-1] + 1) & ~begins[at[1:]]) + 1
+        a, b = keys[follows - 1], keys[follows]
+        keys, at = W.combined(a, b), at[follows]
+        out.append((keys, a, b, at))
     return out
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Equal keys (the first array) made one; the last array is summed."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(columns[0], kind="stable")
+    columns = [c[order] for c in columns]
+    keys = columns[0]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    total = np.add.reduceat(columns[-1], first) if len(first) else columns[-1]
+    return (*[c[first] for c in columns[:-1]], total)
 
 
-def _counting(pick: Callable, share: float) -> Callable:
-    """Counts by task of what ``pick`` gives for a text array, as (kind, key, n).
-    Of kind 1, keys below ``share`` of the tokens they were counted among are left out."""
+def _counting(pick: Callable, names: list[str]) -> Callable:
+    """Counts by task of what ``pick`` gives for a text array: arrays called
+    ``names``, the first of them the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        seen = size = 0
-
-        def flush():
-            for kind, parts in held.items():
-                keys, counts = _summed(parts)
-                if kind == 1:
-                    strong = counts >= share * seen
-                    keys, counts = keys[strong], counts[strong]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))],
-                    names=["kind", "key", "n"],
-                )
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            *columns, n = _summed(parts)
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array(c.view(np.int64)) for c in columns], pa.array(n.astype(np.int64))], names=[*names, "n"]
+            )
 
         for batch in batches:
             for part in W.slices(batch, "text"):
-                n, found = pick(part.column(0))
-                seen += n
-                for kind, keys in found.items():
-                    k, c = np.unique(keys, return_counts=True)
-                    parts = held.setdefault(kind, [])
-                    parts.append((k, c))
-                    size += len(k)
-                    if len(parts) > 1 and len(parts[-1][0]) * 4 > len(parts[0][0]):
-                        size -= sum(len(x) for x, _ in parts)
-                        parts[:] = [_summed(parts)]
-                        size += len(parts[0][0])
+                columns = pick(part.column(0))
+                _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
+                parts.append((*[c[first] for c in columns], n))
+                size += len(n)
+                if len(parts) > 1 and len(n) * 4 > len(parts[0][0]):
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
                 if size > FLUSH:
-                    yield from flush()
-                    held, seen, size = {}, 0, 0
-        yield from flush()
+                    yield flushed()
+                    parts, size = [], 0
+        if parts:
+            yield flushed()
 
     return run
 
 
-def _count(docs: DataFrame, pick: Callable, share: float = 0.0) -> DataFrame:
+def _count(docs: DataFrame, pick: Callable, names: list[str]) -> DataFrame:
     W.bound_batches(docs.sparkSession)
-    out = docs.select("text").mapInArrow(_counting(pick, share), "kind int, key long, n long")
-    return out.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    out = docs.select("text").mapInArrow(_counting(pick, names), "".join(f"{c} long, " for c in names) + "n long")
+    return out.groupBy(*(names[1:] or names)).agg(F.sum("n").alias("n"))  # the parts say what the key is
 
 
-def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their counts."""
-    got = table.select("key", "n").toArrow()
-    keys, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def _with_keys(grams: DataFrame) -> DataFrame:
+    """``grams (a, b, n)`` with ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(W.combined(a, b).view(np.int64))], names=["a", "b", "n", "key"])
+
+    return grams.select("a", "b", "n").mapInArrow(run, "a long, b long, n long, key long")
+
+
+def sieve(keys: DataFrame, size: int) -> np.ndarray:
+    """Bitmap that has the bit of every ``key`` of a table of ``size`` rows set; it takes
+    ``SIEVE_BITS`` at most, and then lets more other keys through."""
+    slots = 1 << max(4, min(SIEVE_BITS, 16 * max(size, 1)).bit_length() - 7)
+    got = (
+        keys.groupBy((F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(slots - 1))).alias("slot"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(slots, np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = (keys >> np.uint64(6)) & np.uint64(len(bitmap) - 1)
+    return (bitmap[slot.astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) == 1
 
 
 @dataclass
@@ -316,42 +325,140 @@ def _codes(rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the written table (key, n) of all words' counts, of
-    training texts ``docs (text)``."""
+@dataclass
+class Model:
+    """``head``: the automaton of what is frequent; ``keys``: sorted keys of its n-grams for
+    n = 2, 3, ...; ``sieves``: bitmaps of the keys in ``tail``, by n; ``tail (key, base, known,
+    extra)``: the other words and n-grams, with what a word adds to an unknown one's log count
+    and the weight of each, in up to three rows that add up. ``tables``: for n = 2, 3, ... what is known of all kept n-grams."""
+
+    head: Automaton
+    keys: list[np.ndarray]
+    sieves: list[np.ndarray]
+    tail: DataFrame
+    tables: list[DataFrame]
+
+
+def _columns(table: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a table of bounded size, sorted by the first, a key."""
+    got = table.select(*names).toArrow()
+    out = [got.column(i).to_numpy() for i in range(len(names))]
+    out[0] = out[0].view(np.uint64)
+    order = np.argsort(out[0])
+    return [c[order] for c in out]
+
+
+def head_automaton(
+    words: np.ndarray, count: np.ndarray, word_backoff: np.ndarray, total: float, distinct: float, grams: list[list[np.ndarray]]
+) -> Automaton:
+    """``grams``: for n = 2, 3, ... sorted keys, keys of the beginning and of the end, gain
+    (log probability of the arc less that of failing), backoff. Beginnings and ends are
+    among the shorter ones. Every word and n-gram but the longest is a state."""
+    size, order = len(words), len(grams) + 1
+    norm = np.log10(total + ADDED * (distinct + 1))
+    root_logp = np.log10(count + ADDED) - norm
+    keys, logp, backoffs, offset = words, root_logp, word_backoff, 1  # of the shorter ones
+    last, state_end = np.arange(size), np.zeros(size, np.int64)
+    backoff, fail = [np.zeros(1), word_backoff], [np.zeros(1, np.int64), state_end]
+    arcs, arc_logp, arc_next = [], [], []
+    for n, (key, begin, end, gain, bo) in enumerate(grams, 2):
+        a, b = W.look_up(begin.view(np.uint64), keys), W.look_up(end.view(np.uint64), keys)
+        last = last[b]
+        arcs.append((offset + a) * (size + 1) + last)
+        logp = gain + backoffs[a] + logp[b]
+        arc_logp.append(logp)
+        if n < order:
+            arc_next.append(offset + len(keys) + np.arange(len(key)))
+            backoff.append(bo)
+            fail.append(offset + b)
+            offset += len(keys)
+        else:
+            arc_next.append(offset + b)
+        keys, backoffs = key, bo
+    arcs, by = np.concatenate(arcs), np.argsort(np.concatenate(arcs))
+    return Automaton(
+        words, count, total, distinct, arcs[by], np.concatenate(arc_logp)[by], np.concatenate(arc_next)[by],
+        np.concatenate(backoff), np.concatenate(fail), np.append(root_logp, 0.0), np.append(1 + np.arange(size), 0), order,
+    )
+
+
+def train(
+    docs: DataFrame,
+    word_share: float | None = None,
+    ngram_share: float | None = None,
+    order: int = ORDER,
+    min_count: int = MIN_COUNT,
+    head_word_share: float = WORD_SHARE,
+    head_share: float = NGRAM_SHARE,
+) -> Model:
+    """The model of training texts ``docs (text)``. N-grams of ``min_count`` occurrences are
+    kept or, if a caller gives shares, those of ``ngram_share`` of the tokens whose words all
+    have ``word_share``."""
     sc = docs.sparkSession.sparkContext
-    counts = pin(_count(docs, lambda texts: _all_words(texts)).select("key", "n"), "word-counts")
+    counts = pin(_count(docs, lambda texts: [tokens(texts)[0]], ["key"]), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words, count = _arrays(counts.where(F.col("n") >= word_share * total))
-    head = sc.broadcast(words)
-    tables: list[np.ndarray] = []
-    gram_counts: list[np.ndarray] = []
-    for _ in range(2, order + 1):
-        below = sc.broadcast(list(tables))
-        weak = _count(docs, lambda texts, below=below: _grams(texts, 1, head.value, below.value), ngram_share / 2)
-        keys, _ = _arrays(weak.where(F.col("n") >= ngram_share / 2 * total))
-        chosen = sc.broadcast(keys)
-        exact = _count(
-            docs, lambda texts, below=below, chosen=chosen: _grams(texts, 0, head.value, below.value, chosen.value)
+    norm = total + ADDED * (distinct + 1)
+    least = min_count if ngram_share is None else ngram_share * total
+    strong = head_share * total
+    # Of the shorter n-grams: key, n, and (low / whole) the probability of the last word.
+    lower = counts.withColumns({"low": F.col("n") + F.lit(ADDED), "whole": F.lit(float(norm))})
+    inside = counts.where(F.col("n") >= (least if word_share is None else word_share * total))
+    tables, backoffs = [], []
+    for n in range(2, order + 1):
+        shared = sc.broadcast(sieve(inside, inside.count()))
+
+        def pick(texts: pa.Array, n=n, shared=shared):
+            key, a, b, _ = gram_keys(*tokens(texts), n)[-1]
+            good = passes(a, shared.value) & passes(b, shared.value)
+            return key[good], a[good], b[good]
+
+        found = _count(docs, pick, ["key", "a", "b"]).where(F.col("n") >= least)
+        if n == 2 and word_share is not None:
+            for c in ("a", "b"):
+                found = found.join(inside.select(F.col("key").alias(c)), c, "left_semi")
+        found = pin(_with_keys(found), "gram-counts")
+        ends = found.join(lower.select(F.col("key").alias("b"), "low", "whole"), "b")
+        sums = ends.groupBy("a").agg(
+            F.sum("n").alias("_n"), F.count("*").alias("_kinds"), F.sum("low").alias("_low"), F.max("whole").alias("whole")
         )
-        table, n = _arrays(exact.where(F.col("n") >= ngram_share * total))
+        left = F.col("n") - F.col("_n") + F.lit(DISCOUNT) * F.col("_kinds")
+        rest = (F.col("whole") - F.col("_low")) / F.col("whole")
+        contexts = sums.join(lower.select(F.col("key").alias("a"), "n"), "a").select(
+            "a", F.col("n").alias("context"), (F.log10(left / F.col("n")) - F.log10(rest)).alias("backoff")
+        )
+        contexts = pin(contexts, "contexts")
+        gain = F.log10((F.col("n") - F.lit(DISCOUNT)) / F.col("context")) - F.col("backoff") - F.log10(F.col("low") / F.col("whole"))
+        table = ends.join(contexts, "a").select("key", "a", "b", "n", gain.alias("gain"), F.col("context").cast("double").alias("whole"))
+        frequent = F.col("n") >= strong
+        parts = [F.when(frequent, F.col(c)).alias(c) for c in ("a", "b")]
+        table = pin(table.select("key", *parts, "n", "gain", *(["whole"] if n < order else [])), "grams")
         tables.append(table)
-        gram_counts.append(n)
-    grams = list(zip(spelled(tables), gram_counts))
-    return build_automaton(words, count, float(total), float(distinct), grams), counts
-
-
-def _all_words(texts: pa.Array):
-    h, _ = tokens(texts)
-    return len(h), {0: h}
-
-
-def _grams(texts: pa.Array, kind: int, head: np.ndarray, tables: list[np.ndarray], chosen: np.ndarray | None = None):
-    h, bounds = tokens(texts)
-    codes, _ = gram_codes(W.look_up(h, head), bounds, tables)
-    if chosen is not None:
-        codes = codes[W.look_up(codes, chosen) >= 0]
-    return len(h), {kind: codes}
+        backoffs.append(contexts.select(F.col("a").alias("key"), "context", "backoff"))
+        if n == order:
+            break
+        lower = table.select("key", "n", (F.col("n") - F.lit(DISCOUNT)).alias("low"), "whole")
+        inside = table
+    # Words and n-grams below these are joined.
+    floors = [min(head_word_share, head_share) * total] + [strong] * (order - 1)
+    words, count = _columns(counts.where(F.col("n") >= floors[0]), "key", "n")
+    grams = [_columns(t.where(F.col("n") >= strong), "key", "a", "b", "gain") for t in tables]
+    shorter = []
+    for keys, table, floor in zip([words, *[g[0] for g in grams]], backoffs, floors):
+        key, backoff = _columns(table.where(F.col("context") >= floor), "key", "backoff")
+        shorter.append(np.zeros(len(keys)))
+        shorter[-1][W.look_up(key, keys)] = backoff
+    zero = F.lit(0.0)
+    log_count = F.log10(F.col("n") + F.lit(ADDED)) - F.lit(float(np.log10(ADDED)))
+    tail = counts.where(F.col("n") < floors[0]).select("key", log_count.alias("base"), F.lit(1).alias("known"), zero.alias("extra"))
+    rare = [t.where(F.col("n") < strong).select("key", "gain") for t in tables]
+    weights = rare + [t.where(F.col("context") < floor).select("key", "backoff") for t, floor in zip(backoffs, floors)]
+    for t in weights:
+        tail = tail.union(t.select("key", zero, F.lit(0), t.columns[1]))
+    sieves = [sieve(t, t.count()) for t in rare]
+    grams = [[*g, bo] for g, bo in zip(grams, [*shorter[1:], None])]
+    word_backoff = shorter[0]
+    head = head_automaton(words, count, word_backoff, float(total), float(distinct), grams)
+    return Model(head, [g[0] for g in grams], sieves, tail, tables)
 
 
 PARTIAL = [
@@ -364,8 +471,8 @@ PARTIAL = [
 ]
 
 
-def partial_scores(texts: pa.Array, model: Automaton) -> list:
-    """Values of ``PARTIAL``: what the words of the table give, and the other words."""
+def partial_scores(texts: pa.Array, model: Automaton, keys: list[np.ndarray], sieves: list[np.ndarray]) -> list:
+    """Values of ``PARTIAL``: what the automaton gives, and the other words and n-grams."""
     h, bounds = tokens(texts)
     docs = len(texts)
     ids = W.look_up(h, model.words)
@@ -375,7 +482,14 @@ def partial_scores(texts: pa.Array, model: Automaton) -> list:
     base = np.bincount(doc[inside], logs[ids[inside]], minlength=docs).astype(np.float64)  # no words: integers
     known = np.bincount(doc[inside], minlength=docs)
     walked = model.walk(np.where(inside, ids, len(model.words)), bounds)
-    rare, owner = h[~inside], doc[~inside]
+    rare, owner = [h[~inside]], [doc[~inside]]
+    for (key, _, _, at), frequent, bitmap in zip(gram_keys(h, bounds, model.order), keys, sieves):
+        maybe = passes(key, bitmap)
+        key, at = key[maybe], at[maybe]
+        maybe = W.look_up(key, frequent) < 0
+        rare.append(key[maybe])
+        owner.append(doc[at[maybe]])
+    rare, owner = np.concatenate(rare), np.concatenate(owner)
     order = np.lexsort((rare, owner))
     rare, owner = rare[order], owner[order]
     first = np.ones(len(rare), bool)
@@ -393,14 +507,14 @@ def partial_scores(texts: pa.Array, model: Automaton) -> list:
     ]
 
 
-def score(docs: DataFrame, model: Automaton, counts: DataFrame, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.head, model.keys, model.sieves))
 
     def make():
-        model = shared.value
-        return lambda texts: partial_scores(texts, model)
+        parts = shared.value
+        return lambda texts: partial_scores(texts, *parts)
 
     names = ("n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c not in (text_col, "n_tokens", *names)]
@@ -408,22 +522,23 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, text_col: str =
     rows = pin(rows.withColumn("_row", F.monotonically_increasing_id()), "partial-scores")
     pairs = F.explode(F.arrays_zip("_rare", "_times"))
     rare = rows.select("_row", pairs.alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
-    joined = rare.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = joined.groupBy("_row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + F.lit(ADDED))).alias("_rare_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_rare_known"),
-        F.sum("times").alias("_rare_tokens"),
+    sums = rare.join(model.tail, "key").groupBy("_row").agg(
+        F.sum(F.col("times") * F.col("base")).alias("_rare_base"),
+        F.sum(F.col("times") * F.col("known")).alias("_rare_known"),
+        F.sum(F.col("times") * F.col("extra")).alias("_extra"),
     )
-    nothing = {c: F.coalesce(c, F.lit(0)) for c in ("_rare_base", "_rare_known", "_rare_tokens")}
-    norm = F.lit(model.norm)
+    nothing = {c: F.coalesce(c, F.lit(0)) for c in ("_rare_base", "_rare_known", "_extra")}
+    norm = F.lit(model.head.norm)
+    other = F.col("n_tokens") - F.col("_known")  # words outside the automaton
+    rare_base = F.col("_rare_base") + other * F.lit(float(np.log10(ADDED)))
     out = rows.drop("_rare", "_times").join(sums, "_row", "left").withColumns(nothing)
     return out.select(
         *kept,
         "n_tokens",
         (F.col("_known") + F.col("_rare_known")).cast("long").alias("n_known"),
-        F.lit(int(model.total)).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.col("_rare_base") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("_walked") + F.col("_rare_base") - F.col("_rare_tokens") * norm).alias("score"),
+        F.lit(int(model.head.total)).cast("long").alias("train_tokens"),
+        (F.col("_base") + rare_base - F.col("n_tokens") * norm).alias("base_score"),
+        (F.col("_walked") + rare_base - other * norm + F.col("_extra")).alias("score"),
     )
 
 
@@ -431,5 +546,5 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Learn from the rows that are not held out and score all: id, held_out and
     what ``score`` adds."""
     rows = docs.select(F.col(id_col), held_out(id_col, parts).alias("held_out"), F.col(text_col).alias("text"))
-    model, counts = train(rows.where(~F.col("held_out")).select("text"), **options)
-    return score(rows, model, counts)
+    model = train(rows.where(~F.col("held_out")).select("text"), **options)
+    return score(rows, model)

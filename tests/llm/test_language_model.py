@@ -105,3 +105,19 @@ def test_no_training_rows_and_empty_tables(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0)
     assert r["base_score"] == pytest.approx(0.0) and r["score"] == pytest.approx(0.0)
     assert L.score_corpus(H.nothing(spark)).collect() == []
+
+
+def test_ngrams_that_occur_twice_count_in_a_larger_corpus(spark):
+    """Over a million tokens, so that the shares lie above the least count; with heads of
+    several sizes, the rest of the weights being joined."""
+    data = [(i, H.prose(i, 3000)) for i in range(420)] + [(r[0], r[1]) for r in H.rows() if r[0] != 106]
+    docs = H.documents(spark, [(i, t, "s", "en", 0, 0, 0.0, "", "", "") for i, t in data])
+    total = sum(len(H.blanks(t)) + 1 for i, t in data if i is None or zlib.crc32(str(i).encode()) % 10)
+    assert L.NGRAM_SHARE * total > L.MIN_COUNT + 2
+    order = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    want = sorted(naive(data, 0.0, (L.MIN_COUNT - 0.01) / total), key=order)
+    for options in ({}, {"head_word_share": 1e-2, "head_share": 1e-3}, {"head_word_share": 2.0, "head_share": 2.0}):
+        rows = sorted((tuple(r) for r in L.score_corpus(docs, **options).collect()), key=order)
+        assert [r[:5] for r in rows] == [w[:5] for w in want]
+        for r, w in zip(rows, want):
+            assert r[5] == pytest.approx(w[5], rel=1e-9) and r[6] == pytest.approx(w[6], rel=1e-9)
