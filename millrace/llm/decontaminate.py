@@ -285,6 +285,22 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def cut(text: str, n: int, spans: list[tuple[int, int]], max_coverage: float) -> str | None:
+    """``text`` of ``n`` words without the words of sorted ``spans``; None if those are
+    more than ``max_coverage`` of it."""
+    if sum(b - a for a, b in spans) > max_coverage * n:
+        return None
+    raw = text.encode()
+    data = W.LOWER[np.frombuffer(raw, np.uint8)]
+    starts, ends, _ = W.places(data, np.array([0, len(data)]), W.PLAIN_WORD)
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at : starts[a]])
+        at = ends[b - 1]
+    kept.append(raw[at:])
+    return b" ".join(kept).decode()
+
+
 def without_spans(text: str, automaton: Automaton, max_coverage: float) -> str | None:
     """``text`` without the words hit, again until none is hit; None if more than
     ``max_coverage`` of its words are hit."""
@@ -292,17 +308,9 @@ def without_spans(text: str, automaton: Automaton, max_coverage: float) -> str |
         n, spans, _ = scan_array(pa.array([text]), automaton)[0]
         if not spans:
             return text
-        if sum(b - a for a, b in spans) > max_coverage * n:
+        text = cut(text, n, _merged(spans), max_coverage)
+        if text is None:
             return None
-        raw = text.encode()
-        data = W.LOWER[np.frombuffer(raw, np.uint8)]
-        starts, ends, _ = W.places(data, np.array([0, len(data)]), W.PLAIN_WORD)
-        kept, at = [], 0
-        for a, b in _merged(spans):
-            kept.append(raw[at : starts[a]])
-            at = ends[b - 1]
-        kept.append(raw[at:])
-        text = b" ".join(kept).decode()
 
 
 def decontaminate(
@@ -319,30 +327,76 @@ def decontaminate(
     of which more than ``max_coverage`` is hit goes. Columns stay as they are, but
     ``n_chars``, if there, follows a changed text."""
     sc = docs.sparkSession.sparkContext
-    mark = T.StructField("_clean", T.StructType([T.StructField("kept", T.BooleanType()), T.StructField("text", T.StringType())]))
-    out = docs
-    for k, automaton in enumerate(automata(items, item_id, item_text, window, block_words)):
-        shared = sc.broadcast(automaton)
+    blocks = automata(items, item_id, item_text, window, block_words)
+    automaton = next(blocks)
+    if next(blocks, None) is not None:
+        del automaton
+        marked = _cleaned_by_blocks(docs, items, text_col, item_id, item_text, window, max_coverage, block_words)
+        return _put(docs, marked, text_col)
+    mark = T.StructField("_clean", T.StructType(CLEAN))
+    shared = sc.broadcast(automaton)
 
-        def make(shared=shared):
-            automaton = shared.value
-
-            def work(texts: pa.Array) -> list:
-                done = []
-                for i, (_, spans, _) in enumerate(scan_array(texts, automaton)):
-                    if not spans:
-                        done.append(None)
-                    else:
-                        new = without_spans(texts[i].as_py(), automaton, max_coverage)
-                        done.append({"kept": new is not None, "text": new})
-                return [pa.array(done, pa.struct([("kept", pa.bool_()), ("text", pa.string())]))]
-
-            return work
-
-        marked = W.with_text_columns(pin(out, "decontaminate") if k else out, text_col, [mark], make)
-        changed = F.col("_clean").isNotNull()
-        new = {text_col: F.when(changed, F.col("_clean.text")).otherwise(F.col(f"`{text_col}`"))}
-        if "n_chars" in docs.columns:
-            new["n_chars"] = F.when(changed, F.length("_clean.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = marked.where(~changed | F.col("_clean.kept")).withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return out
+    def make():
+        automaton = shared.value
+
+        def work(texts: pa.Array) -> list:
+            done = []
+            for i, (_, spans, _) in enumerate(scan_array(texts, automaton)):
+                if not spans:
+                    done.append(None)
+                else:
+                    new = without_spans(texts[i].as_py(), automaton, max_coverage)
+                    done.append({"kept": new is not None, "text": new})
+            return [pa.array(done, pa.struct([("kept", pa.bool_()), ("text", pa.string())]))]
+
+        return work
+
+    return _put(docs, W.with_text_columns(docs, text_col, [mark], make), text_col)
+
+
+CLEAN = [T.StructField("kept", T.BooleanType()), T.StructField("text", T.StringType())]
+
+
+def _put(docs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` from ``marked``, which has ``_clean`` (null: nothing hit)."""
+    changed = F.col("_clean").isNotNull()
+    new = {text_col: F.when(changed, F.col("_clean.text")).otherwise(F.col(f"`{text_col}`"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("_clean.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return marked.where(~changed | F.col("_clean.kept")).withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _cleaned_by_blocks(
+    docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, max_coverage: float, block_words: int
+) -> DataFrame:
+    """``docs`` with ``_clean``, as one block of all items would give it: the spans of
+    all blocks are found on the same text before it is judged and cut, and cut texts
+    are scanned by all blocks again until none is hit."""
+    base = pin(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    todo = base.select("_row", F.col(f"`{text_col}`").alias("text"))
+    rounds = []
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                new = [
+                    cut(r["text"], r["n_words"], [(x["first"], x["end"]) for x in r["hit_spans"]], max_coverage)
+                    for r in part.to_pylist()
+                ]
+                clean = pa.array([{"kept": t is not None, "text": t} for t in new], pa.struct([("kept", pa.bool_()), ("text", pa.string())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), clean], names=["_row", "_clean"])
+
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_clean", T.StructType(CLEAN))])
+    while True:
+        found = scan(todo, items, "text", item_id, item_text, window, block_words)
+        hit = found.where(F.size("hit_spans") > 0).select("_row", "text", "n_words", "hit_spans")
+        done = pin(hit.mapInArrow(cuts, schema), "decontaminate")
+        rounds.append(done.withColumn("_round", F.lit(len(rounds))))
+        todo = done.where("_clean.kept").select("_row", F.col("_clean.text").alias("text"))
+        if todo.isEmpty():
+            break
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.union(more)
+    last = every.groupBy("_row").agg(F.max_by("_clean", "_round").alias("_clean"))
+    return base.join(last, "_row", "left")

@@ -79,3 +79,29 @@ def test_empty_tables(spark):
     assert D.report(D.scan(df, none)).where("contaminated").count() == 0
     assert D.scan(H.nothing(spark), tests).collect() == []
     assert D.decontaminate(df, none).count() == len(docs)
+
+
+def test_many_blocks_remove_what_one_block_removes(spark):
+    """Two items of different blocks that together cover a text beyond the limit, that
+    overlap, and whose removal joins words into an item of the other block."""
+    word = [f"w{k}" for k in range(200)]
+    item = lambda a, b: " ".join(word[a:b])
+    items = [(1, item(0, 50), "e"), (2, item(45, 95), "e"), (3, item(100, 150), "e")]
+    tests = spark.createDataFrame(items, ITEMS).coalesce(1)
+    texts = [
+        item(0, 42) + " " + item(50, 92) + " " + item(150, 166),  # 42 + 42 of 100 words
+        item(150, 200) + " x " + item(30, 60) + " " + item(150, 170),  # overlapping
+        item(150, 200) + " " + item(0, 5) + " " + item(100, 115) + " " + item(5, 12) + " y " + item(160, 190),
+        item(150, 200) + " " + item(100, 107) + " " + item(0, 15) + " " + item(107, 112) + " y " + item(160, 190),
+        item(150, 200),
+    ]
+    docs = H.documents(spark, [(i, t, "s", "en", len(t), 0, 0.0, "", "", "") for i, t in enumerate(texts)])
+    want = sorted(D.decontaminate(docs, tests).collect())
+    got = D.decontaminate(docs, tests, block_words=60)
+    assert got.columns == docs.columns and sorted(got.collect()) == want
+    assert [r["doc_id"] for r in want] == [1, 2, 3, 4]
+    assert D.report(D.scan(got, tests)).where("contaminated").count() == 0
+    rows, _, df, random_items = tables(spark)
+    key = lambda r: repr(tuple(r))
+    one = sorted(D.decontaminate(df, random_items).collect(), key=key)
+    assert sorted(D.decontaminate(df, random_items, block_words=60).collect(), key=key) == one
