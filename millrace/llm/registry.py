@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, embedding_dedup, language_model, line_dedup, mixing, quality, simhash, token_counts, token_files, toxicity
+from millrace.llm import decontaminate, embedding_dedup, fill_middle, language_model, line_dedup, mixing, quality, simhash, token_counts, token_files, toxicity
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fim = F.col("fim")
+    back = fill_middle.restored(fim.output, fim.form)
+    return fill_middle.rearrange(docs).select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2(fim.output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mix": op1_source_mix,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,6 +165,35 @@ comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op12_fill_in_middle": r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+           sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex
+    FROM documents
+),
+drawn AS (
+    SELECT *, len(u) AS n,
+           CAST('0x' || hex[1:8] AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || hex[9:16] AS BIGINT) % (len(u) + 1) AS c2,
+           CAST('0x' || hex[17:24] AS BIGINT) % 100 AS c3, CAST('0x' || hex[25:32] AS BIGINT) % 100 AS c4
+    FROM units
+),
+parts AS (
+    SELECT doc_id, text, n,
+           array_to_string(u[1:least(c1, c2)], '') AS p,
+           array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+           array_to_string(u[greatest(c1, c2) + 1:n], '') AS s,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c3 >= 50
+                THEN 'plain' WHEN c4 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form != 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form != 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256
+FROM parts""",
     "op8_benchmark_decontamination": f"""
 WITH items AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
 windows AS (

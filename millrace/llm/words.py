@@ -124,6 +124,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, compared as Spark compares names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text, one row at least."""
     column = batch.column(batch.schema.get_field_index(text_col))
