@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, embedding_dedup, fill_middle, language_model, line_dedup, mixing, quality, simhash, token_counts, token_files, toxicity
+from millrace.llm import decontaminate, embedding_dedup, fill_middle, language_model, line_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 from millrace.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mix": op1_source_mix,
     "op2_line_dedup": op2_line_dedup,
@@ -116,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -194,6 +202,30 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
               ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
        sha256(p || m || s) AS restored_sha256
 FROM parts""",
+    "op13_suffix_dedup": """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents
+),
+windows AS (SELECT r, i, md5(substr(hx, 2 * i + 1, 400)) AS w FROM docs, unnest(range(0, n - 199)) AS u(i)),
+repeated AS (SELECT r, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+numbered AS (
+    SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS span
+    FROM (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true) AS fresh FROM repeated)
+),
+spans AS (SELECT r, span, min(i) AS b, max(i) + 200 AS e FROM numbered GROUP BY r, span),
+bounds AS (
+    SELECT r, b, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS after FROM spans
+    UNION ALL
+    SELECT docs.r, n, coalesce(max(e), 0) FROM docs LEFT JOIN spans ON spans.r = docs.r GROUP BY docs.r, n
+),
+kept AS (
+    SELECT r, string_agg(substr(hx, 2 * after + 1, 2 * (b - after)), '' ORDER BY after) AS hx, sum(b - after) AS n
+    FROM bounds JOIN docs USING (r) GROUP BY r
+),
+counts AS (SELECT r, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(docs.n AS BIGINT) AS n_bytes, CAST(docs.n - kept.n AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.hx)) AS kept_sha256
+FROM docs JOIN kept USING (r) LEFT JOIN counts USING (r)""",
     "op8_benchmark_decontamination": f"""
 WITH items AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
 windows AS (

@@ -62,8 +62,8 @@ def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, and where each begins and ends in them; null: empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    """Bytes of all texts (or binary values), and where each begins and ends in them; null: empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
