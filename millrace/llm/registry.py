@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, embedding_dedup, fill_middle, language_model, line_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
-from millrace.session import ship_package
+from millrace.llm import conversation_trie, decontaminate, embedding_dedup, fill_middle, language_model, line_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
+from millrace.session import pin, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,17 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in fives share the first turns of the first of them, each a number of its own."""
+    turns = pin(conversation_trie.ranked_turns(_table(spark, sf_dir, "conversations")), "turns")
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    members = turns.select("conv_id").distinct()
+    first = turns.where((F.col("conv_id") % 5 == 0) & (F.col("pos") <= 8)).withColumnRenamed("conv_id", "base")
+    heads = members.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(first, "base").where(F.col("pos") <= shared)
+    rebuilt = turns.where(F.col("pos") > shared).union(heads.select(*turns.columns))
+    return conversation_trie.trie_of(rebuilt, members)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     fim = F.col("fim")
@@ -122,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
@@ -173,6 +185,47 @@ comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op11_conversation_trie": """
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (
+               PARTITION BY conv_id
+               ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+           ) AS pos,
+           {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM turns),
+members AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+        list_prepend(4294967295::UBIGINT, list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::UBIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: 0::UBIGINT)),
+                                 lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 9 AS h
+    FROM ids
+),
+rebuilt AS (
+    SELECT members.conv_id, pos, t FROM members JOIN turns ON turns.conv_id = base WHERE pos <= h
+    UNION ALL
+    SELECT conv_id, pos, t FROM members JOIN turns USING (conv_id) WHERE pos > h
+),
+whole AS (
+    SELECT conv_id, coalesce(list(t ORDER BY pos) FILTER (t IS NOT NULL), []) AS w FROM members LEFT JOIN rebuilt USING (conv_id) GROUP BY 1
+),
+prefixes AS (SELECT conv_id, w, d, w[1:d] AS p FROM whole, unnest(range(len(w) + 1)) AS u(d)),
+nodes AS (
+    SELECT p, d, min(conv_id) AS conv_id, count(*) AS n,
+           coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(w) = d), '') AS ends
+    FROM prefixes GROUP BY p, d
+),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+sums AS (
+    SELECT p[1:k] AS p, sum(CAST(n_children = 0 AS INTEGER)) AS n_leaves,
+           sum(CASE WHEN d > 0 THEN (n - 1) * strlen(p[d].text) ELSE 0 END) AS saved
+    FROM full_nodes, unnest(range(d + 1)) AS u(k) GROUP BY 1
+)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, a.n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM full_nodes a JOIN sums ON sums.p = a.p LEFT JOIN nodes b ON a.d > 0 AND b.p = a.p[1:a.d - 1]""",
     "op12_fill_in_middle": r"""
 WITH units AS (
     SELECT doc_id, coalesce(text, '') AS text,

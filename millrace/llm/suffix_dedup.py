@@ -433,32 +433,6 @@ def _shard(rows: pa.RecordBatch, window: int) -> list[pa.RecordBatch]:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], size: str, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows that come in the order of ``keys``, in batches of whole groups with ``least`` bytes of
-    the column ``size`` or more."""
-    rows, total = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            values = batch.column(k)
-            new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
-            new[0] |= bool(rows) and values[0] != rows[-1].column(k)[-1]
-        bytes_ = np.cumsum(pc.binary_length(batch.column(size)).to_numpy(zero_copy_only=False))
-        begin = 0
-        for i in np.flatnonzero(new).tolist():
-            if total + (bytes_[i - 1] if i else 0) - (bytes_[begin - 1] if begin else 0) >= least:
-                if i > begin:
-                    rows.append(batch.slice(begin, i - begin))
-                yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-                rows, total, begin = [], 0, i
-        rows.append(batch.slice(begin))
-        total += int(bytes_[-1] - (bytes_[begin - 1] if begin else 0))
-    if rows:
-        yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-
-
 def _once(rows: pa.RecordBatch) -> pa.RecordBatch:
     """Without occurrences that came twice (copies of a text in two tasks)."""
     key, start = _words_of(rows.column(3)), rows.column(4).to_numpy(zero_copy_only=False)
@@ -471,7 +445,7 @@ def search_shards(rows: DataFrame, window: int) -> DataFrame:
     """``SHARD`` rows of ``CONTEXT`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("h", "salt"), "bytes", SHARD_BYTES):
+        for group in W.whole_groups(batches, ("h", "salt"), lambda rows: pc.binary_length(rows.column("bytes")), SHARD_BYTES):
             yield from _shard(_once(group), window)
 
     ordered = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "key", "start")
@@ -507,7 +481,7 @@ def merge_shards(rows: DataFrame) -> DataFrame:
     """``MARK`` rows: windows that repeat across shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("h", "part"), "a", 1):
+        for group in W.whole_groups(batches, ("h", "part"), lambda rows: pc.binary_length(rows.column("a")), 1):
             runs = [_Run(*(group.column(c)[i].as_py() for c in ("a", "b", "keys", "starts"))) for i in range(group.num_rows)]
             hits: list = []
             while len(runs) > 1:

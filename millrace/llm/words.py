@@ -144,6 +144,37 @@ def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
         i = j
 
 
+def whole_groups(
+    batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], size: Callable[[pa.RecordBatch], pa.Array], least: int
+) -> Iterator[pa.RecordBatch]:
+    """Rows that come in the order of ``keys`` (never null), in batches of whole groups whose sizes
+    add up to ``least`` or more; at the end to what is left."""
+    rows, total = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            values = batch.column(k)
+            new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            new[0] |= bool(rows) and values[0] != rows[-1].column(k)[-1]
+        before = np.concatenate([[0], np.cumsum(size(batch).to_numpy(zero_copy_only=False))])
+        begin = 0
+        for i in np.flatnonzero(new).tolist():
+            if total + before[i] - before[begin] >= least:
+                rows.append(batch.slice(begin, i - begin))
+                yield joined()
+                rows, total, begin = [], 0, i
+        rows.append(batch.slice(begin))
+        total += int(before[-1] - before[begin])
+    if rows:
+        yield joined()
+
+
 def with_text_columns(
     df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]]
 ) -> DataFrame:
