@@ -25,6 +25,7 @@ from millrace.session import pin, scratch_path
 from millrace.sources.stages import StageStore
 from millrace.sources.tar_shards import (
     bad_samples,
+    list_shards,
     open_fs,
     read_shards,
     verify_shards,
@@ -36,6 +37,7 @@ EPOCH = 3
 BUFFER, CHUNK, GROUP = 40, 10, 8
 BATCH = 16
 LIMIT = 5
+SPLIT_BYTES = 200_000
 
 
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +110,10 @@ def _damaged(spark: SparkSession, sf_dir: str) -> str:
     rewritten here, in place of what a bad disk does."""
     path = _exported(spark, sf_dir)
     fs, root = open_fs(path)
+    stored = {s.name: s.file for split in (splitting.TRAIN, splitting.VALIDATION) for s in list_shards(path, split)}
 
-    def rewrite(name: str, change) -> None:
+    def rewrite(shard: str, change) -> None:
+        name = stored[shard]
         with fs.open_input_stream(f"{root}/{name}") as f:
             content = f.read()
         fs.delete_file(f"{root}/{name}")
@@ -132,7 +136,18 @@ def shard_bad_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shard_tolerant_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _damaged(spark, sf_dir)
-    return _read_back(read_shards(spark, path, splitting.TRAIN, "DROPMALFORMED"))
+    return _read_back(
+        read_shards(spark, path, splitting.TRAIN, "DROPMALFORMED").unionByName(
+            read_shards(spark, path, splitting.VALIDATION, "DROPMALFORMED")
+        )
+    )
+
+
+def shard_split_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shard read in pieces of a few kilobytes, each by a task of its own."""
+    path = _exported(spark, sf_dir)
+    parts = [read_shards(spark, path, split, split_bytes=SPLIT_BYTES) for split in (splitting.TRAIN, splitting.VALIDATION)]
+    return _read_back(parts[0].unionByName(parts[1]))
 
 
 def shard_verify_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +263,7 @@ QUERIES = {
     "shard_summary": shard_summary,
     "stage_manifest": stage_manifest,
     "shard_roundtrip": shard_roundtrip,
+    "shard_split_read": shard_split_read,
     "shard_verify": shard_verify,
     "shard_bad_samples": shard_bad_samples,
     "shard_tolerant_read": shard_tolerant_read,
@@ -284,7 +300,9 @@ ORACLES = {
         UNION ALL SELECT 'train-00001.tar', '00001_00000', 'UnicodeDecodeError'""",
     "shard_tolerant_read": f"""WITH {SHARD_CTE}
         SELECT {_SAMPLE_SQL} FROM sharded
-        WHERE split = 'train' AND shard_idx > 0 AND sample_key != '00001_00000'""",
+        WHERE shard_idx > 0 AND NOT (split = 'train' AND sample_key = '00001_00000')""",
+    "shard_split_read": f"""WITH {SHARD_CTE}
+        SELECT {_SAMPLE_SQL} FROM sharded""",
     "shard_verify_broken": f"""WITH {SHARD_CTE}
         SELECT printf('%s-%05d.tar', split, shard_idx) AS shard, shard_idx > 0 AS ok,
                CASE WHEN shard_idx = 0 THEN 'ReadError' END AS error

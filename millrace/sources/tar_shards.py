@@ -6,18 +6,28 @@ mask, ``<key>.mask.json``. The Python side only packs and unpacks the container,
 streaming, so memory does not grow with the shard; JSON is made and parsed by
 Spark. Files are reached through Arrow's file systems: local paths and the URIs
 Arrow knows (``hdfs``, ``s3``, ...).
+
+Shards are written in place, under names that carry the job and the task attempt:
+``<prefix>-<number>.<job>-<attempt>.tar``, with the offset of every sample in
+``....index`` beside each. What belongs to a prefix is said by its newest whole manifest,
+``_<prefix>-<version>.manifest``, which the commit writes as one new file: nothing is
+moved, a torn manifest does not count, and files of attempts that failed, or came too late,
+are never seen. Plain ``<prefix>-<number>.tar`` files of other writers are shards as well.
+The offsets let several tasks read one shard, each from its first sample on.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +49,7 @@ IDS_SCHEMA = "array<int>"
 MODES = ("DROPMALFORMED", "PERMISSIVE", "FAILFAST")
 ROWS_PER_BATCH = 1000
 COMMIT_REQUESTS = 64
+SPLIT_BYTES = 64 << 20
 
 # Member name endings and the column each one fills.
 MEMBERS = {"json": "about", "input.json": "input", "mask.json": "mask"}
@@ -52,43 +63,98 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri("/" + local.group(1) if local else path)
 
 
-def list_shards(path: str, prefix: str) -> list[str]:
-    """Shard names of a prefix by number; an error if there are none."""
+@dataclass(frozen=True)
+class Shard:
+    """``name`` is the plain name, ``file`` the one it is stored under; ``size`` is None for
+    shards of other writers, which have no offsets."""
+
+    name: str
+    file: str
+    size: int | None = None
+
+    @property
+    def number(self) -> int:
+        return int(self.name.rpartition("-")[2].partition(".")[0])
+
+
+def _manifest(fs: pafs.FileSystem, root: str, names: Iterable[str], prefix: str) -> tuple[list[Shard], list[str], int]:
+    """Shards of the newest whole manifest, plain names it declares gone, and the highest version."""
+    versions = {}
+    for name in names:
+        if found := re.fullmatch(rf"_{re.escape(prefix)}-(\d+)\.manifest", name):
+            versions[int(found.group(1))] = name
+    for version in sorted(versions, reverse=True):
+        with fs.open_input_stream(f"{root}/{versions[version]}") as f:
+            lines = f.read().decode(errors="replace").splitlines()
+        try:
+            *shards, last = map(json.loads, lines)
+        except ValueError:
+            continue
+        if last.get("shards") == len(shards):
+            return [Shard(**s) for s in shards], last["gone"], max(versions)
+    return [], [], max(versions, default=0)
+
+
+def _listed(path: str) -> tuple[pafs.FileSystem, str, list[str]]:
     fs, root = open_fs(path)
-    name = re.compile(re.escape(prefix) + r"-(\d+)\.tar")
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    names = sorted(
-        (f.base_name for f in found if name.fullmatch(f.base_name)),
-        key=lambda n: int(name.fullmatch(n).group(1)),
-    )
-    if not names:
+    return fs, root, [f.base_name for f in found]
+
+
+def list_shards(path: str, prefix: str) -> list[Shard]:
+    """Shards of a prefix by number; an error if there are none."""
+    fs, root, names = _listed(path)
+    written, gone, _ = _manifest(fs, root, names, prefix)
+    known = {s.name for s in written} | set(gone)
+    plain = [Shard(n, n) for n in names if n not in known and re.fullmatch(rf"{re.escape(prefix)}-\d+\.tar", n)]
+    if not written and not plain:
         raise FileNotFoundError(f"no shards match {path}/{prefix}-*.tar")
-    return names
+    return sorted([*written, *plain], key=lambda s: s.number)
+
+
+def list_prefixes(path: str) -> list[str]:
+    """Prefixes that have shards, or a manifest, in a folder."""
+    names = _listed(path)[2]
+    found = [re.fullmatch(r"_(.+)-\d+\.manifest|(.+)-\d+\.tar", n) for n in names]
+    return sorted({m.group(1) or m.group(2) for m in found if m})
 
 
 @dataclass
 class ShardPartition(InputPartition):
-    name: str
+    """The samples of a shard that begin at these bytes; ``end`` None: all of them."""
+
+    shard: Shard
+    begin: int = 0
+    end: int | None = None
 
 
 @dataclass
 class ShardsWritten(WriterCommitMessage):
-    names: list[str]
+    shards: list[Shard]
 
 
 class TarShardReader(DataSourceReader):
-    """One partition per shard, one row per sample, members as JSON text. A
-    shard that ends badly yields its good samples and a row with ``error``."""
+    """One row per sample, members as JSON text; a shard larger than ``split_bytes`` is read
+    by several tasks. A shard that ends badly yields its good samples and a row with
+    ``error`` from each of its tasks."""
 
-    def __init__(self, path: str, prefix: str) -> None:
-        self.path, self.prefix = path, prefix
+    def __init__(self, path: str, prefix: str, split_bytes: int = SPLIT_BYTES) -> None:
+        self.path, self.prefix, self.split_bytes = path, prefix, split_bytes
 
     def partitions(self) -> list[ShardPartition]:
-        return [ShardPartition(n) for n in list_shards(self.path, self.prefix)]
+        out = []
+        for shard in list_shards(self.path, self.prefix):
+            parts = -(-(shard.size or 0) // self.split_bytes)
+            if parts <= 1:
+                out.append(ShardPartition(shard))
+            else:
+                cuts = [k * shard.size // parts for k in range(parts + 1)]
+                out += [ShardPartition(shard, a, b) for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        for row in self._rows(partition.name):
+        for row in self._rows(partition):
             rows.append(row)
             if len(rows) == ROWS_PER_BATCH:
                 yield pa.RecordBatch.from_pylist(rows, schema=_RAW_SCHEMA)
@@ -96,15 +162,36 @@ class TarShardReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_RAW_SCHEMA)
 
-    def _rows(self, shard: str) -> Iterator[dict]:
+    def _range(self, fs: pafs.FileSystem, root: str, part: ShardPartition) -> tuple[int, int | None] | None:
+        """Offsets of the first sample to read and of the first one not to."""
+        if part.end is None:
+            return 0, None
+        try:
+            with fs.open_input_stream(f"{root}/{part.shard.file}.index") as f:
+                offsets = np.frombuffer(f.read(), "<i8")
+        except (OSError, ValueError):
+            return None if part.begin else (0, None)  # without offsets one task reads all
+        first, last = np.searchsorted(offsets, [part.begin, part.end])
+        if first == last:
+            return None
+        return int(offsets[first]), int(offsets[last]) if last < len(offsets) else None
+
+    def _rows(self, part: ShardPartition) -> Iterator[dict]:
         fs, root = open_fs(self.path)
+        span, shard = self._range(fs, root, part), part.shard.name
+        if span is None:
+            return
+        start, stop = span
         row: dict = {}
-        with fs.open_input_stream(f"{root}/{shard}") as stream:
+        with fs.open_input_file(f"{root}/{part.shard.file}") as stream:
             try:
+                stream.seek(start)
                 with tarfile.open(fileobj=stream, mode="r|") as tar:
                     # Members of a sample follow each other and share the name
                     # before the first dot.
                     for member in tar:
+                        if stop is not None and start + member.offset >= stop:
+                            break
                         key, _, kind = member.name.partition(".")
                         if row and row["sample_key"] != key:
                             yield row
@@ -124,80 +211,103 @@ class TarShardReader(DataSourceReader):
                 yield {"shard": shard, "error": f"{type(problem).__name__}: {problem}"}
 
 
+class _OpenShard:
+    """A shard that is being written, and the offset of each of its samples."""
+
+    def __init__(self, fs: pafs.FileSystem, root: str, shard: Shard) -> None:
+        self.fs, self.path, self.shard = fs, f"{root}/{shard.file}", shard
+        self.offsets: list[int] = []
+        self.stream = fs.open_output_stream(self.path)
+        self.tar = tarfile.open(fileobj=self.stream, mode="w|", format=tarfile.USTAR_FORMAT)
+
+    def add(self, row: dict) -> None:
+        self.offsets.append(self.tar.offset)
+        for ending, column in MEMBERS.items():
+            if row[column] is not None:
+                content = row[column].encode()
+                member = tarfile.TarInfo(f"{row['sample_key']}.{ending}")
+                member.size = len(content)
+                self.tar.addfile(member, io.BytesIO(content))
+
+    def close(self) -> Shard:
+        self.tar.close()
+        self.stream.close()
+        with self.fs.open_output_stream(f"{self.path}.index") as f:
+            f.write(np.array(self.offsets, "<i8").tobytes())
+        return Shard(self.shard.name, self.shard.file, self.tar.offset)
+
+
 class TarShardWriter(DataSourceArrowWriter):
-    """Each task attempt writes under a name of its own; the commit moves the
-    shards of the attempts that counted, so retries and lost executors leave
-    nothing behind."""
+    """Each task attempt writes under names of its own; the commit says in a manifest which
+    of them count, so retries and lost executors leave nothing that is seen."""
 
     def __init__(self, path: str, prefix: str, overwrite: bool) -> None:
         self.path, self.prefix, self.overwrite = path, prefix, overwrite
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> ShardsWritten:
         fs, root = open_fs(self.path)
-        fs.create_dir(f"{root}/{self.staging}", recursive=True)
-        attempt = uuid.uuid4().hex
-        written = ShardsWritten([])
-        shard, filled, stream, tar = None, 0, None, None
+        fs.create_dir(root, recursive=True)
+        attempt = uuid.uuid4().hex[:12]
+        done: list[Shard] = []
+        seen: set[int] = set()
+        shard, now = None, None
         for batch in iterator:
             for row in batch.to_pylist():
                 if row["shard_idx"] != shard:
-                    if tar is not None:
-                        tar.close()
-                        stream.close()
-                    shard, filled = row["shard_idx"], 0
-                    name = f"{attempt}.{self.prefix}-{shard:05d}.tar"
-                    if name in written.names:
+                    if now is not None:
+                        done.append(now.close())
+                    shard = row["shard_idx"]
+                    if shard in seen:
                         raise ValueError("rows must be sorted by shard_idx, shard_pos")
-                    written.names.append(name)
-                    stream = fs.open_output_stream(f"{root}/{self.staging}/{name}")
-                    tar = tarfile.open(
-                        fileobj=stream, mode="w|", format=tarfile.USTAR_FORMAT
-                    )
-                if row["shard_pos"] != filled:
-                    raise ValueError(f"shard {shard}: expected position {filled}")
-                filled += 1
-                for ending, column in MEMBERS.items():
-                    if row[column] is not None:
-                        content = row[column].encode()
-                        member = tarfile.TarInfo(f"{row['sample_key']}.{ending}")
-                        member.size = len(content)
-                        tar.addfile(member, io.BytesIO(content))
-        if tar is not None:
-            tar.close()
-            stream.close()
-        return written
+                    seen.add(shard)
+                    stem = f"{self.prefix}-{shard:05d}"
+                    now = _OpenShard(fs, root, Shard(f"{stem}.tar", f"{stem}.{self.job}-{attempt}.tar"))
+                if row["shard_pos"] != len(now.offsets):
+                    raise ValueError(f"shard {shard}: expected position {len(now.offsets)}")
+                now.add(row)
+        if now is not None:
+            done.append(now.close())
+        return ShardsWritten(done)
 
     def commit(self, messages: list[ShardsWritten | None]) -> None:
-        fs, root = open_fs(self.path)
-        written = [n for m in messages if m for n in m.names]
-        final = {n.split(".", 1)[1]: n for n in written}
-        if len(final) != len(written):
+        written = sorted((s for m in messages if m for s in m.shards), key=lambda s: s.number)
+        if len({s.name for s in written}) != len(written):
             self.abort(messages)
             raise ValueError("a shard was written by several tasks")
-        try:
-            stale = set(list_shards(self.path, self.prefix)) if self.overwrite else set()
-        except FileNotFoundError:
-            stale = set()
-        # Requests to the store, not data; a store answers many at a time.
-        with ThreadPoolExecutor(COMMIT_REQUESTS) as pool:
-            moves = [(f"{root}/{self.staging}/{s}", f"{root}/{t}") for t, s in final.items()]
-            list(pool.map(lambda m: fs.move(*m), moves))
-            list(pool.map(fs.delete_file, [f"{root}/{name}" for name in stale - set(final)]))
-        self._drop_staging(fs, root)
+        fs, root, names = _listed(self.path)
+        before, gone, version = _manifest(fs, root, names, self.prefix)
+        new = {s.name for s in written}
+        plain = [n for n in names if re.fullmatch(rf"{re.escape(self.prefix)}-\d+\.tar", n)]
+        if self.overwrite:
+            shards, gone = written, sorted(set(gone) | set(plain))
+        else:
+            shards = [s for s in before if s.name not in new] + written
+        lines = [asdict(s) for s in shards] + [{"shards": len(shards), "gone": gone}]
+        # One new file: there for readers when its last line is.
+        with fs.open_output_stream(f"{root}/_{self.prefix}-{version + 1:08d}.manifest") as f:
+            f.write("\n".join(map(json.dumps, lines)).encode())
+        kept = {s.file for s in shards}
+        stale = [s.file for s in before if s.file not in kept]
+        stale += [n for n in names if f".{self.job}-" in n and n.removesuffix(".index") not in kept]
+        stale += [f"{f}.index" for f in stale if f"{f}.index" in set(names)]
+        stale += [n for n in names if re.fullmatch(rf"_{re.escape(self.prefix)}-\d+\.manifest", n)]
+        self._delete(fs, root, [*stale, *(plain if self.overwrite else [])])
 
     def abort(self, messages: list[ShardsWritten | None]) -> None:
-        self._drop_staging(*open_fs(self.path))
+        fs, root, names = _listed(self.path)
+        self._delete(fs, root, [n for n in names if f".{self.job}-" in n])
 
-    def _drop_staging(self, fs: pafs.FileSystem, root: str) -> None:
-        folder = f"{root}/{self.staging}"
-        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
-            fs.delete_dir(folder)
+    @staticmethod
+    def _delete(fs: pafs.FileSystem, root: str, names: list[str]) -> None:
+        # Requests to the store, not data; a store answers many at a time.
+        with ThreadPoolExecutor(COMMIT_REQUESTS) as pool:
+            list(pool.map(fs.delete_file, [f"{root}/{n}" for n in dict.fromkeys(names)]))
 
 
 class TarShards(DataSource):
-    """Options: ``path`` and ``prefix``. Rows are samples as JSON text; see
-    ``read_shards`` and ``write_shards`` for typed ones."""
+    """Options: ``path``, ``prefix`` and, for reading, ``split_bytes``. Rows are samples as
+    JSON text; see ``read_shards`` and ``write_shards`` for typed ones."""
 
     @classmethod
     def name(cls) -> str:
@@ -207,7 +317,8 @@ class TarShards(DataSource):
         return ", ".join(f"{c} string" for c in RAW_COLUMNS)
 
     def reader(self, schema) -> TarShardReader:
-        return TarShardReader(self.options["path"], self.options["prefix"])
+        split = int(self.options.get("split_bytes", SPLIT_BYTES))
+        return TarShardReader(self.options["path"], self.options["prefix"], split)
 
     def writer(self, schema, overwrite: bool) -> TarShardWriter:
         return TarShardWriter(self.options["path"], self.options["prefix"], overwrite)
@@ -248,15 +359,17 @@ def write_shards(sharded: DataFrame, path: str, prefix: str, tasks: int | None =
     )
 
 
-def read_shards(spark: SparkSession, path: str, prefix: str, mode: str = "PERMISSIVE") -> DataFrame:
+def read_shards(
+    spark: SparkSession, path: str, prefix: str, mode: str = "PERMISSIVE", split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """``(sample_key, original_id, domain, fragment_idx, text, attention_mask,
-    shard)``. What cannot be decoded is kept as a row with ``error`` set (PERMISSIVE,
+    shard)``; a shard above ``split_bytes`` is read by several tasks. What cannot be decoded is kept as a row with ``error`` set (PERMISSIVE,
     so that nothing goes unseen), left out (DROPMALFORMED), or ends the query
     (FAILFAST)."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     register(spark)
-    raw = spark.read.format(FORMAT).option("prefix", prefix).load(path)
+    raw = spark.read.format(FORMAT).option("prefix", prefix).option("split_bytes", split_bytes).load(path)
     decoded = raw.select(
         "sample_key",
         "shard",
@@ -310,22 +423,16 @@ def verify_shards(
     """``(shard, ok, error, members)``: every n-th shard is opened and its first
     members are listed. Problems are reported, nothing is changed."""
     ship_package(spark)
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"{prefix}-*.tar")
-        .load(path)
-        .select("path")
-    )
-    number = F.regexp_extract("path", r"-(\d+)\.tar$", 1).cast("bigint")
+    prefixes = list_prefixes(path) if prefix == "*" else [prefix]
+    shards = [s for p in prefixes for s in list_shards(path, p) if s.number % every_n == 0]
+    files = spark.createDataFrame([(s.name, s.file) for s in shards], "shard string, file string")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = [_check(p, max_members) for p in batch.column("path").to_pylist()]
+            results = [_check(path, r["shard"], r["file"], max_members) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(results, schema=_CHECK_SCHEMA)
 
-    return files.filter(number % every_n == 0).mapInArrow(
-        check, "shard string, ok boolean, error string, members int"
-    )
+    return files.mapInArrow(check, "shard string, ok boolean, error string, members int")
 
 
 _CHECK_SCHEMA = pa.schema(
@@ -333,12 +440,12 @@ _CHECK_SCHEMA = pa.schema(
 )
 
 
-def _check(path: str, max_members: int) -> dict:
+def _check(path: str, shard: str, file: str, max_members: int) -> dict:
     listed, error = 0, None
     try:
-        fs, name = open_fs(path)
+        fs, root = open_fs(path)
         with (
-            fs.open_input_stream(name) as stream,
+            fs.open_input_stream(f"{root}/{file}") as stream,
             tarfile.open(fileobj=stream, mode="r|") as tar,
         ):
             for _ in tar:
@@ -347,5 +454,4 @@ def _check(path: str, max_members: int) -> dict:
                     break
     except (tarfile.TarError, EOFError, OSError) as problem:
         error = f"{type(problem).__name__}: {problem}"
-    shard = path.rsplit("/", 1)[-1]
     return {"shard": shard, "ok": error is None, "error": error, "members": listed}

@@ -12,7 +12,11 @@ from millrace.operators.tokenizing import encode_with
 from millrace.plans.prepare import prepare_corpus
 from millrace.sources.stages import StageStore
 from millrace.sources.tar_shards import (
+    ShardsWritten,
+    TarShardReader,
+    TarShardWriter,
     bad_samples,
+    list_shards,
     read_shards,
     verify_shards,
     write_shards,
@@ -54,9 +58,9 @@ def test_shards_round_trip(spark, sharded, tmp_path):
     assert as_rows(back.withColumnRenamed("text", "ids")) == as_rows(
         sharded.withColumnRenamed("input_ids", "ids")
     )
-    names = sorted(p.name for p in tmp_path.iterdir())
-    assert names == [f"train-{i:05d}.tar" for i in range(12)]
-    with tarfile.open(tmp_path / "train-00011.tar") as tar:
+    stored = {s.name: tmp_path / s.file for s in list_shards(str(tmp_path), "train")}
+    assert list(stored) == [f"train-{i:05d}.tar" for i in range(12)]
+    with tarfile.open(stored["train-00011.tar"]) as tar:
         members = tar.getnames()
         assert members[:2] == ["00011_00000.json", "00011_00000.input.json"]
         assert json.load(tar.extractfile("00011_00001.input.json")) == [221, 5]
@@ -69,9 +73,11 @@ def test_writing_again_replaces_one_prefix_only(spark, sharded, tmp_path):
     write_shards(sharded, str(tmp_path), "train")
     write_shards(sharded.filter("shard_idx = 0"), str(tmp_path), "val")
     write_shards(sharded.filter("shard_idx < 2"), str(tmp_path), "train")
-    assert sorted(p.name for p in tmp_path.iterdir()) == [
-        "train-00000.tar", "train-00001.tar", "val-00000.tar",
-    ]
+    shards = [s for prefix in ("train", "val") for s in list_shards(str(tmp_path), prefix)]
+    assert [s.name for s in shards] == ["train-00000.tar", "train-00001.tar", "val-00000.tar"]
+    # Nothing else is left but offsets and a manifest for each prefix.
+    assert {p.name for p in tmp_path.iterdir() if p.suffix == ".tar"} == {s.file for s in shards}
+    assert len([p for p in tmp_path.iterdir() if p.suffix in (".index", ".manifest")]) == 5
     checked = verify_shards(spark, str(tmp_path)).collect()
     assert {(r.shard, r.ok, r.members) for r in checked} == {
         ("train-00000.tar", True, 5), ("val-00000.tar", True, 5),
@@ -84,6 +90,88 @@ def test_gaps_in_a_shard_are_refused(sharded, tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def _batch(sharded, where):
+    columns = ["shard_idx", "shard_pos", "sample_key", "'{}' as about", "'[1]' as input", "cast(null as string) as mask"]
+    return sharded.filter(where).orderBy("shard_idx", "shard_pos").selectExpr(*columns).toArrow().to_batches()
+
+
+def test_attempts_that_died_are_never_seen(sharded, tmp_path):
+    """A task is killed in the middle of a shard and runs again; another one comes too late."""
+    path = str(tmp_path)
+    writer = TarShardWriter(path, "train", overwrite=True)
+    rows = _batch(sharded, "shard_idx < 2")
+
+    def killed():
+        yield rows[0].slice(0, 25)
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        writer.write(killed())
+    good = writer.write(iter(rows))
+    files = {s.file for s in good.shards}
+    assert len(list(tmp_path.glob("train-*.tar"))) == 4
+    with pytest.raises(FileNotFoundError):
+        list_shards(path, "train")
+    writer.commit([good, None])
+    assert {p.name for p in tmp_path.glob("train-*.tar")} == files
+    writer.write(iter(rows))
+    assert {s.file for s in list_shards(path, "train")} == files
+    keys = [r["sample_key"] for p in TarShardReader(path, "train").partitions() for r in TarShardReader(path, "train")._rows(p)]
+    assert keys == [f"{i:05d}_{k:05d}" for i in range(2) for k in range(20)]
+
+
+def test_a_commit_that_died_changes_nothing(sharded, tmp_path):
+    path = str(tmp_path)
+    first = TarShardWriter(path, "train", overwrite=True)
+    first.commit([first.write(iter(_batch(sharded, "shard_idx = 0")))])
+    before = list_shards(path, "train")
+    whole = (tmp_path / "_train-00000001.manifest").read_bytes()
+    second = TarShardWriter(path, "train", overwrite=True)
+    late = second.write(iter(_batch(sharded, "shard_idx = 1")))
+    for torn in (whole[:-3], whole.splitlines()[0], b""):
+        (tmp_path / "_train-00000002.manifest").write_bytes(torn)
+        assert list_shards(path, "train") == before
+    second.commit([late])
+    assert [s.name for s in list_shards(path, "train")] == ["train-00001.tar"]
+    assert [p.name for p in tmp_path.glob("*.manifest")] == ["_train-00000003.manifest"]
+
+
+def test_two_tasks_with_one_shard_are_refused(sharded, tmp_path):
+    writer = TarShardWriter(str(tmp_path), "train", overwrite=True)
+    rows = _batch(sharded, "shard_idx = 0")
+    twice = [writer.write(iter(rows)), writer.write(iter(rows))]
+    with pytest.raises(ValueError, match="several tasks"):
+        writer.commit(twice)
+    assert not list(tmp_path.iterdir()) and isinstance(twice[0], ShardsWritten)
+
+
+def test_one_shard_is_read_by_several_tasks(spark, tmp_path):
+    whole = spark.range(3000).selectExpr(
+        "0 as shard_idx", "cast(id as int) as shard_pos", "format_string('00000_%05d', id) as sample_key",
+        "concat('d', id) as original_id", "'x' as domain", "0 as fragment_idx",
+        "sequence(0, cast(id % 50 as int)) as input_ids", "array(1) as attention_mask",
+    )
+    path = str(tmp_path)
+    write_shards(whole, path, "train")
+    (shard,) = list_shards(path, "train")
+    assert shard.size == (tmp_path / shard.file).stat().st_size or shard.size + 10240 > (tmp_path / shard.file).stat().st_size
+    rows = as_rows(whole.withColumnRenamed("input_ids", "ids"))
+    for split in (100_000, 1_000_000, 1 << 30):
+        back = read_shards(spark, path, "train", split_bytes=split)
+        assert back.rdd.getNumPartitions() == -(-shard.size // split)
+        got = back.collect()
+        assert len(got) == 3000 and all(r.error is None for r in got)
+        assert as_rows(back.withColumnRenamed("text", "ids")) == rows
+    busy = read_shards(spark, path, "train", split_bytes=1_000_000).select(F.spark_partition_id()).distinct().count()
+    assert busy == -(-shard.size // 1_000_000)
+    (tmp_path / f"{shard.file}.index").unlink()
+    assert as_rows(read_shards(spark, path, "train", split_bytes=1_000_000).withColumnRenamed("text", "ids")) == rows
+    # Cut off in the middle: what is whole is read, and every task that misses something says so.
+    (tmp_path / shard.file).write_bytes((tmp_path / shard.file).read_bytes()[: shard.size // 2])
+    bad = read_shards(spark, path, "train", split_bytes=1_000_000)
+    assert 0 < bad.filter("error IS NULL").count() < 3000 and bad.filter("error IS NOT NULL").count() >= 1
+
+
 def test_missing_shards_are_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="no shards match"):
         read_shards(spark, str(tmp_path), "train").count()
@@ -111,8 +199,8 @@ def test_tolerant_reading(spark, sharded, tmp_path):
             ("00002_00004.mask.json", b"nope"), ("00002_00004.txt", b"ignored"),
         ],
     )
-    whole = (tmp_path / "train-00001.tar").read_bytes()
-    (tmp_path / "train-00001.tar").write_bytes(whole[:6000])
+    second = tmp_path / next(s.file for s in list_shards(str(tmp_path), "train") if s.number == 1)
+    second.write_bytes(second.read_bytes()[:6000])
     (tmp_path / "train-00010.tar").write_bytes(b"this is not a tar file" * 100)
     path = str(tmp_path)
     good = read_shards(spark, path, "train", "DROPMALFORMED")
