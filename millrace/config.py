@@ -10,6 +10,9 @@ from dataclasses import asdict, dataclass, field
 from millrace.functions.tokens import FALLBACK_PAD_ID, check_window
 
 
+LAYOUT = 2  # of the stored stages
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """One text source: where it lies, how it is cleaned, what it is called."""
@@ -62,10 +65,11 @@ class CorpusConfig:
     def quotas(self) -> list[int]:
         return source_quotas(self.max_examples, self.ratios)
 
-    def fingerprint(self) -> str:
-        """Short digest of every setting that changes results, so that stored
-        stages are reused only by an identical configuration."""
-        settings = asdict(self)
+    def fingerprint(self, inputs: Sequence[str] = ()) -> str:
+        """Short digest of every setting that changes results and of the snapshots of the
+        ``inputs``, so that stored stages are reused only by an identical configuration
+        over the same files."""
+        settings = asdict(self) | {"inputs": list(inputs), "layout": LAYOUT}
         settings.pop("base_path")
         text = json.dumps(settings, sort_keys=True, default=str)
         return hashlib.sha256(text.encode()).hexdigest()[:12]

@@ -133,9 +133,9 @@ def index_from_place(
     """Replace ``_place`` by the 0-based rank of the row (within ``by``).
 
     Rows of a group are contiguous in every partition, so a partition needs one
-    count and one first place per group. That table is written down, so later
-    readers of the result do not derive it again. It has a row per partition
-    and is broadcast; with ``by`` it may be larger and its size decides.
+    count and one first place per group. Without ``by`` these are counted at once, a row
+    per partition, and go to all readers with the plan; with ``by`` they may be many, so
+    they are written down and their size decides how they are joined.
     ``slices`` names a column that orders several written tables.
     """
     part = ([slices] if slices else []) + ["_part"]
@@ -147,8 +147,11 @@ def index_from_place(
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    starts = save(starts, "offsets")
-    starts = starts if by else F.broadcast(starts)
+    if by:
+        starts = save(starts, "offsets")
+    else:
+        counted = placed.sparkSession.createDataFrame(starts.collect(), starts.schema)
+        starts = F.broadcast(counted)
     index = F.col("_start") + F.col("_place") - F.col("_first")
     return (
         join_null_safe(rows, starts, [*by, *part])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import CorpusConfig
 from millrace.operators.batching import with_batches
-from millrace.operators.quota import union_sources
+from millrace.operators.quota import number_sources
 from millrace.operators.reports import attribution, domain_stats
 from millrace.operators.sharding import shuffled_fragments
 from millrace.operators.shuffling import (
@@ -21,7 +21,7 @@ from millrace.operators.shuffling import (
 )
 from millrace.operators.splitting import TRAIN, VALIDATION, stratified_split
 from millrace.operators.tokenizing import encode_hash
-from millrace.sources.stages import StageStore
+from millrace.sources.stages import StageStore, input_snapshot
 from millrace.sources.tar_shards import verify_shards, write_shards
 from millrace.sources.text import read_source
 
@@ -92,12 +92,15 @@ def prepare_corpus(
     processing_date: str,
     encode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> PreparedCorpus:
-    """Clean, take quotas, split, tokenise and shard, reusing stored stages.
+    """Clean, take quotas, split, tokenise and shard, reusing stored stages of the same
+    configuration over the same input files.
 
-    ``encode`` maps a table with ``text`` to the same table with ``ids``; the
+    The cleaned texts are written once. Ids, order and split are narrow tables of row
+    numbers; a text is fetched by its number when its tokens are made. ``encode`` maps a table with ``text`` to the same table with ``ids``; the
     default is the hash vocabulary.
     """
-    store = StageStore(spark, config.base_path, config.fingerprint())
+    inputs = [input_snapshot(spark, s.path) for s in config.sources]
+    store = StageStore(spark, config.base_path, config.fingerprint(inputs))
     if (encode is None) != (config.tokenizer == "hash"):
         raise ValueError("name the tokenizer in the configuration if and only if you supply it")
     encode = encode or (lambda df: encode_hash(df, config.vocab_size))
@@ -106,23 +109,24 @@ def prepare_corpus(
         return store.get(stage, lambda: rows)
 
     sources = [read_source(spark, s) for s in config.sources]
-    examples = union_sources(sources, config.quotas(), config.min_words_exclusive, save)
+    numbered = number_sources(sources, config.quotas(), config.min_words_exclusive, save)
+    index = numbered.index
 
     def about() -> DataFrame:
         labels = {s.domain: s.label or s.domain for s in config.sources}
         return attribution(
-            examples, config.attribution, labels, config.min_words_exclusive, processing_date
+            index, config.attribution, labels, config.min_words_exclusive, processing_date
         )
 
     store.get("attribution", about, file_format="json")
 
     def split() -> DataFrame:
-        return stratified_split(examples, config.val_ratio, config.seed)
+        return stratified_split(index, config.val_ratio, config.seed)
 
     parts = store.get("split", split, ["split"])
     tokens = store.get(
         "tokens",
-        lambda: encode(parts.select("id", "domain", "split", "text"))
+        lambda: encode(numbered.texts.join(parts, ["domain", "_row"]).select("id", "domain", "split", "text"))
         .drop("text")
         .withColumn("n_tokens", F.size("ids")),
         ["split"],
@@ -134,4 +138,4 @@ def prepare_corpus(
         ),
         ["split"],
     )
-    return PreparedCorpus(spark, config, store, examples)
+    return PreparedCorpus(spark, config, store, numbered.join())

@@ -47,11 +47,11 @@ def ship_package(spark: SparkSession) -> None:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy work on a small scan a task per core at least.
 
-    A scan with fewer partitions than twice the cores (few files, or one row
-    group) is redistributed by ``keys``; a large scan is left as it is.
+    A scan with fewer partitions than cores (few files, or one row group) is
+    redistributed by ``keys``; a large scan is left as it is.
     """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch_root(spark: SparkSession) -> str:

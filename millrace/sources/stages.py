@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 MANIFEST_SCHEMA = "stage string, split string, rows bigint, shards bigint"
 
 
+def input_snapshot(spark: SparkSession, path: str) -> str:
+    """Number, size, and a digest of names, sizes and times of the files below ``path``.
+
+    Spark lists them, and their contents are not read; the digest does not depend on order.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    each = F.xxhash64("path", "length", F.col("modificationTime").cast("double"))
+    found = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(each)).first()
+    return ":".join(str(v) for v in found)
+
+
 @dataclass(frozen=True)
 class StageStore:
     """Tables below ``<base>/<fingerprint>/<stage>``, with a manifest of exact

@@ -100,6 +100,39 @@ def test_split_and_shard_slots_move_the_tokens_once(spark, examples, unbroadcast
     assert df.select(keys).exceptAll(want.select(keys)).count() == 0
 
 
+def test_texts_are_written_once_and_moved_for_their_tokens_only(spark, sf_dir, tmp_path, unbroadcast, monkeypatch):
+    """Of all tables a preparation writes, one of each source holds its cleaned text."""
+    from millrace.config import CorpusConfig, SourceSpec
+    from millrace.plans import prepare
+    from millrace.sources import stages
+
+    plans = {}
+    get = stages.StageStore.get
+
+    def seen(store, stage, build, *args, **options):
+        def built():
+            df = build()
+            plans[stage] = df
+            return df
+
+        return get(store, stage, built, *args, **options)
+
+    monkeypatch.setattr(stages.StageStore, "get", seen)
+    config = CorpusConfig(
+        sources=(
+            SourceSpec("web", f"{sf_dir}/documents.parquet", order=("doc_id",)),
+            SourceSpec("math", f"{sf_dir}/conversations.parquet", cleaner="math", order=("conv_id", "turn")),
+        ),
+        base_path=str(tmp_path), ratios=(0.5,), window=64, stride=8,
+    )
+    corpus = prepare.prepare_corpus(spark, config, "d")
+    assert [s for s, df in plans.items() if "text" in df.columns] == ["kept-web-0", "kept-math-0"]
+    assert _payload_exchanges(plans["split"], "text") == 0 and "text" not in corpus.split.columns
+    assert len(re.findall(r"ReadSchema: struct<[^\n]*text:string", plan_of(plans["tokens"]))) == 2
+    assert plan_of(plans["tokens"]).count("regexp_replace") == 0
+    assert {r.id: r.text for r in corpus.clean.collect()}.keys() == {r.id for r in corpus.split.collect()}
+
+
 def test_table_function_is_seen_through(spark):
     table_functions.register(spark)
     df = spark.sql("SELECT w.* FROM (SELECT array(1, 2, 3) AS ids), LATERAL token_windows(ids, 2, 1, 9) AS w")

@@ -49,7 +49,7 @@ def test_quota_takes_the_first_kept_rows(spark, hot, quota):
 
 def test_small_quota_cleans_a_small_prefix(spark):
     kept = first_kept(Source("web", texts(spark, 6000), ["a", "b"], web_clean), 20)
-    assert 20 <= kept.count() < 200
+    assert 20 <= kept.texts.count() < 200
 
 
 def test_whole_quota_for_one_source(spark):
@@ -75,9 +75,11 @@ def test_a_source_is_cleaned_once_and_filtered_before_the_exchange(spark):
         return pin(df, label)
 
     kept = first_kept(Source("web", rows, ["a", "b"], web_clean), None, save=save)
-    assert kept.count() == 333 and seen.value == 500
+    assert kept.texts.count() == 333 and seen.value == 500
     assert "Exchange" not in plans[0] and "Exchange" in plans[1]
     assert "regexp_replace" in plans[0] and "regexp_replace" not in plans[1]
+    # The text is written once; only keys are put in order.
+    assert "text#" in plans[0] and "text" not in plans[1]
 
 
 @pytest.mark.parametrize("kind", ["date", "timestamp"])
@@ -85,12 +87,41 @@ def test_time_keys_stop_early_too(spark, kind):
     day = "date_add(date'2020-01-01', cast(a as int))"
     rows = texts(spark, 3000).withColumn("a", F.expr(day if kind == "date" else f"cast({day} as timestamp)"))
     source = Source("web", rows, ["a", "b"], web_clean)
-    assert first_kept(source, 20).count() < 200
+    assert first_kept(source, 20).texts.count() < 200
     want = [r.text.strip() for r in sorted((r for r in rows.collect() if r.b % 3), key=lambda r: (r.a, r.b))][:20]
     got = sorted(union_sources([source], [20]).collect(), key=lambda r: r.pos)
     assert [r.text for r in got] == want
 
 
+@pytest.mark.parametrize("kind", ["string", "composite", "decimal"])
+def test_keys_of_any_type_stop_early(spark, kind):
+    """A quota of 20 of 3000 rows: the rows cleaned are counted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    counted = counted.asNondeterministic()
+    first = {"string": "format_string('é%06d', a)", "composite": "cast(a div 2000 as string)", "decimal": "cast(a / 7 as decimal(12, 4))"}[kind]
+    rows = texts(spark, 3000).withColumn("b", F.lpad(F.col("a").cast("string"), 6, "0")).withColumn("a", F.expr(first))
+    rows = rows.withColumn("a", F.when(F.col("b") != "000007", F.col("a")))
+    want = sorted((r for r in rows.collect() if r.text != "too short"), key=lambda r: (r.a is not None, r.a or 0, r.b))
+    clean = lambda c: web_clean(counted(c))
+    got = union_sources([Source("web", rows, ["a", "b"], clean)], [20]).orderBy("pos").collect()
+    assert [r.text for r in got] == [r.text.strip() for r in want[:20]]
+    assert 20 <= seen.value < 300
+
+
+def test_a_quota_between_equal_keys(spark):
+    """Slices end between keys, wherever the sketch puts them."""
+    rows = texts(spark, 600).withColumn("a", F.lit("same"))
+    got = union_sources([Source("web", rows, ["a", "b"], web_clean)], [7]).orderBy("pos").collect()
+    kept = sorted((r for r in rows.collect() if r.b % 3), key=lambda r: r.b)
+    assert [r.text for r in got] == [r.text.strip() for r in kept[:7]]
+
+
 def test_quota_counts_rows_without_a_key(spark):
     rows = texts(spark, 300).withColumn("a", F.when(F.col("b") != 1, F.col("a")))
     got = union_sources([Source("web", rows, ["a", "b"], web_clean)], [5]).collect()

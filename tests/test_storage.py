@@ -311,6 +311,29 @@ def test_whole_preparation(spark, config, tmp_path):
     assert again.attribution.first().processing_date == "2024-01-01"
 
 
+def test_a_changed_source_is_prepared_again(spark, config, tmp_path):
+    from shutil import copytree
+
+    source = tmp_path / "docs"
+    rows = spark.range(60).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 12) as text")
+    rows.repartition(2).write.parquet(str(source))
+    own = replace(
+        config, base_path=str(tmp_path / "out"), ratios=(), max_examples=1000,
+        sources=(SourceSpec("web", str(source), order=("doc_id",)),),
+    )
+    first = prepare_corpus(spark, own, "one")
+    assert first.attribution.first().processed_examples == 60
+    assert prepare_corpus(spark, own, "two").attribution.first().processing_date == "one"
+    more = spark.range(60, 90).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 12) as text")
+    more.write.mode("append").parquet(str(source))
+    again = prepare_corpus(spark, own, "three")
+    assert again.store.root != first.store.root
+    assert (again.attribution.first().processed_examples, again.attribution.first().processing_date) == (90, "three")
+    copytree(source, tmp_path / "copy")  # files of other names and times are another input
+    moved = replace(own, sources=(SourceSpec("web", str(tmp_path / "copy"), order=("doc_id",)),))
+    assert prepare_corpus(spark, moved, "four").store.root != again.store.root
+
+
 def test_supplied_tokenizer_needs_a_name(spark, config):
     class Ones:
         def encode(self, texts):
