@@ -174,6 +174,11 @@ def block_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(_keys(spark, sf_dir, splitting.TRAIN)).select("sample_key", "pos")
 
 
+def buffer_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions = shuffling.read_positions(_keys(spark, sf_dir, splitting.TRAIN), SEED, EPOCH)
+    return shuffling.buffer_shuffle(positions, SEED, EPOCH, "sample_key", BUFFER).select("sample_key", "pos")
+
+
 def chunk_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(_keys(spark, sf_dir, splitting.TRAIN)).select("sample_key", "pos")
 
@@ -270,6 +275,7 @@ QUERIES = {
     "shard_verify_broken": shard_verify_broken,
     "shard_order": shard_order,
     "block_shuffle": block_shuffle,
+    "buffer_shuffle": buffer_shuffle,
     "chunk_shuffle": chunk_shuffle,
     "train_batches": train_batches,
     "val_batches": val_batches,
@@ -309,6 +315,13 @@ ORACLES = {
         FROM sharded GROUP BY split, shard_idx""",
     "shard_order": f"WITH {_ORDER_CTE} SELECT shard_idx, n, shard_rank, first_pos FROM shard_order",
     "block_shuffle": f"WITH {_BLOCK_CTE} SELECT sample_key, pos FROM blocks",
+    "buffer_shuffle": f"""WITH {_ORDER_CTE},
+        drawn AS (
+            SELECT sample_key, first_pos + shard_pos AS pos, md5('{SEED}:{EPOCH}:' || sample_key) AS digest
+            FROM sharded JOIN shard_order USING (shard_idx) WHERE split = 'train')
+        SELECT sample_key, row_number() OVER (
+                   ORDER BY pos + CAST('0x' || substr(digest, 1, 8) AS BIGINT) % {BUFFER}, digest, sample_key) - 1 AS pos
+        FROM drawn""",
     "chunk_shuffle": f"WITH {_CHUNK_CTE} SELECT sample_key, pos FROM chunks",
     "train_batches": f"""WITH {_CHUNK_CTE}
         SELECT sample_key, pos // {BATCH} AS batch_id, CAST(pos % {BATCH} AS INTEGER) AS batch_pos

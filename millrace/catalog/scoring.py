@@ -13,10 +13,13 @@ from millrace.catalog.inputs import MATH, SEED, WEB, table
 from millrace.functions.logits import smoothed_loss as loss_of
 from millrace.operators import metrics, sampling
 from millrace.plans.evaluate import evaluate
+from millrace.session import pin, scratch_path
+from millrace.streaming.epoch_metrics import fold, read_batch_accuracy, read_domain_accuracy, start_epoch_sink
 
 PAD_ID = 9
 SMOOTHING = 0.1
 TOP_K, TOP_P, TEMPERATURE, STEP = 10, 0.85, 0.9, 1
+ARRIVALS = 3
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +89,30 @@ def domain_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("gap", F.round("gap", 6))
 
 
+def _epoch_by_arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """The predictions arrive in ``ARRIVALS`` parts that cut through examples and batches; all but the
+    last are folded together before it comes."""
+    pred = pin(predictions(spark, sf_dir).drop("vec_id").withColumn("arrival", (F.col("pos") + F.col("batch_id")) % ARRIVALS), "predictions")
+    arrivals, out = scratch_path(spark, "arrivals"), scratch_path(spark, "epoch")
+    for k in range(ARRIVALS):
+        pred.where(F.col("arrival") == k).drop("arrival").write.parquet(f"{arrivals}/{k}")
+        stream = spark.readStream.schema(pred.drop("arrival").schema).parquet(f"{arrivals}/*")
+        start_epoch_sink(stream, out, PAD_ID).awaitTermination()
+        if k == ARRIVALS - 2:
+            fold(spark, out)
+    return out
+
+
+def epoch_domain_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_domain_accuracy(spark, _epoch_by_arrivals(spark, sf_dir))
+    return rows.withColumn("accuracy", F.round("accuracy", 6))
+
+
+def epoch_token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_batch_accuracy(spark, _epoch_by_arrivals(spark, sf_dir))
+    return rows.withColumn("accuracy", F.round("accuracy", 6))
+
+
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four tables of one validation pass as one list of figures."""
     done = evaluate(logits(spark, sf_dir), PAD_ID, (WEB, MATH), SMOOTHING)
@@ -219,6 +246,8 @@ QUERIES = {
     "top_k_filter": top_k_filter,
     "top_p_filter": top_p_filter,
     "top_k_top_p": top_k_top_p,
+    "epoch_domain_accuracy": epoch_domain_accuracy,
+    "epoch_token_accuracy": epoch_token_accuracy,
     "long_filter": long_filter,
     "sample_token": sample_token,
 }
@@ -258,6 +287,8 @@ ORACLES = {
         WHERE upto > u OR place = n GROUP BY vec_id""",
 }
 
+ORACLES["epoch_domain_accuracy"] = ORACLES["domain_accuracy"]
+ORACLES["epoch_token_accuracy"] = ORACLES["token_accuracy"]
 _UNFOLDED = _PRED.replace("(list_position(z, list_max(z)) - 1) % 10", "list_position(z, list_max(z)) - 1")
 ORACLES["evaluation"] = f"""WITH {_UNFOLDED},
     {_LOSS[len(_LOGITS) + 1:]}

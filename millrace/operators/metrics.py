@@ -50,7 +50,8 @@ def mean_loss(
     )
 
 
-def _sums(pad_id: int) -> list[Column]:
+def hit_counts(pad_id: int) -> list[Column]:
+    """Sums of hits and of positions that count."""
     hit = is_hit(F.col("predicted"), F.col("target"), pad_id).cast("bigint")
     real = (F.col("target") != pad_id).cast("bigint")
     return [
@@ -62,7 +63,11 @@ def _sums(pad_id: int) -> list[Column]:
 def batch_accuracy(pred: DataFrame, pad_id: int) -> DataFrame:
     """Token accuracy per batch, null where a batch has pad targets only, and
     the number of examples in it."""
-    examples = pred.groupBy("batch_id", "example_id").agg(*_sums(pad_id))
+    return accuracy_of_batches(pred.groupBy("batch_id", "example_id").agg(*hit_counts(pad_id)))
+
+
+def accuracy_of_batches(examples: DataFrame) -> DataFrame:
+    """``batch_accuracy`` from the counts of each example."""
     batches = examples.groupBy("batch_id").agg(
         F.sum("correct").alias("correct"),
         F.sum("total").alias("total"),
@@ -81,7 +86,7 @@ def epoch_accuracy(batches: DataFrame) -> DataFrame:
 def example_results(pred: DataFrame, pad_id: int) -> DataFrame:
     """Hits and counted positions of each example."""
     named = pred.withColumn("domain", F.coalesce("domain", F.lit(UNKNOWN_DOMAIN)))
-    return named.groupBy("example_id", "domain").agg(*_sums(pad_id))
+    return named.groupBy("example_id", "domain").agg(*hit_counts(pad_id))
 
 
 def domain_accuracy(results: DataFrame) -> DataFrame:

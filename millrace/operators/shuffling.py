@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import order_hash
+from millrace.functions.hashing import hash_number, order_hash
 from millrace.operators.joining import join_null_safe
-from millrace.operators.ranking import rank_by_hash
+from millrace.operators.ranking import MIN_BIN, rank_by_hash, rank_in_bins
 from millrace.session import pin
 
 
@@ -51,6 +51,23 @@ def block_shuffle(
     )
 
 
+def buffer_shuffle(df: DataFrame, seed: int, epoch: int, key: str, buffer: int, pos: str = "pos") -> DataFrame:
+    """Shuffle as a buffer of ``buffer`` rows does: rows come in the order of their position
+    plus a draw below ``buffer``, so each may pass any of its neighbours, and none moves by
+    ``buffer`` places or more.
+
+    Positions are dense, so ranges of the sum make even bins, which are ranked apart.
+    """
+    if buffer < 1:
+        raise ValueError("buffer must be at least 1")
+    digest = order_hash(seed, epoch, F.col(key))
+    moved = df.withColumn("_digest", digest).withColumn("_at", F.col(pos) + hash_number(F.col("_digest")) % buffer)
+    bins = F.expr(f"_at div {max(MIN_BIN, buffer)}")
+    order = [F.col("_at"), F.col("_digest"), F.col(key)]
+    ranked = rank_in_bins(moved.withColumnRenamed(pos, "_before"), bins, order, totals={pos: None})
+    return ranked.select(*[F.col(c) for c in df.columns])
+
+
 def chunk_shuffle(
     df: DataFrame,
     seed: int,

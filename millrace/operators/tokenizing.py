@@ -6,15 +6,16 @@ corpus, and any tokenizer object the caller brings.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.token_table import filled, kept_table, look_up
 from millrace.functions.tokens import (
     attention_mask,
     hash_token_ids,
@@ -68,35 +69,51 @@ def encode_vocab(
     """Token ids under ``vocab``; tokens outside it get ``unk_id``, a null text has
     none.
 
-    A vocabulary of up to ``max_lookup`` entries is handed to the workers, which
-    look up whole columns of tokens, and the texts stay where they are. A larger
-    one is joined, with the same result.
+    The ``max_lookup`` entries of least id, the most frequent ones, are handed to the workers,
+    which keep them as a table and look up whole columns of tokens, while the texts stay where
+    they are. Entries beyond those, if there are any, meet in a join the tokens that
+    were not found: few, where ids go by frequency, and salted, where they do not.
     """
-    entries = vocab.select("token", F.col("token_id").cast("int")).limit(max_lookup + 1).toArrow()
-    if entries.num_rows > max_lookup:
-        return encode_by_join(df, vocab, unk_id, text, name)
-    shared = df.sparkSession.sparkContext.broadcast(entries.combine_chunks())
+    entries = vocab.select("token", F.col("token_id").cast("int"))
+    head = entries.orderBy("token_id").limit(max_lookup + 1).toArrow()
+    more = head.num_rows > max_lookup
+    shared = df.sparkSession.sparkContext.broadcast(head.slice(0, max_lookup))
+    key = uuid.uuid4().hex
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return _looked_up(texts, shared.value, unk_id)
+        return look_up(texts, kept_table(key, lambda: shared.value))
 
-    return df.withColumn(name, ids(F.col(text)))
+    found = ids(F.col(text))
+    if not more:
+        return df.withColumn(name, found).withColumn(name, F.transform(name, lambda i: F.coalesce(i, F.lit(unk_id))))
+    last = head.column(1)[max_lookup - 1].as_py() if max_lookup else None
+    tail = entries if last is None else entries.where(F.col("token_id") > last)
+    return _with_tail(df.withColumn(name, found), tail, unk_id, text, name)
 
 
-def _looked_up(texts: pa.Array, entries: pa.Table, unk_id: int) -> pa.Array:
-    """Lists of ids for texts of blank-separated tokens, by column operations."""
-    parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
-    tokens = parts.flatten()
-    real = pc.not_equal(tokens, "")
-    names, numbers = (entries.column(i).combine_chunks() for i in (0, 1))
-    place = pc.index_in(tokens.cast(names.type), value_set=names)
-    found = pc.fill_null(numbers.take(place), unk_id).filter(real)
-    # Tokens before each text, without the empty ones.
-    before = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(real.cast(pa.int64()))])
-    lengths = pc.cumulative_sum(pc.list_value_length(parts).cast(pa.int64()))
-    ends = before.take(pa.concat_arrays([pa.array([0], pa.int64()), lengths]))
-    return pa.ListArray.from_arrays(ends.cast(pa.int32()), found.cast(pa.int32()))
+def _with_tail(df: DataFrame, tail: DataFrame, unk_id: int, text: str, name: str) -> DataFrame:
+    """``df`` with the nulls among its ids replaced by what ``tail`` says of their tokens."""
+    rows = pin(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    open_ = rows.where(F.exists(name, lambda i: i.isNull())).select(
+        "_row", F.posexplode(F.arrays_zip(words(F.col(text)).alias("token"), F.col(name).alias("id"))).alias("_pos", "_t")
+    )
+    tokens = open_.where("_t.id IS NULL").select("_row", "_pos", "_t.token", (F.col("_pos") % SALTS).alias("_salt"))
+    salted = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = tokens.join(salted, ["token", "_salt"], "left").select(
+        "_row", F.struct("_pos", F.coalesce("token_id", F.lit(unk_id)).alias("_id")).alias("_t")
+    )
+    missing = found.groupBy("_row").agg(
+        F.transform(F.sort_array(F.collect_list("_t")), lambda t: t["_id"]).alias("_missing")
+    )
+
+    @F.arrow_udf("array<int>")
+    def whole(ids: pa.Array, lists: pa.Array) -> pa.Array:
+        return filled(ids, lists)
+
+    empty = F.array().cast("array<int>")
+    joined = rows.join(missing, "_row", "left").withColumn("_missing", F.coalesce("_missing", empty))
+    return joined.withColumn(name, whole(F.col(name), F.col("_missing"))).drop("_row", "_missing")
 
 
 def encode_by_join(

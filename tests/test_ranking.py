@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.hashing import order_hash, uniform
 from millrace.operators.joining import join_lookup
+from millrace.operators import shuffling
 from millrace.operators.ranking import dense_index, rank_by_hash, running_total
 from millrace.operators.shuffling import (
     block_shuffle,
@@ -156,3 +157,23 @@ def test_lookup_join_small_and_large(spark, skewed, rows):
     got = {r.id: r.v for r in join_lookup(left, lookup, "grp", "id", rows).collect()}
     want = {"big": 1, "g0": 2, None: 3}
     assert got == {r.id: want.get(r.grp) for r in left.collect()}
+
+
+@pytest.mark.parametrize("buffer", [1, 2, 37, 5000])
+def test_buffer_shuffle_moves_less_than_its_buffer(spark, buffer):
+    rows = spark.range(4000).selectExpr("id as pos", "concat('k', id) as sample_key", "id * 2 as other")
+    a = shuffling.buffer_shuffle(rows.repartition(7), 1, 0, "sample_key", buffer)
+    assert a.columns == rows.columns
+    got = {r.sample_key: r.pos for r in a.collect()}
+    assert sorted(got.values()) == list(range(4000))
+    moved = [got[f"k{i}"] - i for i in range(4000)]
+    assert max(map(abs, moved)) < max(buffer, 1)
+    # Rows cross the borders of blocks as long as the buffer.
+    crossing = {min(i, got[f"k{i}"]) // buffer for i in range(4000) if i // buffer != got[f"k{i}"] // buffer}
+    assert len(crossing) == {1: 0, 2: len(crossing), 37: 4000 // 37, 5000: 0}[buffer] and (buffer != 2 or crossing)
+    again = shuffling.buffer_shuffle(rows.repartition(2), 1, 0, "sample_key", buffer)
+    assert {r.sample_key: r.pos for r in again.collect()} == got
+    other = shuffling.buffer_shuffle(rows, 1, 1, "sample_key", buffer)
+    assert buffer == 1 or {r.sample_key: r.pos for r in other.collect()} != got
+    with pytest.raises(ValueError):
+        shuffling.buffer_shuffle(rows, 1, 0, "sample_key", 0)

@@ -194,3 +194,62 @@ def test_periodic_weights_are_bounded():
     wide = np.zeros((4001, 4000))
     with pytest.raises(ValueError, match="weights"):
         V.periodic_features(wide, wide, wide, wide, [])
+
+
+@pytest.mark.parametrize("k,p", [(1, 0.0), (3, 0.5), (0, 0.9), (7, 1.0), (500, 0.3), (0, 1e-9)])
+def test_long_filters_sort_the_border_bin_only(spark, k, p):
+    """Against sorting whole rows: ties, logits far below the largest, one row with most tokens."""
+    import math
+    import random
+
+    rng = random.Random(k)
+    rows = [("hot", t, rng.choice([rng.gauss(0, 3), 2.0, -900.0, float("-inf")])) for t in range(600)]
+    rows += [(f"r{i}", t, rng.choice([rng.gauss(0, 1), 1.0])) for i in range(20) for t in range(rng.randrange(1, 12))]
+    rows += [(None, t, float(t % 2)) for t in range(6)]
+    df = spark.createDataFrame(rows, "row_id string, tok int, z double").repartition(5)
+    want = set()
+    for row in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == row), key=lambda r: (-r[2], r[1]))
+        if k > 0:
+            mine = [r for r in mine if r[2] >= mine[min(k, len(mine)) - 1][2]]
+        if p > 0:
+            e = [math.exp(r[2] - mine[0][2]) for r in mine]
+            mine = [r for i, r in enumerate(mine) if sum(e[:i]) / sum(e) <= p]
+        want |= {(r[0], r[1]) for r in mine}
+    out = sampling.long_top_p(sampling.long_top_k(df, k), p)
+    assert out.columns == ["row_id", "tok", "z"]
+    got = [(r.row_id, r.tok) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_an_epoch_folded_from_arrivals_in_any_order(spark, tmp_path):
+    from millrace.streaming import epoch_metrics as E
+
+    rows = [(b, b * 3 + e, ["web", "math", None][e], p, (b * e + p) % 4, p % 4) for b in range(6) for e in range(3) for p in range(5)]
+    schema = "batch_id bigint, example_id bigint, domain string, pos int, predicted int, target int"
+    pred = spark.createDataFrame(rows, schema)
+    out, arrivals = str(tmp_path / "out"), tmp_path / "in"
+    for k in range(4):
+        pred.where(F.expr(f"(pos + batch_id) % 4 = {k}")).write.parquet(f"{arrivals}/{k}")
+        stream = spark.readStream.schema(schema).parquet(f"{arrivals}/*")
+        E.start_epoch_sink(stream, out, 3).awaitTermination()
+        if k in (1, 2):
+            E.fold(spark, out)
+            E.fold(spark, out)  # nothing left to do
+
+    def same(got, want):
+        return sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.select(got.columns).collect()), key=repr)
+
+    results = metrics.example_results(pred, 3)
+    assert same(E.read_example_results(spark, out), results)
+    assert same(E.read_domain_accuracy(spark, out), metrics.domain_accuracy(results))
+    assert same(E.read_batch_accuracy(spark, out), metrics.batch_accuracy(pred, 3))
+    assert same(E.read_domain_gap(spark, out, "web", "math"), metrics.domain_gap(results, "web", "math"))
+    # Folded, but the crash came before the parts were deleted: they do not count twice.
+    (folded,) = [p for p in (tmp_path / "out" / "parts").glob("first=0/last=*")]
+    part = E.partial_counts(pred.where("batch_id = 0"), 3)
+    part.write.parquet(f"{out}/parts/first=1/last=1")
+    assert folded.name == "last=2" and same(E.read_domain_accuracy(spark, out), metrics.domain_accuracy(results))
+    # A replay of the last arrival overwrites its part.
+    E.partial_counts(pred.where("(pos + batch_id) % 4 = 3"), 3).write.mode("overwrite").parquet(f"{out}/parts/first=3/last=3")
+    assert same(E.read_example_results(spark, out), results)

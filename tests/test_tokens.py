@@ -110,6 +110,7 @@ def test_both_vocabulary_encodings_agree(texts):
     for df in (
         encode_vocab(texts, vocab, 1),
         encode_vocab(texts, vocab, 1, max_lookup=3),
+        encode_vocab(texts, vocab, 1, max_lookup=0),
         encode_by_join(texts, vocab, 1),
     ):
         assert {r.id: r.ids for r in df.collect()} == want
@@ -175,3 +176,40 @@ def test_batches(spark):
     assert [x for r in packed for x in r.v] == [2 * i for i in range(150)]
     assert limit_batches(val, 2).count() == 128
     assert with_batches(df.limit(0), 64, drop_last=True).count() == 0
+
+
+def test_token_table_finds_what_an_index_finds():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.functions.token_table import TokenTable, look_up
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé語 ") for _ in range(rng.randrange(0, 6)))
+    names = sorted({word() for _ in range(900)})
+    table = TokenTable(pa.array(names), pa.array(range(len(names)), pa.int32()))
+    asked = [*names, *{word() for _ in range(900)}]
+    number = {n: i for i, n in enumerate(names)}
+    assert table.find(pa.array(asked)).to_pylist() == [number.get(a) for a in asked]
+    # One hash for two names, or a hash of other bytes: what counts is the name itself.
+    table.hashes = np.sort(np.concatenate([table.hashes[:1], table.hashes[:-1]]))
+    table.clash = True
+    assert table.find(pa.array(asked)).to_pylist() == [number.get(a) for a in asked]
+    texts = [" ".join(rng.choices(asked, k=5)) for _ in range(50)] + [None, "", "   "]
+    got = look_up(pa.array(texts), TokenTable(pa.array(names), pa.array(range(len(names)), pa.int32()))).to_pylist()
+    assert got == [[number.get(w) for w in (t or "").split(" ") if w] for t in texts]
+    none = TokenTable(pa.array([], pa.string()), pa.array([], pa.int32()))
+    assert none.find(pa.array(["a"])).to_pylist() == [None]
+
+
+def test_a_vocabulary_in_two_parts_with_a_hot_unknown_token(spark):
+    """A third of all tokens are not in the vocabulary at all, others only in its tail."""
+    rows = [(i, " ".join(["zz", f"t{i % 40}", f"t{i % 7}"] * (i % 5))) for i in range(300)]
+    df = spark.createDataFrame(rows, "n int, text string").repartition(4)
+    vocab = spark.createDataFrame([(f"t{i}", 100 - i) for i in range(38)], "token string, token_id int")
+    want = {n: [100 - int(w[1:]) if w != "zz" and int(w[1:]) < 38 else -7 for w in t.split()] for n, t in rows}
+    for limit in (1000, 38, 37, 5, 1):
+        got = encode_vocab(df, vocab, -7, max_lookup=limit)
+        assert got.columns == ["n", "text", "ids"] and {r.n: r.ids for r in got.collect()} == want
