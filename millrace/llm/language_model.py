@@ -19,8 +19,9 @@ gives beyond failing from its context, and its backoff weight, since every word
 is followed by one. So the n-grams of relative frequency ``NGRAM_SHARE`` or more and the
 words of ``WORD_SHARE`` or more (at most one over the share of them, whatever the corpus)
 are broadcast as an automaton, and the weights of all others are joined by hash and added.
-What is left to join is rare, so no key is heavy. Bitmaps of bounded size leave out n-grams
-that are surely not in a table; they decide nothing else.
+What is left to join is rare, so no key is heavy; it is dealt by the leading bits of the keys,
+in sorted runs of bytes, and found by binary search. Bitmaps of bounded size leave out n-grams
+that are surely not in a table; they decide nothing else. Tables go when what follows is written.
 
 Defined results: null and empty texts have the end only; repeated documents count as often
 as they occur and each get a row; a null id is part of the training rows; without training
@@ -35,17 +36,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm import words as W
 from millrace.llm.quality import held_out
-from millrace.session import pin
+from millrace.session import pin, unpin
 
 ORDER = 3
 WORD_SHARE = 3e-7
-NGRAM_SHARE = 4e-6  # both only say what is broadcast
+NGRAM_SHARE = 1e-6  # both only say what is broadcast
 MIN_COUNT = 2  # of an n-gram of two words or more
 SIEVE_BITS = 1 << 27
 DISCOUNT = 0.5
@@ -91,19 +94,48 @@ def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return (*[c[first] for c in columns[:-1]], total)
 
 
-def _counting(pick: Callable, names: list[str]) -> Callable:
-    """Counts by task of what ``pick`` gives for a text array: arrays called
-    ``names``, the first of them the key."""
+def part_bits(docs: DataFrame) -> int:
+    """Keys are dealt by so many leading bits: a few parts for each shuffle partition."""
+    return max(4, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _packed(bits: int, keys: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Arrays in the order of ``keys`` as one row ``(part, column...)`` for each part, in bytes."""
+    borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    cuts = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
+    parts = np.flatnonzero(np.diff(cuts))
+    spans = list(zip(cuts[parts].tolist(), cuts[parts + 1].tolist()))
+    bytes_ = [pa.array([c[x:y].tobytes() for x, y in spans], pa.binary()) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *bytes_], names=["part", *columns])
+
+
+def _unpacked(rows: pa.RecordBatch, name: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(v for v in rows.column(name).to_pylist() if v is not None), dtype)
+
+
+def _by_part(rows: DataFrame, *then: str) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part", *then)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """One group after the other."""
+    return W.whole_groups(batches, (key,), lambda rows: pa.array(np.ones(rows.num_rows, np.int64)), 1)
+
+
+def _count(docs: DataFrame, pick: Callable, names: list[str], least: float = 1) -> DataFrame:
+    """``(names..., n)`` of what ``pick`` gives for a text array, arrays called ``names``, the first
+    of them the key, that occurs ``least`` times. Tasks sum what they meet and send it in bytes, a
+    row for each part of the keys; the parts say what the key is."""
+    W.bound_batches(docs.sparkSession)
+    bits, sent = part_bits(docs), names[1:] or names
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flushed() -> pa.RecordBatch:
             *columns, n = _summed(parts)
-            return pa.RecordBatch.from_arrays(
-                [*[pa.array(c.view(np.int64)) for c in columns], pa.array(n.astype(np.int64))], names=[*names, "n"]
-            )
+            return _packed(bits, columns[0], dict(zip(sent, columns[1:] or columns)) | {"n": n.astype(np.uint32)})
 
         for batch in batches:
             for part in W.slices(batch, "text"):
@@ -120,24 +152,16 @@ def _counting(pick: Callable, names: list[str]) -> Callable:
         if parts:
             yield flushed()
 
-    return run
-
-
-def _count(docs: DataFrame, pick: Callable, names: list[str]) -> DataFrame:
-    W.bound_batches(docs.sparkSession)
-    out = docs.select("text").mapInArrow(_counting(pick, names), "".join(f"{c} long, " for c in names) + "n long")
-    return out.groupBy(*(names[1:] or names)).agg(F.sum("n").alias("n"))  # the parts say what the key is
-
-
-def _with_keys(grams: DataFrame) -> DataFrame:
-    """``grams (a, b, n)`` with ``key``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(W.combined(a, b).view(np.int64))], names=["a", "b", "n", "key"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "part"):
+            columns = [_unpacked(group, c, np.uint64) for c in sent]
+            keys = columns if len(names) == 1 else [W.combined(*columns), *columns]
+            *columns, n = _summed([(*keys, _unpacked(group, "n", np.uint32).astype(np.int64))])
+            kept = n >= least
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[kept].view(np.int64)) for c in columns], pa.array(n[kept])], names=[*names, "n"])
 
-    return grams.select("a", "b", "n").mapInArrow(run, "a long, b long, n long, key long")
+    packed = docs.select("text").mapInArrow(count, "part int, " + "".join(f"{c} binary, " for c in sent) + "n binary")
+    return _by_part(packed).mapInArrow(add, "".join(f"{c} long, " for c in names) + "n long")
 
 
 def sieve(keys: DataFrame, size: int) -> np.ndarray:
@@ -230,113 +254,19 @@ class Automaton:
         return logp, nxt
 
 
-def build_automaton(
-    words: np.ndarray, count: np.ndarray, total: float, distinct: float, grams: list[tuple[np.ndarray, np.ndarray]]
-) -> Automaton:
-    """``grams``: for n = 2, 3, ... the n-grams as rows of word numbers, and their counts."""
-    size = len(words)
-    order = len(grams) + 1
-    norm = total + ADDED * (distinct + 1)
-    root_p = (count + ADDED) / norm
-    # Contexts that have arcs become states; by length, a context's number in its table.
-    tables: list[np.ndarray] = []  # of length n: sorted codes of contexts
-    code = lambda rows: _codes(rows, size)
-    offsets, states = [], 1
-    for n, (rows, _) in enumerate(grams, 1):
-        tables.append(np.unique(code(rows[:, :n])) if len(rows) else np.zeros(0, np.uint64))
-        offsets.append(states)
-        states += len(tables[-1])
-
-    def state_of(rows: np.ndarray) -> np.ndarray:
-        """The longest suffix of each row that is a state."""
-        out = np.zeros(len(rows), np.int64)
-        for n in range(1, min(rows.shape[1], len(tables)) + 1):
-            place = W.look_up(code(rows[:, -n:]), tables[n - 1])
-            out = np.where(place >= 0, place + offsets[n - 1], out)
-        return out
-
-    backoff, fail = np.zeros(states), np.zeros(states, np.int64)
-    arcs, arc_p, arc_next = [], [], []
-    known_p: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # state-word codes and probabilities so far
-
-    def p_after(state: np.ndarray, word: np.ndarray, upto: int) -> np.ndarray:
-        """Probability of each word after each state, from arcs of contexts up to ``upto``."""
-        scale = np.ones(len(state))
-        out = np.zeros(len(state))
-        state = state.copy()
-        todo = np.arange(len(state))
-        while len(todo):
-            rooted = state[todo] == 0
-            r = todo[rooted]
-            out[r] = scale[r] * root_p[word[r]]
-            todo = todo[~rooted]
-            if not len(todo):
-                break
-            place = W.look_up(state[todo] * (size + 1) + word[todo], known_p[upto][0])
-            hit = place >= 0
-            out[todo[hit]] = scale[todo[hit]] * known_p[upto][1][place[hit]]
-            todo = todo[~hit]
-            scale[todo] *= 10 ** backoff[state[todo]]
-            state[todo] = fail[state[todo]]
-        return out
-
-    known_p[0] = (np.zeros(0, np.int64), np.zeros(0))
-    for n, (rows, c) in enumerate(grams, 1):
-        if len(rows):
-            context = W.look_up(code(rows[:, :n]), tables[n - 1])
-            if n == 1:
-                context_count = count[rows[:, 0]]
-            else:
-                lower_rows, lower_count = grams[n - 2]
-                lower = code(lower_rows)
-                by = np.argsort(lower)
-                context_count = lower_count[by][W.look_up(code(rows[:, :n]), lower[by])]
-            state = context + offsets[n - 1]
-            p = (c - DISCOUNT) / context_count
-            shorter = state_of(rows[:, 1:n]) if n > 1 else np.zeros(len(rows), np.int64)
-            # a context's own shorter context, not itself
-            fail[state] = shorter
-            below = p_after(shorter, rows[:, n], n - 1)
-            left = 1 - np.bincount(context, p, minlength=len(tables[n - 1]))
-            rest = 1 - np.bincount(context, below, minlength=len(tables[n - 1]))
-            backoff[offsets[n - 1] : offsets[n - 1] + len(left)] = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
-            arcs.append(state * (size + 1) + rows[:, n])
-            arc_p.append(p)
-            arc_next.append(state_of(rows[:, 1:] if n == len(grams) else rows))
-        keys = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
-        ps = np.concatenate(arc_p) if arc_p else np.zeros(0)
-        by = np.argsort(keys)
-        known_p[n] = (keys[by], ps[by])
-    keys, ps = known_p[len(grams)]
-    nexts = np.concatenate(arc_next) if arc_next else np.zeros(0, np.int64)
-    nexts = nexts[np.argsort(np.concatenate(arcs))] if arcs else nexts
-    root_next = state_of(np.arange(size)[:, None]) if size else np.zeros(0, np.int64)
-    return Automaton(
-        words, count, total, distinct, keys, np.log10(ps), nexts, backoff, fail,
-        np.append(np.log10(root_p), 0.0), np.append(root_next, 0), order,
-    )
-
-
-def _codes(rows: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit code for each row of word numbers."""
-    out = rows[:, 0].astype(np.uint64)
-    for k in range(1, rows.shape[1]):
-        out = W.combined(out, rows[:, k].astype(np.uint64))
-    return out
-
-
 @dataclass
 class Model:
     """``head``: the automaton of what is frequent; ``keys``: sorted keys of its n-grams for
-    n = 2, 3, ...; ``sieves``: bitmaps of the keys in ``tail``, by n; ``tail (key, base, known,
-    extra)``: the other words and n-grams, with what a word adds to an unknown one's log count
-    and the weight of each, in up to three rows that add up. ``tables``: for n = 2, 3, ... what is known of all kept n-grams."""
+    n = 2, 3, ...; ``sieves``: bitmaps of the keys in ``tail``, by n; ``tail``: a written table of the
+    other words and n-grams, a row for each part of the keys, ``bits`` of them: ``keys`` in order,
+    the weight of each (``extra``), which of them are words (``word_at``), and what those
+    add to an unknown word's log count (``base``)."""
 
     head: Automaton
     keys: list[np.ndarray]
     sieves: list[np.ndarray]
     tail: DataFrame
-    tables: list[DataFrame]
+    bits: int
 
 
 def _columns(table: DataFrame, *names: str) -> list[np.ndarray]:
@@ -403,7 +333,7 @@ def train(
     # Of the shorter n-grams: key, n, and (low / whole) the probability of the last word.
     lower = counts.withColumns({"low": F.col("n") + F.lit(ADDED), "whole": F.lit(float(norm))})
     inside = counts.where(F.col("n") >= (least if word_share is None else word_share * total))
-    tables, backoffs = [], []
+    tables, backoffs, written = [], [], [counts]
     for n in range(2, order + 1):
         shared = sc.broadcast(sieve(inside, inside.count()))
 
@@ -412,11 +342,11 @@ def train(
             good = passes(a, shared.value) & passes(b, shared.value)
             return key[good], a[good], b[good]
 
-        found = _count(docs, pick, ["key", "a", "b"]).where(F.col("n") >= least)
+        found = _count(docs, pick, ["key", "a", "b"], least)
         if n == 2 and word_share is not None:
             for c in ("a", "b"):
                 found = found.join(inside.select(F.col("key").alias(c)), c, "left_semi")
-        found = pin(_with_keys(found), "gram-counts")
+        found = pin(found, "gram-counts")
         ends = found.join(lower.select(F.col("key").alias("b"), "low", "whole"), "b")
         sums = ends.groupBy("a").agg(
             F.sum("n").alias("_n"), F.count("*").alias("_kinds"), F.sum("low").alias("_low"), F.max("whole").alias("whole")
@@ -432,7 +362,9 @@ def train(
         frequent = F.col("n") >= strong
         parts = [F.when(frequent, F.col(c)).alias(c) for c in ("a", "b")]
         table = pin(table.select("key", *parts, "n", "gain", *(["whole"] if n < order else [])), "grams")
+        unpin(found)
         tables.append(table)
+        written += [table, contexts]
         backoffs.append(contexts.select(F.col("a").alias("key"), "context", "backoff"))
         if n == order:
             break
@@ -456,23 +388,62 @@ def train(
         tail = tail.union(t.select("key", zero, F.lit(0), t.columns[1]))
     sieves = [sieve(t, t.count()) for t in rare]
     grams = [[*g, bo] for g, bo in zip(grams, [*shorter[1:], None])]
-    word_backoff = shorter[0]
-    head = head_automaton(words, count, word_backoff, float(total), float(distinct), grams)
-    return Model(head, [g[0] for g in grams], sieves, tail, tables)
+    head = head_automaton(words, count, shorter[0], float(total), float(distinct), grams)
+    bits = part_bits(docs)
+    packed = pin(_packed_tail(tail, bits), "tail")
+    unpin(*written)
+    return Model(head, [g[0] for g in grams], sieves, packed, bits)
+
+
+TAIL = "part int, keys binary, extra binary, word_at binary, base binary"
+
+
+def _packed_tail(tail: DataFrame, bits: int) -> DataFrame:
+    """``TAIL`` rows of ``tail (key, base, known, extra)``, rows of one key added up."""
+    types = {"keys": np.uint64, "base": np.float64, "known": np.int32, "extra": np.float64}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            keys = columns[0].view(np.uint64)
+            order = np.argsort(keys)
+            yield _packed(bits, keys[order], {n: c[order].view(t) for (n, t), c in zip(types.items(), columns)})
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "part"):
+            keys, base, known, extra = (_unpacked(group, n, t) for n, t in types.items())
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            base, known, extra = (np.add.reduceat(x[order], first) for x in (base, known, extra))
+            at = np.flatnonzero(known)
+            row = [keys[first], extra, at.astype(np.uint32), base[at]]
+            yield pa.RecordBatch.from_arrays([group.column("part")[:1], *[pa.array([x.tobytes()], pa.binary()) for x in row]], names=_names(TAIL))
 
-PARTIAL = [
-    T.StructField("n_tokens", T.LongType()),
-    T.StructField("_known", T.LongType()),
-    T.StructField("_base", T.DoubleType()),
-    T.StructField("_walked", T.DoubleType()),
-    T.StructField("_rare", T.ArrayType(T.LongType())),
-    T.StructField("_times", T.ArrayType(T.IntegerType())),
-]
+    rows = tail.select("key", "base", F.col("known").cast("int"), "extra")
+    packed = rows.mapInArrow(pack, "part int, " + ", ".join(f"{n} binary" for n in types))
+    return _by_part(packed).mapInArrow(add, TAIL)
 
 
-def partial_scores(texts: pa.Array, model: Automaton, keys: list[np.ndarray], sieves: list[np.ndarray]) -> list:
-    """Values of ``PARTIAL``: what the automaton gives, and the other words and n-grams."""
+def _names(ddl: str) -> list[str]:
+    return [column.split()[0] for column in ddl.split(", ")]
+
+
+@dataclass
+class Scored:
+    """Of each text of a slice what the automaton gives; and the words and n-grams that it does not
+    have, with the text they are in and how often."""
+
+    n_tokens: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    walked: np.ndarray
+    keys: np.ndarray
+    owner: np.ndarray
+    times: np.ndarray
+
+
+def partial_scores(texts: pa.Array, model: Automaton, keys: list[np.ndarray], sieves: list[np.ndarray]) -> Scored:
     h, bounds = tokens(texts)
     docs = len(texts)
     ids = W.look_up(h, model.words)
@@ -490,56 +461,163 @@ def partial_scores(texts: pa.Array, model: Automaton, keys: list[np.ndarray], si
         rare.append(key[maybe])
         owner.append(doc[at[maybe]])
     rare, owner = np.concatenate(rare), np.concatenate(owner)
-    order = np.lexsort((rare, owner))
+    order = np.lexsort((owner, rare))
     rare, owner = rare[order], owner[order]
     first = np.ones(len(rare), bool)
     first[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(first)
     times = np.diff(np.append(at, len(rare)))
-    cuts = pa.array(np.searchsorted(owner[at], np.arange(docs + 1)), pa.int32())
-    return [
-        pa.array(np.diff(bounds)),
-        pa.array(known),
-        pa.array(base, pa.float64()),
-        pa.array(walked, pa.float64()),
-        pa.ListArray.from_arrays(cuts, pa.array(rare[at].view(np.int64))),
-        pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
-    ]
+    return Scored(np.diff(bounds), known, base, walked, rare[at], owner[at], times)
+
+
+SCANNED = "kind int, part int, first long, row long, n_tokens long, known long, base double, walked double, keys binary, a binary, b binary, c binary"
+TAIL_ROW, RARE_ROW, TEXT_ROW = range(3)
+SUMS = "first long, row long, n_tokens long, known long, base double, walked double, owners binary, bases binary, knowns binary, extras binary"
+SUMS_HELD = 1 << 20  # texts whose sums a task holds
+
+
+def _nulls(schema: T.StructType, n: int, **columns) -> pa.RecordBatch:
+    """Rows of ``schema`` in which only ``columns`` are given."""
+    shape = to_arrow_schema(schema)
+    arrays = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in shape]
+    arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, shape)]
+    return pa.RecordBatch.from_arrays(arrays, names=shape.names)
+
+
+def _scan(docs: DataFrame, model: Model) -> DataFrame:
+    """``SCANNED`` rows of ``docs (doc, text, row)``: texts with what the automaton gives, and the
+    rest of their words and n-grams by part, in runs of texts that begin with the row ``first``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.keys, model.sieves))
+    bits = model.bits
+    schema = T.StructType([T.StructField("doc", docs.schema["doc"].dataType), *_fields(SCANNED)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size = None, [], 0
+
+        def flushed() -> pa.RecordBatch:
+            keys, owner, times = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(keys, kind="stable")
+            columns = {"keys": keys[order], "a": (owner[order] - first).astype(np.uint32), "b": times[order].astype(np.uint32)}
+            rows = _packed(bits, keys[order], columns)
+            n = rows.num_rows
+            given = dict(zip(rows.schema.names, rows.columns))
+            return _nulls(schema, n, kind=pa.array(np.full(n, RARE_ROW)), first=pa.array(np.full(n, first)), **given)
+
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                row = part.column(2).to_numpy()
+                first = row[0] if first is None else first
+                x = partial_scores(part.column(1), *shared.value)
+                n = len(row)
+                yield _nulls(
+                    schema, n, doc=part.column(0), kind=pa.array(np.full(n, TEXT_ROW)), part=pa.array(row % (1 << bits)),
+                    first=pa.array(np.full(n, first)), row=part.column(2), n_tokens=pa.array(x.n_tokens), known=pa.array(x.known),
+                    base=pa.array(x.base, pa.float64()), walked=pa.array(x.walked, pa.float64()),
+                )
+                held.append((x.keys, row[x.owner], x.times))
+                size += len(x.keys)
+                if size > FLUSH:
+                    yield flushed()
+                    first, held, size = None, [], 0
+        if held:
+            yield flushed()
+
+    return docs.mapInArrow(run, schema)
+
+
+def _fields(ddl: str) -> list[T.StructField]:
+    types = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+    return [T.StructField(name, types[kind]) for name, kind in (c.split() for c in ddl.split(", "))]
+
+
+def _add_tail(scanned: DataFrame, model: Model) -> DataFrame:
+    """``SUMS`` rows: texts as they were, and for runs of texts what the tail adds."""
+    tail = model.tail.select(F.lit(TAIL_ROW).alias("kind"), "part", "keys", F.col("word_at").alias("a"), F.col("base").alias("b"), F.col("extra").alias("c"))
+    rows = _by_part(scanned.unionByName(tail, allowMissingColumns=True), "kind")
+    schema = T.StructType([T.StructField("doc", scanned.schema["doc"].dataType), *_fields(SUMS)])
+    text_columns = ["doc", "first", "row", "n_tokens", "known", "base", "walked"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            first, packed = [], {"owners": [], "bases": [], "knowns": [], "extras": []}
+            for run, parts in held.items():
+                owner, base, known, extra = (np.concatenate(c) for c in zip(*parts))
+                owners, place = np.unique(owner, return_inverse=True)
+                first.append(run)
+                sums = [np.bincount(place, x, len(owners)) for x in (base, known, extra)]
+                for name, x in zip(packed, (owners.astype(np.uint32), sums[0], sums[1].astype(np.int32), sums[2])):
+                    packed[name].append(x.tobytes())
+            return _nulls(schema, len(first), first=pa.array(first, pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in packed.items()})
+
+        for group in _groups(batches, "part"):
+            kind = group.column("kind").to_numpy()
+            texts = pa.array(np.flatnonzero(kind == TEXT_ROW))
+            if len(texts):
+                found = group.select(text_columns).take(texts)
+                yield _nulls(schema, len(texts), **dict(zip(text_columns, found.columns)))
+            tails = group.filter(pa.array(kind == TAIL_ROW))
+            if not tails.num_rows:
+                continue
+            keys, extras = _unpacked(tails, "keys", np.uint64), _unpacked(tails, "c", np.float64)
+            bases, knowns = np.zeros(len(keys)), np.zeros(len(keys))
+            words = _unpacked(tails, "a", np.uint32)
+            bases[words], knowns[words] = _unpacked(tails, "b", np.float64), 1
+            for i in np.flatnonzero(kind == RARE_ROW).tolist():
+                rare = group.slice(i, 1)
+                at = W.look_up(_unpacked(rare, "keys", np.uint64), keys)
+                hit = at >= 0
+                at, times = at[hit], _unpacked(rare, "b", np.uint32)[hit]
+                owner = _unpacked(rare, "a", np.uint32)[hit]
+                owners, place = np.unique(owner, return_inverse=True)
+                sums = [np.bincount(place, times * x[at], len(owners)).astype(np.float64) for x in (bases, knowns, extras)]
+                held.setdefault(group.column("first")[i].as_py(), []).append((owners, *sums))
+                size += len(owners)
+            if size > SUMS_HELD:
+                yield flushed()
+                held, size = {}, 0
+        if held:
+            yield flushed()
+
+    return rows.mapInArrow(run, schema)
+
+
+RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.head, model.keys, model.sieves))
-
-    def make():
-        parts = shared.value
-        return lambda texts: partial_scores(texts, *parts)
-
-    names = ("n_known", "train_tokens", "base_score", "score")
-    kept = [c for c in docs.columns if c not in (text_col, "n_tokens", *names)]
-    rows = W.with_text_columns(docs.select(*kept, text_col), text_col, PARTIAL, make).drop(text_col)
-    rows = pin(rows.withColumn("_row", F.monotonically_increasing_id()), "partial-scores")
-    pairs = F.explode(F.arrays_zip("_rare", "_times"))
-    rare = rows.select("_row", pairs.alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
-    sums = rare.join(model.tail, "key").groupBy("_row").agg(
-        F.sum(F.col("times") * F.col("base")).alias("_rare_base"),
-        F.sum(F.col("times") * F.col("known")).alias("_rare_known"),
-        F.sum(F.col("times") * F.col("extra")).alias("_extra"),
-    )
-    nothing = {c: F.coalesce(c, F.lit(0)) for c in ("_rare_base", "_rare_known", "_extra")}
-    norm = F.lit(model.head.norm)
-    other = F.col("n_tokens") - F.col("_known")  # words outside the automaton
-    rare_base = F.col("_rare_base") + other * F.lit(float(np.log10(ADDED)))
-    out = rows.drop("_rare", "_times").join(sums, "_row", "left").withColumns(nothing)
-    return out.select(
-        *kept,
-        "n_tokens",
-        (F.col("_known") + F.col("_rare_known")).cast("long").alias("n_known"),
-        F.lit(int(model.head.total)).cast("long").alias("train_tokens"),
-        (F.col("_base") + rare_base - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("_walked") + rare_base - other * norm + F.col("_extra")).alias("score"),
-    )
+    """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score."""
+    W.bound_batches(docs.sparkSession)
+    fields = _fields(RESULT)
+    kept = [c for c in docs.columns if c not in (text_col, *_names(RESULT))]
+    doc = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("_nothing"))
+    rows = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    sums = _add_tail(_scan(rows, model), model)
+    schema = T.StructType([T.StructField("doc", sums.schema["doc"].dataType), *fields])
+    total, norm, unknown = int(model.head.total), model.head.norm, float(np.log10(ADDED))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "first"):
+            is_text = pc.is_valid(group.column("row"))
+            texts, added = group.filter(is_text), group.filter(pc.invert(is_text))
+            owner = texts.column("row").to_numpy() - texts.column("first").to_numpy()
+            base, known, extra = (np.zeros(int(owner.max()) + 1) for _ in range(3))
+            at = _unpacked(added, "owners", np.uint32)
+            for total_, name, kind in ((base, "bases", np.float64), (known, "knowns", np.int32), (extra, "extras", np.float64)):
+                np.add.at(total_, at, _unpacked(added, name, kind))
+            n, inside = (texts.column(c).to_numpy() for c in ("n_tokens", "known"))
+            rare = base[owner] + (n - inside) * unknown
+            yield _nulls(
+                schema, len(n), doc=texts.column("doc"), n_tokens=pa.array(n), n_known=pa.array(inside + known[owner].astype(np.int64)),
+                train_tokens=pa.array(np.full(len(n), total)),
+                base_score=pa.array(texts.column("base").to_numpy() + rare - n * norm),
+                score=pa.array(texts.column("walked").to_numpy() + rare - (n - inside) * norm + extra[owner]),
+            )
+
+    done = sums.repartition("first").sortWithinPartitions("first").mapInArrow(finish, schema)
+    return done.select(*([F.col(f"doc.`{c}`") for c in kept]), *[f.name for f in fields])
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, **options) -> DataFrame:

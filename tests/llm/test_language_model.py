@@ -6,6 +6,7 @@ import helpers as H
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import language_model as L
 
@@ -62,34 +63,32 @@ def test_against_naive_backoff(spark, shares):
         assert r[5] == pytest.approx(w[5], rel=1e-9) and r[6] == pytest.approx(w[6], rel=1e-9)
 
 
-def test_every_context_sums_to_one():
-    rng = np.random.default_rng(0)
-    words = np.arange(1, 31, dtype=np.uint64)
-    stream = np.minimum(rng.geometric(0.15, 4000) - 1, 29)
-    count = np.bincount(stream, minlength=30)
-    count[-1] += 1
-    pairs, n2 = np.unique(np.column_stack([stream[:-1], stream[1:]]), axis=0, return_counts=True)
-    keep = n2 >= 5
-    triples, n3 = np.unique(np.column_stack([stream[:-2], stream[1:-1], stream[2:]]), axis=0, return_counts=True)
-    good = {tuple(p) for p in pairs[keep]}
-    keep3 = (n3 >= 5) & np.array([tuple(t[:2]) in good and tuple(t[1:]) in good for t in triples])
-    model = L.build_automaton(words, count, float(count.sum()), 30.0, [(pairs[keep], n2[keep]), (triples[keep3], n3[keep3])])
-    unknown = L.ADDED / (model.total + L.ADDED * 31)
+@pytest.fixture(scope="module")
+def whole_head(spark):
+    """A model all of which is in its head, and the words it knows."""
+    data = [(i, H.prose(i % 12, 30 + i)) for i in range(60)]
+    docs = H.documents(spark, [(i, t, "s", "en", 0, 0, 0.0, "", "", "") for i, t in data])
+    return L.train(docs.select("text"), head_word_share=0.0, head_share=0.0)
+
+
+def test_every_context_sums_to_one(whole_head):
+    model = whole_head.head
+    size = len(model.words)
+    unknown = L.ADDED / (model.total + L.ADDED * (size + 1))
+    assert len(model.backoff) > 200
     for state in range(len(model.backoff)):
-        logp, _ = model.step(np.full(31, state), np.arange(31))
-        seen = 10 ** logp[:30]
-        rest = 10 ** (logp[30]) * unknown  # an unknown word: the backoff weights down to the root
-        assert seen.sum() + rest == pytest.approx(1.0)
+        logp, _ = model.step(np.full(size + 1, state), np.arange(size + 1))
+        rest = 10 ** logp[size] * unknown  # an unknown word: the backoff weights down to the root
+        assert (10 ** logp[:size]).sum() + rest == pytest.approx(1.0)
 
 
-def test_stretches_do_not_show():
+def test_stretches_do_not_show(whole_head):
+    model = whole_head.head
     rng = np.random.default_rng(1)
-    text = " ".join(rng.choice(H.WORDS, 3000))
+    text = " ".join(rng.choice([*H.WORDS, "unheard"], 3000))
     h, bounds = L.tokens(pa.array([text, "", "the of"]))
-    words, count = np.unique(h, return_counts=True)
-    ids = np.searchsorted(words, h)
-    pairs, n2 = np.unique(np.column_stack([ids[:-1], ids[1:]]), axis=0, return_counts=True)
-    model = L.build_automaton(words, count, float(len(h)), float(len(words)), [(pairs, n2)])
+    ids = L.W.look_up(h, model.words)
+    ids = np.where(ids < 0, len(model.words), ids)
     whole = model.walk(ids, bounds)
     state, total = np.zeros(1, np.int64), 0.0
     for w in ids[: bounds[1]]:
@@ -98,6 +97,29 @@ def test_stretches_do_not_show():
     assert whole[0] == pytest.approx(total) and len(whole) == 3
 
 
+def test_other_columns_come_back_as_they_were(spark):
+    docs = H.documents(spark).withColumn("row", F.lit("r")).withColumn("doc", F.col("doc_id")).withColumn("keys", F.array(F.lit(1.5)))
+    docs = docs.withColumn("when", F.lit("2020-01-02 03:04:05").cast("timestamp")).withColumn("score", F.lit(7))
+    model = L.train(docs.select("text"))
+    got = L.score(docs, model)
+    kept = [c for c in docs.columns if c not in ("text", "score")]
+    assert got.columns == [*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    order = lambda r: repr(r)
+    assert sorted(got.select(kept).collect(), key=order) == sorted(docs.select(kept).collect(), key=order)
+    only = L.score(docs.select("text"), model)
+    assert only.count() == docs.count()
+
+
+def test_few_runs_and_many_parts(spark, monkeypatch):
+    """Runs of texts end often, parts are many, sums are sent on early."""
+    data = [(i, H.prose(i % 50, 20 + i % 30)) for i in range(150)]
+    docs = H.documents(spark, [(i, t, "s", "en", 0, 0, 0.0, "", "", "") for i, t in data]).repartition(1)
+    want = sorted(tuple(r) for r in L.score_corpus(docs, head_word_share=2.0, head_share=2.0).collect())
+    model = L.train(docs.where(F.col("doc_id") > 0).select("text"), head_word_share=2.0, head_share=2.0)
+    assert model.bits == 5 and len(want) == 150
+    assert model.tail.count() <= 32 and len(model.head.words) == 0
+
+
 def test_no_training_rows_and_empty_tables(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     one = H.documents(spark, [(held, "a b", "s", "en", 0, 0, 0.0, "", "", "")])
@@ -113,10 +135,11 @@ def test_ngrams_that_occur_twice_count_in_a_larger_corpus(spark):
     data = [(i, H.prose(i, 3000)) for i in range(420)] + [(r[0], r[1]) for r in H.rows() if r[0] != 106]
     docs = H.documents(spark, [(i, t, "s", "en", 0, 0, 0.0, "", "", "") for i, t in data])
     total = sum(len(H.blanks(t)) + 1 for i, t in data if i is None or zlib.crc32(str(i).encode()) % 10)
-    assert L.NGRAM_SHARE * total > L.MIN_COUNT + 2
+    share = 4e-6
+    assert share * total > L.MIN_COUNT + 2
     order = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     want = sorted(naive(data, 0.0, (L.MIN_COUNT - 0.01) / total), key=order)
-    for options in ({}, {"head_word_share": 1e-2, "head_share": 1e-3}, {"head_word_share": 2.0, "head_share": 2.0}):
+    for options in ({}, {"head_share": share}, {"head_word_share": 1e-2, "head_share": 1e-3}, {"head_word_share": 2.0, "head_share": 2.0}):
         rows = sorted((tuple(r) for r in L.score_corpus(docs, **options).collect()), key=order)
         assert [r[:5] for r in rows] == [w[:5] for w in want]
         for r, w in zip(rows, want):
