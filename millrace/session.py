@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = 8, app: str = "millrace", **conf: str) -> SparkSession:
@@ -87,8 +91,34 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_dropping: dict[str, list] = {}
+_dropping_lock = threading.Lock()
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Let queries started here delete their shuffle files when they end, not when the driver
+    happens to collect its garbage. The session's setting is put back by the last one out."""
+    key = spark.sparkContext.applicationId + str(spark._jsparkSession.sessionUUID())
+    with _dropping_lock:
+        users = _dropping.setdefault(key, [0, spark.conf.get(CLEANUP_KEY, None)])
+        users[0] += 1
+        spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        with _dropping_lock:
+            users[0] -= 1
+            if not users[0]:
+                del _dropping[key]
+                if users[1] is None:
+                    spark.conf.unset(CLEANUP_KEY)
+                else:
+                    spark.conf.set(CLEANUP_KEY, users[1])
+
+
 def pin(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder and read it back; ``unpin`` deletes it.
 
     Cuts lineage with a table that outlives lost executors, freezes values that
     depend on the physical layout, keeps column pruning for later readers, and
@@ -97,5 +127,14 @@ def pin(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._pinned_at = path
+    return table
+
+
+def unpin(*tables: DataFrame) -> None:
+    """Delete tables that ``pin`` wrote, once what is made of them has been written too."""
+    for table in tables:
+        delete_folder(table.sparkSession, table._pinned_at)
