@@ -55,12 +55,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     cut, digest = joined.__getitem__, xxhash.xxh64_intdigest
     spans = map(slice, starts[:n].tolist(), ends[-n:].tolist())
-    hashes = np.fromiter((digest(cut(s), SEED) for s in spans), np.uint64, n)
+    return folded(np.fromiter((digest(cut(s), SEED) for s in spans), np.uint64, n))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
     bits = np.zeros(64, np.int64)
-    for i in range(0, n, 8192):
+    for i in range(0, len(hashes), 8192):
         part = hashes[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
 
 
 _LOWER = bytes(W.LOWER.tolist())
@@ -158,20 +162,6 @@ def near_duplicates(
     return labelled(rows, id_col).drop("class")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id (of several
-    such rows any one; null ids last)."""
-    marked = with_fingerprints(docs, text_col, shingle, "_fp")
-    table = pin(marked.withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
-    rows = labelled(table.select(F.col(id_col).alias("_id"), "_row", F.col("_fp").alias("fp")), "_id")
-    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")
-    first = rows.groupBy("class").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    groups = pin(first.select("class", F.col("_first._row").alias("_kept")), "groups")
-    # Rows to drop are few or many; the planner sees the size of the written table.
-    dropped = pin(rows.join(groups, "class").where("_row != _kept").select("_row"), "dropped")
-    return table.join(dropped, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def labelled(rows: DataFrame, id_col: str) -> DataFrame:
     """``rows`` (of a written table with ``fp``) with ``class``, a number of the
     component, and ``component_id``."""

@@ -70,26 +70,12 @@ def test_components_against_all_pairs(spark):
         assert r["component_id"] == least[want[r["fp"] % 2**64]]
 
 
-def test_one_of_each_group_stays(spark):
-    docs = H.documents(spark)
-    out = S.keep_one(docs)
-    got = out.collect()
-    assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
-    classes = {}
-    want = slow_components({slow_fingerprint(r[1]) for r in H.rows()})
-    for r in H.rows():
-        classes.setdefault(want[slow_fingerprint(r[1])], []).append(r[0])
-    assert len(got) == len(classes)
-    assert sorted(r["doc_id"] for r in got) == sorted(min(i for i in c if i is not None) for c in classes.values())
-
-
 def test_awkward_rows_and_empty_tables(spark):
     out = S.near_duplicates(H.documents(spark)).collect()
     assert len(out) == len(H.rows())
     zero = {r["component_id"] for r in out if r["fp"] == 0}
     assert zero == {100}
     assert S.near_duplicates(H.nothing(spark)).collect() == []
-    assert S.keep_one(H.nothing(spark)).collect() == []
 
 
 def test_chains_are_the_pigeonring_budgets():
