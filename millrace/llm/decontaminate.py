@@ -222,6 +222,8 @@ def scan(
     """``docs`` with n_words, hit_spans (ranges of words) and hit_items."""
     out = None
     sc = docs.sparkSession.sparkContext
+    docs, own, restored = W.aside(docs.drop(*[f.name for f in FOUND]), "_spans", "_items")
+    text_col = own(text_col)
     for automaton in automata(items, item_id, item_text, window, block_words):
         shared = sc.broadcast(automaton)
         if out is None:
@@ -234,7 +236,7 @@ def scan(
         out = now.withColumns(
             {"hit_spans": merged_spans(joined), "hit_items": F.array_union("_items", "hit_items")}
         ).drop("_spans", "_items")
-    return out
+    return restored(out)
 
 
 def merged_spans(spans: Column) -> Column:
@@ -327,12 +329,14 @@ def decontaminate(
     of which more than ``max_coverage`` is hit goes. Columns stay as they are, but
     ``n_chars``, if there, follows a changed text."""
     sc = docs.sparkSession.sparkContext
+    docs, own, restored = W.aside(docs, "_clean", "_row")
+    text_col = own(text_col)
     blocks = automata(items, item_id, item_text, window, block_words)
     automaton = next(blocks)
     if next(blocks, None) is not None:
         del automaton
         marked = _cleaned_by_blocks(docs, items, text_col, item_id, item_text, window, max_coverage, block_words)
-        return _put(docs, marked, text_col)
+        return restored(_put(docs, marked, text_col))
     mark = T.StructField("_clean", T.StructType(CLEAN))
     shared = sc.broadcast(automaton)
 
@@ -351,7 +355,7 @@ def decontaminate(
 
         return work
 
-    return _put(docs, W.with_text_columns(docs, text_col, [mark], make), text_col)
+    return restored(_put(docs, W.with_text_columns(docs, text_col, [mark], make), text_col))
 
 
 CLEAN = [T.StructField("kept", T.BooleanType()), T.StructField("text", T.StringType())]

@@ -99,18 +99,36 @@ def part_bits(docs: DataFrame) -> int:
     return max(4, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
+SORTED = ("key", "keys", "owners")  # columns that go as differences
+
+
+def _bytes(name: str, x: np.ndarray) -> bytes:
+    """An array as the planes of its bytes, one after another: what all values have in common
+    compresses to nothing."""
+    if name in SORTED:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _array(name: str, data: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if name in SORTED else x
+
+
 def _packed(bits: int, keys: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """Arrays in the order of ``keys`` as one row ``(part, column...)`` for each part, in bytes."""
     borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     cuts = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
     parts = np.flatnonzero(np.diff(cuts))
     spans = list(zip(cuts[parts].tolist(), cuts[parts + 1].tolist()))
-    bytes_ = [pa.array([c[x:y].tobytes() for x, y in spans], pa.binary()) for c in columns.values()]
+    bytes_ = [pa.array([_bytes(n, c[x:y]) for x, y in spans], pa.binary()) for n, c in columns.items()]
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *bytes_], names=["part", *columns])
 
 
 def _unpacked(rows: pa.RecordBatch, name: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(v for v in rows.column(name).to_pylist() if v is not None), dtype)
+    found = [_array(name, v, dtype) for v in rows.column(name).to_pylist() if v is not None]
+    return np.concatenate(found) if found else np.zeros(0, dtype)
 
 
 def _by_part(rows: DataFrame, *then: str) -> DataFrame:
@@ -417,8 +435,8 @@ def _packed_tail(tail: DataFrame, bits: int) -> DataFrame:
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             base, known, extra = (np.add.reduceat(x[order], first) for x in (base, known, extra))
             at = np.flatnonzero(known)
-            row = [keys[first], extra, at.astype(np.uint32), base[at]]
-            yield pa.RecordBatch.from_arrays([group.column("part")[:1], *[pa.array([x.tobytes()], pa.binary()) for x in row]], names=_names(TAIL))
+            row = dict(zip(_names(TAIL)[1:], (keys[first], extra, at.astype(np.uint32), base[at])))
+            yield pa.RecordBatch.from_arrays([group.column("part")[:1], *[pa.array([_bytes(n, x)], pa.binary()) for n, x in row.items()]], names=_names(TAIL))
 
     rows = tail.select("key", "base", F.col("known").cast("int"), "extra")
     packed = rows.mapInArrow(pack, "part int, " + ", ".join(f"{n} binary" for n in types))
@@ -549,7 +567,7 @@ def _add_tail(scanned: DataFrame, model: Model) -> DataFrame:
                 first.append(run)
                 sums = [np.bincount(place, x, len(owners)) for x in (base, known, extra)]
                 for name, x in zip(packed, (owners.astype(np.uint32), sums[0], sums[1].astype(np.int32), sums[2])):
-                    packed[name].append(x.tobytes())
+                    packed[name].append(_bytes(name, x))
             return _nulls(schema, len(first), first=pa.array(first, pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in packed.items()})
 
         for group in _groups(batches, "part"):

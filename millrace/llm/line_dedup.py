@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import words as W
+from millrace.operators.joining import join_lookup
 from millrace.session import pin
 
 LEAST_SITES = 5
@@ -44,7 +46,8 @@ def spread_lines(
     estimated = pin(
         seen.groupBy("key")
         .agg(F.min("site").alias("_a"), F.max("site").alias("_b"), F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites"))
-        .where(F.col("_a") != F.col("_b"))
+        # Most lines are on one site; that needs no estimate.
+        .where((F.col("_a") != F.col("_b")) | F.lit(least_sites < 2))
         .where(F.col("sites") >= (1 - band) * least_sites)
         .select("key", "sites"),
         "line-spread",
@@ -64,21 +67,25 @@ def remove_spread_lines(
     band: float = BAND,
 ) -> DataFrame:
     """``docs`` with ``clean_text``, ``n_lines`` and ``n_removed``."""
-    docs = docs.drop("clean_text", "n_lines", "n_removed")
-    spread = pin(spread_lines(docs, text_col, site_col, least_sites, band).select("key"), "spread-lines")
+    docs, own, restored = W.aside(docs.drop("clean_text", "n_lines", "n_removed"), "_same", "_lost", "_kept")
+    id_col, text_col, site_col = own(id_col), own(text_col), own(site_col)
+    spread = pin(spread_lines(docs, text_col, site_col, least_sites, band).select("key", F.lit(True).alias("spread")), "spread-lines")
     # The documents' lines meet the spread lines, never the texts: what is joined back to
     # a document, by its id and text, is the set of keys it loses.
     same = F.xxhash64(F.col(id_col), F.col(text_col))
     keys = F.transform(_lines(F.col(text_col)), _key)
+    met = docs.select(same.alias("_same"), F.explode(F.array_distinct(keys)).alias("key"))
     lost = (
-        docs.select(same.alias("_same"), F.explode(F.array_distinct(keys)).alias("key"))
-        .join(spread, "key")
+        # One line may be on a third of all documents: where the spread lines are too many to
+        # hand out, it is looked up under salts.
+        join_lookup(met, spread, "key", "_same")
+        .where("spread")
         .groupBy("_same")
         .agg(F.collect_set("key").alias("_lost"))
     )
     lines = _lines(F.col(text_col))
     kept = F.filter(lines, lambda x: ~F.array_contains("_lost", _key(x)) | (F.trim(x) == ""))
-    return (
+    return restored(
         docs.withColumn("_same", same)
         .join(lost, "_same", "left")
         .withColumns(

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import words as W
 from millrace.session import pin
 
 WEIGHTS = (5, 2, 1)
@@ -33,6 +34,8 @@ SEED = 20
 LEAST_QUALITY = 1e-6
 BINS_PER_UNIT = 512  # of the keys' natural logarithm; a unit holds at most 37 % of a source
 RESULT = ("size", "source_size", "target", "taken", "copies")
+PLACES = ("_mix_source", "_mix_at", "_mix_bin", "_mix_sub")
+OWN = (*PLACES, "_s", "_t", "_target", "_epochs", "_rest", "_cut_bin", "_cut_left", "_sub_bin", "_sub_left", "_in", "_before")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,8 +82,8 @@ def source_targets(
     rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, cap: float = CAP
 ) -> DataFrame:
     """One row per source: size, target, complete epochs, words left for the
-    fractional part. Sources are the mix's configuration and few, so the ordered
-    windows over them are small."""
+    fractional part. A row per source, so the ordered windows over them are small; how
+    these rows meet the documents is left to their size."""
     weight = F.element_at(
         F.array(*[F.lit(float(w)) for w in weights]),
         ((F.row_number().over(Window.orderBy(F.col("_mix_source").asc_nulls_last())) - 1) % len(weights) + 1),
@@ -133,7 +136,7 @@ def _cut(rows: DataFrame, bin_col: str, limits: DataFrame, rest: str, name: str)
     )
     lim = limits.withColumnRenamed("_mix_source", "_s")
     ends = (
-        sums.join(F.broadcast(lim.select("_s", rest)), F.col("_mix_source").eqNullSafe(F.col("_s")))
+        sums.join(lim.select("_s", rest), F.col("_mix_source").eqNullSafe(F.col("_s")))
         .where((F.col("_before") < F.col(rest)) & (F.col("_before") + F.col("_words") >= F.col(rest)))
         .groupBy("_mix_source")
         .agg(F.min(F.struct("_bin", (F.col(rest) - F.col("_before")).alias("_left"))).alias("_end"))
@@ -154,7 +157,7 @@ def mix_plan(
     first = pin(_cut(rows, "_mix_bin", targets, "_rest", "_cut"), "mix-first")
     limits = first.select(F.col("_mix_source").alias("_s"), F.col("_cut_bin"))
     inside = rows.join(
-        F.broadcast(limits),
+        limits,
         F.col("_mix_source").eqNullSafe(F.col("_s")) & (F.col("_mix_bin") == F.col("_cut_bin")),
     ).drop("_s", "_cut_bin")
     return pin(_cut(inside, "_mix_sub", first, "_cut_left", "_sub"), "mix-plan")
@@ -164,7 +167,7 @@ def apply_mix(rows: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataF
     """``rows`` (of ``sized``) with source_size, target, copies and taken."""
     p = plan.withColumnRenamed("_mix_source", "_s")
     at = F.col("_mix_bin")
-    joined = rows.join(F.broadcast(p), F.col("_mix_source").eqNullSafe(F.col("_s")))
+    joined = rows.join(p, F.col("_mix_source").eqNullSafe(F.col("_s")))
     edge = F.coalesce((at == F.col("_cut_bin")) & (F.col("_mix_sub") == F.col("_sub_bin")), F.lit(False))
     ahead = (
         Window.partitionBy("_mix_source").orderBy("_mix_at", F.col(id_col), "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -180,7 +183,7 @@ def apply_mix(rows: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataF
         .drop("_before")
     )
     copies = (F.col("_epochs") + F.col("_in").cast("long")).alias("copies")
-    keep = [F.col(c) for c in rows.columns if not c.startswith("_mix_")]
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in PLACES]
     return clear.unionByName(close).select(
         *keep, "source_size", "target", copies, (copies * F.col("size")).alias("taken")
     )
@@ -201,18 +204,21 @@ def mix(
     """One row per document with size, source_size, target, copies and taken
     (words taken, repeats counted); ``with_text=False`` returns the id only and
     reads the texts once."""
-    rows = sized(docs, id_col, text_col, source_col, quality, seed)
-    narrow = [c for c in rows.columns if c.startswith("_mix_")]
-    table = pin(rows.select(F.col(id_col), "size", *narrow), "mix-rows")
+    docs, own, restored = W.aside(docs, *OWN)
+    id_col = own(id_col)
+    rows = sized(docs, id_col, own(text_col), own(source_col), quality, seed)
+    table = pin(rows.select(F.col(id_col), "size", *PLACES), "mix-rows")
     plan = mix_plan(table, weights, share, cap)
-    return apply_mix(rows if with_text else table, plan, id_col)
+    return restored(apply_mix(rows if with_text else table, plan, id_col))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of
     ``docs`` as they were, whatever their names."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    named = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
+    named = [F.col(f"`{c}`").alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))]
     out = mix(docs.select(whole, *named), **options).where("copies > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return out.select("_doc", copies).select("_doc.*")

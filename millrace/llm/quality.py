@@ -128,10 +128,11 @@ def classify(
     docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """``docs`` with held_out, score and predicted."""
-    return (
-        with_stats(docs.drop("held_out", "score", "predicted"), text_col)
+    docs, own, restored = W.aside(docs.drop("held_out", "score", "predicted"), STATS)
+    return restored(
+        with_stats(docs, own(text_col))
         .withColumn("score", model.column())
-        .withColumns({"held_out": held_out(id_col), "predicted": (F.col("score") >= threshold).cast("int")})
+        .withColumns({"held_out": held_out(own(id_col)), "predicted": (F.col("score") >= threshold).cast("int")})
         .drop(STATS)
     )
 
@@ -139,5 +140,5 @@ def classify(
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those the classifier rejects."""
     model = fit(docs, labels, id_col, text_col)
-    scored = with_stats(docs, text_col).withColumn("_score", model.column())
-    return scored.where(F.col("_score") >= THRESHOLD).drop(STATS, "_score")
+    docs, own, restored = W.aside(docs, STATS)
+    return restored(with_stats(docs, own(text_col)).where(model.column() >= THRESHOLD).drop(STATS))

@@ -132,6 +132,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with the columns an operator uses names of its own for put aside: renamed
+    ``docs``, the name a column of the caller has in them, and what gives the names back."""
+    used = {n.lower() for n in names}
+    new, out = {}, docs
+    for c in docs.columns:
+        if c.lower() in used:
+            new[c] = fresh(out, c)
+            out = out.withColumnRenamed(c, new[c])
+            while new[c].lower() in used:
+                out = out.withColumnRenamed(new[c], longer := fresh(out, new[c] + "_"))
+                new[c] = longer
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({v: k for k, v in new.items()})
+
+    return out, lambda c: new.get(c, c), restored
+
+
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text, one row at least."""
     column = batch.column(batch.schema.get_field_index(text_col))

@@ -45,3 +45,20 @@ def test_empty_table_and_plan(spark):
     plan = D.spread_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
     assert D.remove_spread_lines(docs.withColumn("n_lines", F.lit(1))).columns[-3:] == ["n_lines", "clean_text", "n_removed"]
+
+
+def test_lines_of_one_site_count_when_one_is_enough(spark):
+    rows = [(1, "a\nb", "s"), (2, "c", None), (3, "\n \n", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.clean_text, r.n_lines, r.n_removed) for r in D.remove_spread_lines(docs, least_sites=1).collect()}
+    assert got == {1: ("", 2, 2), 2: ("c", 1, 0), 3: ("\n \n", 3, 0)}
+
+
+def test_spread_lines_too_many_to_hand_out(spark, monkeypatch):
+    from millrace.operators import joining
+
+    monkeypatch.setattr(joining.join_lookup, "__defaults__", (1,))
+    rows = [(i, f"hot\nown {i}\ntwo {i % 2}", f"s{i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = D.remove_spread_lines(docs)
+    assert {r.doc_id: r.clean_text for r in out.collect()} == {i: f"own {i}" for i in range(60)}
