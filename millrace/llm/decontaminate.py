@@ -7,8 +7,10 @@ there. Words are first looked up in the items' vocabulary, and pairs of words in
 items' pairs, on whole columns: only runs in which every pair occurs in some item
 can hold a window, and only those are walked.
 
-The test set is cut into blocks of ``BLOCK_WORDS`` words at most, so what is sent to
-the executors at once is bounded; every block passes over all documents.
+The test set is dealt to blocks of about ``BLOCK_WORDS`` words, so what is sent to the executors
+at once is bounded; an item too long for that is cut into pieces that share all but one word
+of a window, which have the same windows. Tasks build the automata, a block each, once,
+into a written table; every block passes over all documents.
 
 Defined results: null or empty text has no words; a null or wordless item matches
 nothing; items without an id count as one item with an empty id; equal item ids are
@@ -18,11 +20,13 @@ Columns of the input named like a result column are replaced.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,18 +170,63 @@ class Automaton:
         return spans, items
 
 
-def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """One automaton per block of items, read a partition at a time."""
-    block: list[tuple[str, np.ndarray]] = []
-    size = 0
-    for row in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        w = _item_words(row[1])
-        if block and size + len(w) > block_words:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((row[0] or "", w))
-        size += len(w)
-    yield Automaton(block, window)
+PIECE = "name string, words binary"
+BLOCK = "block int, automaton binary"
+
+
+def pieces(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """``PIECE`` rows: words of items, or of parts of long ones, as hashes in bytes."""
+    size = max(window, block_words // 4)
+    rows = items.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                names, words = [], []
+                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    w = _item_words(text)
+                    for at in range(0, max(len(w) - window, 0) + 1, size - window + 1):
+                        if len(w):
+                            names.append(name or "")
+                            words.append(w[at : at + size].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.binary())], names=["name", "words"])
+
+    return rows.mapInArrow(run, PIECE)
+
+
+def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> list[Broadcast]:
+    """The automaton of each block, as bytes that were broadcast: built by tasks, and handed on
+    by the driver one at a time and unread."""
+    spark = items.sparkSession
+    W.bound_batches(spark)
+    cut_up = pin(pieces(items, id_col, text_col, window, block_words), "item-pieces")
+    total = cut_up.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
+    blocks = max(1, -(-total // block_words))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in W.whole_groups(batches, ("block",), lambda rows: pa.array(np.ones(rows.num_rows, np.int64)), 1):
+            names, words = group.column("name").to_pylist(), group.column("words").to_pylist()
+            built = Automaton([(n, np.frombuffer(w, np.uint64)) for n, w in zip(names, words)], window)
+            yield pa.RecordBatch.from_arrays([group.column("block")[:1], pa.array([pickle.dumps(built, 5)], pa.large_binary()).cast(pa.binary())], names=["block", "automaton"])
+
+    dealt = cut_up.select(F.pmod(F.xxhash64("words"), F.lit(blocks)).cast("int").alias("block"), "name", "words")
+    table = pin(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(build, BLOCK), "automata")
+    found = [r[0] for r in table.select("block").orderBy("block").collect()]
+    empty = [] if found else [pickle.dumps(Automaton([], window), 5)]
+    built = (bytes(table.where(F.col("block") == k).select("automaton").first()[0]) for k in found)
+    return [spark.sparkContext.broadcast((uuid.uuid4().hex, b)) for b in (*empty, *built)]
+
+
+_unpickled: dict[str, Automaton] = {}
+
+
+def loaded(shared: Broadcast) -> Automaton:
+    """The automaton, read once by a Python worker."""
+    key, data = shared.value
+    if key not in _unpickled:
+        _unpickled.clear()
+        _unpickled[key] = pickle.loads(data)
+    return _unpickled[key]
 
 
 def scan_array(texts: pa.Array, automaton: Automaton) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
@@ -220,12 +269,16 @@ def scan(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with n_words, hit_spans (ranges of words) and hit_items."""
+    blocks = automata(items, item_id, item_text, window, block_words)
+    return scan_blocks(docs, blocks, text_col)
+
+
+def scan_blocks(docs: DataFrame, blocks: list[Broadcast], text_col: str) -> DataFrame:
+    """``scan`` with automata that are built."""
     out = None
-    sc = docs.sparkSession.sparkContext
     docs, own, restored = W.aside(docs.drop(*[f.name for f in FOUND]), "_spans", "_items")
     text_col = own(text_col)
-    for automaton in automata(items, item_id, item_text, window, block_words):
-        shared = sc.broadcast(automaton)
+    for shared in blocks:
         if out is None:
             out = W.with_text_columns(docs, text_col, FOUND, lambda shared=shared: _search_with(shared))
             continue
@@ -257,8 +310,8 @@ def merged_spans(spans: Column) -> Column:
     )
 
 
-def _search_with(shared):
-    automaton = shared.value
+def _search_with(shared: Broadcast):
+    automaton = loaded(shared)
 
     def work(texts: pa.Array) -> list:
         rows = scan_array(texts, automaton)
@@ -328,20 +381,16 @@ def decontaminate(
     """``docs`` without the words that occur in windows of test items; a document
     of which more than ``max_coverage`` is hit goes. Columns stay as they are, but
     ``n_chars``, if there, follows a changed text."""
-    sc = docs.sparkSession.sparkContext
     docs, own, restored = W.aside(docs, "_clean", "_row")
     text_col = own(text_col)
     blocks = automata(items, item_id, item_text, window, block_words)
-    automaton = next(blocks)
-    if next(blocks, None) is not None:
-        del automaton
-        marked = _cleaned_by_blocks(docs, items, text_col, item_id, item_text, window, max_coverage, block_words)
-        return restored(_put(docs, marked, text_col))
+    if len(blocks) > 1:
+        return restored(_put(docs, _cleaned_by_blocks(docs, blocks, text_col, max_coverage), text_col))
     mark = T.StructField("_clean", T.StructType(CLEAN))
-    shared = sc.broadcast(automaton)
+    shared = blocks[0]
 
     def make():
-        automaton = shared.value
+        automaton = loaded(shared)
 
         def work(texts: pa.Array) -> list:
             done = []
@@ -370,9 +419,7 @@ def _put(docs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
     return marked.where(~changed | F.col("_clean.kept")).withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _cleaned_by_blocks(
-    docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, max_coverage: float, block_words: int
-) -> DataFrame:
+def _cleaned_by_blocks(docs: DataFrame, blocks: list[Broadcast], text_col: str, max_coverage: float) -> DataFrame:
     """``docs`` with ``_clean``, as one block of all items would give it: the spans of
     all blocks are found on the same text before it is judged and cut, and cut texts
     are scanned by all blocks again until none is hit."""
@@ -392,7 +439,7 @@ def _cleaned_by_blocks(
 
     schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_clean", T.StructType(CLEAN))])
     while True:
-        found = scan(todo, items, "text", item_id, item_text, window, block_words)
+        found = scan_blocks(todo, blocks, "text")
         hit = found.where(F.size("hit_spans") > 0).select("_row", "text", "n_words", "hit_spans")
         done = pin(hit.mapInArrow(cuts, schema), "decontaminate")
         rounds.append(done.withColumn("_round", F.lit(len(rounds))))

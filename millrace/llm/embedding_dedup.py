@@ -12,6 +12,11 @@ Rows of one label with the same vector are one node, weighted by their number. A
 above ``GROUP_ROWS`` rows is cut into blocks, and the pairs of blocks are compared in
 tasks of their own: exact, at the price of repeating the rows.
 
+A split whose margin holds a large share of a node's rows would send most of them both ways. So
+the rows' expected number of copies is tracked down every path, and a node at which it would
+pass ``MAX_GROWTH`` is not split there: in a dense cloud leaves grow instead of copies, and large
+leaves are compared block by block.
+
 The trees are fitted on at most ``SAMPLE_ROWS`` distinct vectors (the smallest by hash);
 every vector is indexed. What is sent to the executors is bounded by ``TREES`` and
 ``MAX_DEPTH`` alone.
@@ -42,6 +47,7 @@ GROUP_ROWS = 2048
 MAX_DEPTH = 18
 SAMPLE_ROWS = 50_000
 LEAST_SPLIT = 16
+MAX_GROWTH = 4.0  # copies of a row in a tree, on average over the rows of a leaf
 SEED = 7
 
 
@@ -58,10 +64,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def spill(cosine: float, dimensions: int) -> float:
+    """Distance from a threshold up to which a vector goes to both sides."""
+    return SPILL * float(np.sqrt(2 * (1 - cosine) / dimensions))
+
+
 class Forest:
-    """Directions by (tree, level) and thresholds by (tree, level, node)."""
+    """Directions by (tree, level) and thresholds by (tree, level, node); infinite where a node
+    is not split."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED):
+    def __init__(
+        self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED, margin: float = 0.0, growth: float = MAX_GROWTH
+    ):
         rng = np.random.default_rng(seed)
         self.depth, self.trees = depth, trees
         directions = rng.standard_normal((trees, depth, sample.shape[1]))
@@ -71,6 +85,7 @@ class Forest:
             node = np.zeros(len(sample), np.int64)
             centre = np.zeros((1, sample.shape[1]))
             holder = np.zeros(1, np.int64)  # whose centre a node too small to split goes by
+            share, copies = np.zeros(1), np.ones(1)  # of rows in the margin (as last seen); of a row so far
             for level in range(depth):
                 side = sample @ self.directions[t, level]
                 order = np.lexsort((side, node))
@@ -84,9 +99,14 @@ class Forest:
                     centre = np.concatenate([centre, means])
                 cut = centre[holder] @ self.directions[t, level]
                 cut[large] = side[order[bounds[large] + size[large] // 2]]
+                near = np.bincount(node[np.abs(side - cut[node]) < margin], minlength=1 << level)
+                share = np.where(size >= LEAST_SPLIT, near / np.maximum(size, 1), share)
+                split = copies * (1 + share) <= growth
+                cut[~split] = np.inf
+                copies = np.where(split, copies * (1 + share), copies)
                 self.thresholds[t][level] = cut
                 node = node * 2 + (side >= cut[node])
-                holder = np.repeat(holder, 2)
+                holder, share, copies = (np.repeat(x, 2) for x in (holder, share, copies))
 
     def leaves(self, vectors: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the numbers of the leaves they fall in, in order of rows."""
@@ -120,8 +140,7 @@ def _indexed(nodes: DataFrame, shared, cosine: float) -> DataFrame:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 vectors = unit(_matrix(part.column(2)))
-                margin = SPILL * np.sqrt(2 * (1 - cosine) / vectors.shape[1])
-                row, code = forest.leaves(vectors, margin)
+                row, code = forest.leaves(vectors, spill(cosine, vectors.shape[1]))
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 all_leaves = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code, pa.int64()))
                 taken = part.take(pa.array(row))
@@ -186,7 +205,8 @@ def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, largest) / LEAF_ROWS)))))
     sample = nodes.orderBy(F.xxhash64("rep", "v")).limit(SAMPLE_ROWS).select("v").toArrow()
-    forest = Forest(unit(_matrix(sample.column(0).combine_chunks())), depth)
+    fitted = unit(_matrix(sample.column(0).combine_chunks()))
+    forest = Forest(fitted, depth, margin=spill(cosine, fitted.shape[1]))
     indexed = _indexed(nodes, spark.sparkContext.broadcast(forest), cosine)
     large = (
         indexed.groupBy("leaf", "label")

@@ -43,7 +43,7 @@ from millrace.session import pin
 WINDOW = 200
 GRAM = 64
 HOT = 2048  # contexts of one anchor in one shard
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK = 1 << 18  # window starts handled at once
 PLACE_BITS = 24  # of a place within a block
 SEEN = 1 << 16  # texts a task remembers, to see copies before they travel

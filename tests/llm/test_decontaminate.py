@@ -3,6 +3,7 @@ import random
 import re
 
 import helpers as H
+import pytest
 
 from millrace.llm import decontaminate as D
 
@@ -105,3 +106,23 @@ def test_many_blocks_remove_what_one_block_removes(spark):
     key = lambda r: repr(tuple(r))
     one = sorted(D.decontaminate(df, random_items).collect(), key=key)
     assert sorted(D.decontaminate(df, random_items, block_words=60).collect(), key=key) == one
+
+
+@pytest.mark.parametrize("block_words", [12, 40, 500_000])
+def test_items_longer_than_a_block_are_cut_into_pieces(spark, block_words):
+    """Pieces share all but one word of a window: what is found does not depend on the blocks."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (400, 57, 10, 9, 3, 0)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b c d e f g h i j k"), (7, None)], "item_id long, text string")
+    docs = [" ".join([words[3], texts[0][a : a + 300], "zz", texts[k % 3][-200:]]) for k, a in enumerate(range(0, 900, 45))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*docs, "x a b c d e f g h i j k", None, ""])], "doc_id long, text string")
+    parts = D.pieces(items, "item_id", "text", 10, block_words)
+    sizes = [len(r.words) // 8 for r in parts.collect()]
+    assert max(sizes) <= max(10, block_words // 4) and (block_words > 40 or len(sizes) > 8)
+    built = D.automata(items, "item_id", "text", 10, block_words)
+    assert len(built) == 1 if block_words == 500_000 else len(built) > 3
+    want = sorted(map(tuple, D.report(D.scan(docs, items)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256").collect()))
+    got = D.report(D.scan(docs, items, block_words=block_words))
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256").collect())) == want
+    assert any(w[3] > 0 for w in want)

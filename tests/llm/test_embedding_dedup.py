@@ -93,3 +93,33 @@ def test_leaves_do_not_depend_on_batches():
     assert np.bincount(code >> 4).min() >= 500
     assert forest.leaves(x, 0.0)[0].tolist() == sorted(list(range(500)) * forest.trees)
     assert E.unit(np.array([[1e300, 1e300]])) == pytest.approx(np.array([[0.5**0.5] * 2]))
+
+
+@pytest.mark.parametrize("depth", [6, 12, 18])
+def test_copies_of_a_dense_cloud_are_bounded_and_its_pairs_meet(depth):
+    """A cloud in which every pair is near the limit: without a bound each level would send most
+    vectors both ways."""
+    rng = np.random.default_rng(depth)
+    centre = rng.standard_normal(64)
+    vectors = E.unit(centre / np.linalg.norm(centre) + rng.standard_normal((3000, 64)) * 0.0155)
+    cosines = vectors @ vectors.T
+    margin = E.spill(0.98, 64)
+    forest = E.Forest(vectors[:1500], depth, margin=margin)
+    row, code = forest.leaves(vectors, margin)
+    assert len(row) / len(vectors) <= 1.5 * E.TREES * E.MAX_GROWTH
+    met = np.zeros((len(vectors), len(vectors)), bool)
+    for leaf in np.unique(code):
+        members = row[code == leaf]
+        met[np.ix_(members, members)] = True
+    pairs = np.triu(cosines >= 0.98, 1)
+    assert pairs.sum() > 1000 and met[pairs].mean() >= 0.95
+
+
+def test_a_node_is_split_where_few_rows_are_near_the_border():
+    rng = np.random.default_rng(1)
+    vectors = E.unit(rng.standard_normal((4000, 64)))
+    margin = E.spill(0.98, 64)
+    forest = E.Forest(vectors, 6, margin=margin)
+    assert all(np.isfinite(cut).all() for tree in forest.thresholds for cut in tree)
+    row, code = forest.leaves(vectors, margin)
+    assert np.bincount(code).max() < 500 and len(row) < 2 * E.TREES * len(vectors)
