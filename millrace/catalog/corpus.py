@@ -116,16 +116,17 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed_with_quota(spark: SparkSession, sf_dir: str) -> str:
-    """The documents arrive in ``ARRIVALS`` files by id, a file per micro-batch, and half
-    of their number is wanted: the quota ends within a batch."""
+    """The documents arrive in ``ARRIVALS`` folders by id, and half of their number is wanted:
+    the quota ends within an arrival. After each, what is there is streamed, as one batch
+    whatever its number of files."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
     step, arrivals, out = -(-n // ARRIVALS), scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
     for k in range(ARRIVALS):
         part = docs.filter(F.least(F.expr(f"doc_id div {step}"), F.lit(ARRIVALS - 1)) == k)
-        part.coalesce(1).write.mode("append").parquet(arrivals)
-    stream = _as_stream(spark, arrivals, docs.schema, maxFilesPerTrigger="1")
-    start_numbered_sink(stream, web_clean, WEB, ["ord"], out, n // 2, MIN_WORDS).awaitTermination()
+        part.write.parquet(f"{arrivals}/{k}")
+        stream = _as_stream(spark, f"{arrivals}/*", docs.schema)
+        start_numbered_sink(stream, web_clean, WEB, ["ord"], out, n // 2, MIN_WORDS).awaitTermination()
     return out
 
 
