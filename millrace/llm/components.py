@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round rewires each node to the smallest node it sees, first among all its
-neighbours, then among the smaller ones, until no edge changes; a tree of stars is
-left. Rounds are joins and grouped minima over the edges, written to the shared
+neighbours, then among the smaller ones, until every node has one root that has none
+itself; stars are left. Rounds are joins and grouped minima over the edges, written to the shared
 folder after each, so no component, however large, meets in one task or the driver.
 """
 
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from millrace.session import pin
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Has every node of the edges (a, b) one root that has none itself?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child")).union(edges.select("b", F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("child").alias("roots"), F.min("child").alias("least"))
+    return seen.where("roots > 1 OR (roots = 1 AND least = 0)").isEmpty()
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -37,10 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
-    state = _state(now)
-    while state[0]:
+    while not _are_stars(now):
         now = pin(_stars(now), "stars")
-        before, state = state, _state(now)
-        if state == before:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

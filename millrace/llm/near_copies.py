@@ -152,14 +152,14 @@ def _spread(blocks):
 
 
 def _with_least(members: DataFrame) -> DataFrame:
-    """Tasks ``(band, key, i, j)`` in which the least node of each hash (``side`` 0) meets a block."""
-    stats = members.groupBy("band", "key").agg(
-        F.min(F.struct("node", "comp")).alias("hub"), F.count("*").alias("n"), F.sum("size").alias("hashes")
-    )
+    """Tasks ``(band, key, i, j)`` in which the least node of a hash (``side`` 0) meets a block of those
+    that have it as the first of their large ones; each node is its own component yet."""
+    stats = members.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.sum("size").alias("hashes"))
     stats = pin(stats.withColumn("parts", _blocks(F.col("n"), F.col("hashes"))), "large-buckets")
-    hub = stats.select("band", "key", F.col("hub.node").alias("node"), F.col("hub.comp").alias("comp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    met = members.join(stats, ["band", "key"]).where("comp != hub.comp").withColumn("j", _spread(F.col("parts")))
-    columns = ["band", "key", F.lit(0).alias("i"), "j", "node", "comp"]
+    hub = stats.select("band", "key", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    first = members.groupBy("node").agg(F.min(F.struct("band", "key")).alias("at")).select("node", "at.band", "at.key")
+    met = first.join(stats, ["band", "key"]).where("node != hub").withColumn("j", _spread(F.col("parts")))
+    columns = ["band", "key", F.lit(0).alias("i"), "j", "node", F.col("node").alias("comp")]
     return hub.select(*columns, F.lit(0).alias("side")).union(met.select(*columns, F.lit(1).alias("side")))
 
 
@@ -249,13 +249,12 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     large = members.where(F.col("n") > PAIR_LIMIT).select("band", "key", "node", "size")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     sets = pin(_sets(texts.join(wanted, "node", "left_semi")), "candidate-sets")
-    found = pin(verified(pairs, sets), "links")
-    for tasks, once in ((_with_least, False), (_with_others, True)):
-        open_ = _in_components(large, _components(found))
-        if open_.isEmpty():
-            break
-        found = pin(found.union(block_links(tasks(open_), nodes, sets, once)), "links")
-    return found
+    found = verified(pairs, sets)
+    if large.isEmpty():
+        return found
+    found = pin(found.union(block_links(_with_least(large), nodes, sets, False)), "links")
+    open_ = _in_components(large, _components(found))
+    return found if open_.isEmpty() else found.union(block_links(_with_others(open_), nodes, sets, True))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
