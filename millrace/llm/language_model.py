@@ -31,12 +31,16 @@ others are ignored.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,6 +205,23 @@ def passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[slot.astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) == 1
 
 
+def handed_out(sc: SparkContext, value) -> Broadcast:
+    """Broadcast of ``value``, compressed: executors keep what they get in files too."""
+    return sc.broadcast((uuid.uuid4().hex, zstandard.compress(pickle.dumps(value, 5), 3)))
+
+
+_taken: dict[str, object] = {}
+
+
+def taken(shared: Broadcast):
+    """The value handed out last, unpacked once by a Python worker."""
+    key, data = shared.value
+    if key not in _taken:
+        _taken.clear()
+        _taken[key] = pickle.loads(zstandard.decompress(data))
+    return _taken[key]
+
+
 @dataclass
 class Automaton:
     """``words``: sorted hashes; ``count``: their counts. States are numbered, the
@@ -353,11 +374,12 @@ def train(
     inside = counts.where(F.col("n") >= (least if word_share is None else word_share * total))
     tables, backoffs, written = [], [], [counts]
     for n in range(2, order + 1):
-        shared = sc.broadcast(sieve(inside, inside.count()))
+        shared = handed_out(sc, sieve(inside, inside.count()))
 
         def pick(texts: pa.Array, n=n, shared=shared):
             key, a, b, _ = gram_keys(*tokens(texts), n)[-1]
-            good = passes(a, shared.value) & passes(b, shared.value)
+            bitmap = taken(shared)
+            good = passes(a, bitmap) & passes(b, bitmap)
             return key[good], a[good], b[good]
 
         found = _count(docs, pick, ["key", "a", "b"], least)
@@ -365,6 +387,7 @@ def train(
             for c in ("a", "b"):
                 found = found.join(inside.select(F.col("key").alias(c)), c, "left_semi")
         found = pin(found, "gram-counts")
+        shared.destroy()
         ends = found.join(lower.select(F.col("key").alias("b"), "low", "whole"), "b")
         sums = ends.groupBy("a").agg(
             F.sum("n").alias("_n"), F.count("*").alias("_kinds"), F.sum("low").alias("_low"), F.max("whole").alias("whole")
@@ -421,11 +444,22 @@ def _packed_tail(tail: DataFrame, bits: int) -> DataFrame:
     types = {"keys": np.uint64, "base": np.float64, "known": np.int32, "extra": np.float64}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            order = np.argsort(columns[0].view(np.uint64))
+            columns = {n: c[order].view(t) for (n, t), c in zip(types.items(), columns)}
+            return _packed(bits, columns["keys"], columns)
+
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            keys = columns[0].view(np.uint64)
-            order = np.argsort(keys)
-            yield _packed(bits, keys[order], {n: c[order].view(t) for (n, t), c in zip(types.items(), columns)})
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size > FLUSH:
+                yield flushed()
+                held, size = [], 0
+        if size:
+            yield flushed()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "part"):
@@ -505,7 +539,7 @@ def _nulls(schema: T.StructType, n: int, **columns) -> pa.RecordBatch:
 def _scan(docs: DataFrame, model: Model) -> DataFrame:
     """``SCANNED`` rows of ``docs (doc, text, row)``: texts with what the automaton gives, and the
     rest of their words and n-grams by part, in runs of texts that begin with the row ``first``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.keys, model.sieves))
+    shared = handed_out(docs.sparkSession.sparkContext, (model.head, model.keys, model.sieves))
     bits = model.bits
     schema = T.StructType([T.StructField("doc", docs.schema["doc"].dataType), *_fields(SCANNED)])
 
@@ -525,7 +559,7 @@ def _scan(docs: DataFrame, model: Model) -> DataFrame:
             for part in W.slices(batch, "text"):
                 row = part.column(2).to_numpy()
                 first = row[0] if first is None else first
-                x = partial_scores(part.column(1), *shared.value)
+                x = partial_scores(part.column(1), *taken(shared))
                 n = len(row)
                 yield _nulls(
                     schema, n, doc=part.column(0), kind=pa.array(np.full(n, TEXT_ROW)), part=pa.array(row % (1 << bits)),
