@@ -98,10 +98,9 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_jsonl(spark, path)
 
 
-def _as_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
+def _as_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return (
         spark.readStream.schema(schema)
-        .options(**options)
         .parquet(path)
         .select(F.col("doc_id").alias("ord"), F.expr(noisy("doc_id")).alias("text"))
     )
@@ -109,7 +108,8 @@ def _as_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
 
 def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
-    stream = _as_stream(spark, f"{sf_dir}", schema, pathGlobFilter="documents.parquet")
+    # A pattern, which a stream takes for one file as well as for a folder of files.
+    stream = _as_stream(spark, f"{sf_dir}/documents.parque[t]", schema)
     out = scratch_path(spark, "stream")
     start_numbered_sink(stream, web_clean, WEB, ["ord"], out, min_words_exclusive=MIN_WORDS).awaitTermination()
     return read_numbered(spark, out).drop("batch")

@@ -6,6 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.catalog.corpus import stream_clean
 from millrace.config import CorpusConfig, SourceSpec
 from millrace.functions.cleaning import web_clean
 from millrace.operators.tokenizing import encode_with
@@ -430,6 +431,13 @@ def test_stream_numbers_run_on_over_batches(spark, tmp_path, quota):
     assert tuple(last) == ((3, 10, 5, 5) if quota is None else (3, 0, 0, 0))
 
 
+def test_documents_stored_as_many_files_are_streamed(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in stream_clean(spark, str(tmp_path)).collect()}
+    assert got and got == {tuple(r) for r in stream_clean(spark, sf_dir).collect()}
+
+
 def test_stream_with_repeated_keys_keeps_each_row_once(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
