@@ -159,6 +159,13 @@ def test_lookup_join_small_and_large(spark, skewed, rows):
     assert got == {r.id: want.get(r.grp) for r in left.collect()}
 
 
+def test_a_salted_lookup_is_never_broadcast(spark, skewed):
+    lookup = pin(spark.range(50).selectExpr("concat('g', id) as grp", "id as v"))
+    joined = join_lookup(skewed, lookup, "grp", "id", 10)
+    joined.collect()
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("buffer", [1, 2, 37, 5000])
 def test_buffer_shuffle_moves_less_than_its_buffer(spark, buffer):
     rows = spark.range(4000).selectExpr("id as pos", "concat('k', id) as sample_key", "id * 2 as other")
