@@ -16,8 +16,10 @@ from millrace.sources.tar_shards import (
     ShardsWritten,
     TarShardReader,
     TarShardWriter,
+    _member,
     bad_samples,
     list_shards,
+    open_fs,
     read_shards,
     verify_shards,
     write_shards,
@@ -173,6 +175,43 @@ def test_one_shard_is_read_by_several_tasks(spark, tmp_path):
     assert 0 < bad.filter("error IS NULL").count() < 3000 and bad.filter("error IS NOT NULL").count() >= 1
 
 
+def test_many_small_shards_share_tasks(spark, sharded, tmp_path):
+    many = spark.range(600).selectExpr(
+        "cast(id as int) as shard_idx", "0 as shard_pos", "format_string('%05d_00000', id) as sample_key",
+        "concat('d', id) as original_id", "'x' as domain", "0 as fragment_idx", "array(1, 2) as input_ids", "array(1, 1) as attention_mask",
+    )
+    path = str(tmp_path)
+    write_shards(many, path, "train", tasks=2)
+    back = read_shards(spark, path, "train")
+    assert back.rdd.getNumPartitions() < 300
+    assert as_rows(back.withColumnRenamed("text", "ids")) == as_rows(many.withColumnRenamed("input_ids", "ids"))
+
+
+@pytest.mark.parametrize("name", ["a.json", "é.json", "k" * 96 + ".x", "d/" + "k" * 98 + "/x.json"])
+@pytest.mark.parametrize("size", [0, 511, 512, 1000])
+def test_members_are_written_as_tarfile_does(name, size):
+    want, info = io.BytesIO(), tarfile.TarInfo(name)
+    info.size = size
+    with tarfile.open(fileobj=want, mode="w|", format=tarfile.USTAR_FORMAT) as tar:
+        tar.addfile(info, io.BytesIO(b"x" * size))
+        end = tar.offset
+    assert _member(name, b"x" * size) == want.getvalue()[:end]
+
+
+def test_any_cut_or_broken_byte_reads_as_by_tarfile(tmp_path):
+    content = [(f"{k}.{e}", b"%d" % k * (k * 300)) for k in range(4) for e in ("json", "input.json")]
+    _tar(tmp_path / "whole.tar", content)
+    good = (tmp_path / "whole.tar").read_bytes()
+    end = len(good.rstrip(b"\0"))
+    for at in range(0, end + 600, 97):
+        for bad in (good[:at], good[:at] + b"\xff" + good[at + 1 :]):
+            (tmp_path / "train-00000.tar").write_bytes(bad)
+            reader = TarShardReader(str(tmp_path), "train")
+            (part,) = reader.partitions()
+            fs, root = open_fs(str(tmp_path))
+            assert [*reader._rows(part)] == [*reader._other_samples(fs, root, part.pieces[0], 0, None, 0)]
+
+
 def test_missing_shards_are_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="no shards match"):
         read_shards(spark, str(tmp_path), "train").count()
