@@ -84,6 +84,29 @@ def test_shards_count_without_the_arrays(examples, unbroadcast):
     assert "text" not in plan.split("FileScan")[1].split("]")[0]
 
 
+def test_slots_need_no_tokens(spark):
+    from millrace.operators.sharding import shuffled_fragments, shuffled_slots
+
+    docs = spark.range(300).selectExpr(
+        "concat('d', id) as id", "'x' as domain", "if(id % 7 = 0, 'validation', 'train') as split",
+        "sequence(1, cast(id % 40 as int) + 1) as ids", "cast(id % 40 as int) + 1 as n_tokens",
+    )
+    slots = shuffled_slots(docs, 1, 8, 2, 50)
+    whole = shuffled_fragments(docs, 1, 8, 2, 999, 50).select(*slots.columns)
+    assert sorted(map(tuple, slots.collect())) == sorted(map(tuple, whole.collect()))
+    assert slots.dtypes == whole.dtypes and "sequence(1" not in plan_of(slots)
+
+
+def test_keys_of_samples_hash_no_tokens(spark, sf_dir, monkeypatch):
+    from millrace.catalog import reading
+
+    def refused(*_):
+        raise AssertionError("token ids are not needed")
+
+    monkeypatch.setattr(reading.tokenizing, "encode_hash", refused)
+    assert reading.block_shuffle(spark, sf_dir).count() > 0
+
+
 def test_split_and_shard_slots_move_the_tokens_once(spark, examples, unbroadcast):
     docs = pin(
         examples.select(
