@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TABLES_KEPT = 2
+LOOK_UP_BYTES = 2 << 20
 
 
 def _hashes(tokens: pa.Array) -> np.ndarray:
@@ -56,7 +57,16 @@ def kept_table(key: str, entries: Callable[[], pa.Table]) -> TokenTable:
 
 def look_up(texts: pa.Array, table: TokenTable) -> pa.Array:
     """Lists of numbers for texts of blank-separated tokens, null for tokens that are not in
-    the table. Each distinct token of the column is looked up once."""
+    the table. Texts are split ``LOOK_UP_BYTES`` at a time, since tokens take many times the bytes
+    of their texts; a distinct token is looked up once each time."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    slices = np.cumsum(lengths, dtype=np.int64) // LOOK_UP_BYTES
+    starts = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist()]
+    ends = [*starts[1:], len(texts)]
+    return pa.concat_arrays([_look_up(texts.slice(a, b - a), table) for a, b in zip(starts, ends, strict=True)])
+
+
+def _look_up(texts: pa.Array, table: TokenTable) -> pa.Array:
     parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
     coded = parts.flatten().dictionary_encode()
     number = table.find(coded.dictionary)

@@ -204,6 +204,21 @@ def test_token_table_finds_what_an_index_finds():
     assert none.find(pa.array(["a"])).to_pylist() == [None]
 
 
+def test_long_columns_are_looked_up_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from millrace.functions import token_table
+
+    texts = pa.array(["a b", None, "", "c a" * 40, "b", " a  c ", None])
+    table = token_table.TokenTable(pa.array(["a", "c"]), pa.array([0, 1], pa.int32()))
+    want, seen = token_table.look_up(texts, table).to_pylist(), []
+    split = token_table.pc.split_pattern
+    monkeypatch.setattr(token_table, "LOOK_UP_BYTES", 4)
+    monkeypatch.setattr(token_table.pc, "split_pattern", lambda t, p: seen.append(len(t)) or split(t, p))
+    assert token_table.look_up(texts, table).to_pylist() == want and len(seen) > 2
+    assert token_table.look_up(texts.slice(0, 0), table).to_pylist() == []
+
+
 def test_a_vocabulary_in_two_parts_with_a_hot_unknown_token(spark):
     """A third of all tokens are not in the vocabulary at all, others only in its tail."""
     rows = [(i, " ".join(["zz", f"t{i % 40}", f"t{i % 7}"] * (i % 5))) for i in range(300)]
