@@ -219,6 +219,15 @@ def test_long_columns_are_looked_up_in_slices(monkeypatch):
     assert token_table.look_up(texts.slice(0, 0), table).to_pylist() == []
 
 
+@pytest.mark.parametrize("small", [0, 10])
+def test_a_small_vocabulary_leaves_tokens_in_place(spark, small):
+    df = spark.createDataFrame([(1, "a b a"), (1, None), (None, ""), (2, "c b z")], "k int, text string")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, token_id int")
+    out = encode_by_join(df, vocab, 9, small=small)
+    assert sorted(tuple(r.ids) for r in out.collect()) == [(), (), (0, 1, 0), (2, 1, 9)]
+    assert ("hashpartitioning(token" not in out._jdf.queryExecution().executedPlan().toString()) == (small > 0)
+
+
 def test_a_vocabulary_in_two_parts_with_a_hot_unknown_token(spark):
     """A third of all tokens are not in the vocabulary at all, others only in its tail."""
     rows = [(i, " ".join(["zz", f"t{i % 40}", f"t{i % 7}"] * (i % 5))) for i in range(300)]
