@@ -35,6 +35,7 @@ import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ SIEVE_BITS = 1 << 27
 DISCOUNT = 0.5
 ADDED = 0.1  # to every unigram count
 PARTS = 10  # one in so many documents is held out
-STRETCH = 256
+STRETCH = 128
 FLUSH = 1_000_000
 END = int(W.hashes(np.frombuffer(b" end", np.uint8), np.array([0]), np.array([4]))[0])  # no word has a blank
 
@@ -90,7 +91,7 @@ def gram_keys(h: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple[np.nd
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Equal keys (the first array) made one; the last array is summed."""
     columns = [np.concatenate(c) for c in zip(*parts)]
-    order = np.argsort(columns[0], kind="stable")
+    order = W.order_of(columns[0])
     columns = [c[order] for c in columns]
     keys = columns[0]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -111,12 +112,19 @@ def _bytes(name: str, x: np.ndarray) -> bytes:
     common takes nothing, and what they have in part takes its entropy."""
     if name in SORTED:
         x = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+    rows = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)
+    planes = np.empty(rows.shape[::-1], np.uint8)
+    for i, plane in enumerate(planes):  # several times as fast as all at once
+        plane[:] = rows[:, i]
+    return zstandard.compress(planes, 1)
 
 
 def _array(name: str, data: bytes, dtype) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    x = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    x = np.empty(planes.shape[::-1], np.uint8)
+    for i, plane in enumerate(planes):
+        x[:, i] = plane
+    x = x.view(dtype).ravel()
     return np.cumsum(x, dtype=dtype) if name in SORTED else x
 
 
@@ -162,8 +170,8 @@ def _count(docs: DataFrame, pick: Callable, names: list[str], least: float = 1)
         for batch in batches:
             for part in W.slices(batch, "text"):
                 columns = pick(part.column(0))
-                _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
-                parts.append((*[c[first] for c in columns], n))
+                parts.append(_summed([(*columns, np.ones(len(columns[0]), np.int64))]))
+                n = parts[-1][-1]
                 size += len(n)
                 if len(parts) > 1 and len(n) * 4 > len(parts[0][0]):
                     parts = [_summed(parts)]
@@ -188,21 +196,47 @@ def _count(docs: DataFrame, pick: Callable, names: list[str], least: float = 1)
 
 def sieve(keys: DataFrame, size: int) -> np.ndarray:
     """Bitmap that has the bit of every ``key`` of a table of ``size`` rows set; it takes
-    ``SIEVE_BITS`` at most, and then lets more other keys through."""
-    slots = 1 << max(4, min(SIEVE_BITS, 16 * max(size, 1)).bit_length() - 7)
-    got = (
-        keys.groupBy((F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(slots - 1))).alias("slot"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(slots, np.uint64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    return out
+    ``SIEVE_BITS`` at most, and then lets more other keys through. The leading bits of a key say
+    which bit; tasks send the places of the bits they meet, a row for each part of the bitmap."""
+    width = max(10, min(SIEVE_BITS, 16 * max(size, 1)).bit_length() - 1)
+    bits = min(part_bits(keys), width - 6)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            place = np.sort(np.concatenate(held).view(np.uint64) >> np.uint64(64 - width))
+            place = place[np.append(True, place[1:] != place[:-1])]
+            return _packed(bits, place << np.uint64(64 - width), {"keys": place.astype(np.uint32)})
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += batch.num_rows
+            if size > FLUSH:
+                yield flushed()
+                held, size = [], 0
+        if size:
+            yield flushed()
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "part"):
+            part = np.zeros(1 << (width - bits), np.uint8)
+            part[_unpacked(group, "keys", np.uint32) & np.uint32(len(part) - 1)] = 1
+            bitmap = np.packbits(part, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([group.column("part")[:1], pa.array([bitmap], pa.binary())], names=["part", "bitmap"])
+
+    with W.number_batches(keys.sparkSession):
+        marked = keys.select("key").mapInArrow(mark, "part int, keys binary")
+        got = _by_part(marked).mapInArrow(put, "part int, bitmap binary").toArrow()
+    out = np.zeros((1 << bits, 1 << (width - bits - 6)), np.uint64)
+    for part, bitmap in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        out[part] = np.frombuffer(bitmap, np.uint64)
+    return out.ravel()
 
 
 def passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    slot = (keys >> np.uint64(6)) & np.uint64(len(bitmap) - 1)
-    return (bitmap[slot.astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) == 1
+    place = keys >> np.uint64(65 - (64 * len(bitmap)).bit_length())
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
 def handed_out(sc: SparkContext, value) -> Broadcast:
@@ -222,11 +256,15 @@ def taken(shared: Broadcast):
     return _taken[key]
 
 
+def arc_keys(state: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    return W.mixed((state * (words + 1) + word).astype(np.uint64))
+
+
 @dataclass
 class Automaton:
     """``words``: sorted hashes; ``count``: their counts. States are numbered, the
-    root is 0. ``arcs``: sorted ``state * (len(words) + 1) + word`` with ``arc_logp`` and
-    ``arc_next``; ``backoff`` and ``fail`` by state; ``root_logp``, ``root_next`` by word."""
+    root is 0. ``arcs``: sorted hashes (one to one) of ``state * (len(words) + 1) + word`` with
+    ``arc_logp`` and ``arc_next``; ``backoff`` and ``fail`` by state; ``root_logp``, ``root_next`` by word."""
 
     words: np.ndarray
     count: np.ndarray
@@ -241,6 +279,14 @@ class Automaton:
     root_next: np.ndarray
     order: int
 
+    @cached_property
+    def word_at(self) -> W.Places:
+        return W.Places(self.words)
+
+    @cached_property
+    def arc_at(self) -> W.Places:
+        return W.Places(self.arcs)
+
     @property
     def norm(self) -> float:
         return float(np.log10(self.total + ADDED * (self.distinct + 1)))
@@ -278,7 +324,7 @@ class Automaton:
         todo = np.flatnonzero(state)
         at_root = state == 0
         while len(todo):
-            place = W.look_up(state[todo] * (len(self.words) + 1) + word[todo], self.arcs)
+            place = self.arc_at(arc_keys(state[todo], word[todo], len(self.words)))
             hit = place >= 0
             done, arc = todo[hit], place[hit]
             logp[done] += self.arc_logp[arc]
@@ -333,7 +379,7 @@ def head_automaton(
     for n, (key, begin, end, gain, bo) in enumerate(grams, 2):
         a, b = W.look_up(begin.view(np.uint64), keys), W.look_up(end.view(np.uint64), keys)
         last = last[b]
-        arcs.append((offset + a) * (size + 1) + last)
+        arcs.append(arc_keys(offset + a, last, size))
         logp = gain + backoffs[a] + logp[b]
         arc_logp.append(logp)
         if n < order:
@@ -388,7 +434,12 @@ def train(
                 found = found.join(inside.select(F.col("key").alias(c)), c, "left_semi")
         found = pin(found, "gram-counts")
         shared.destroy()
+        # Written, as both the contexts and the weights are made of it. Frequent n-grams alone
+        # are ever asked what they begin and end with.
+        frequent = F.col("n") >= strong
         ends = found.join(lower.select(F.col("key").alias("b"), "low", "whole"), "b")
+        ends = pin(ends.select("key", "a", F.when(frequent, F.col("b")).alias("b"), "n", "low", "whole"), "gram-ends")
+        unpin(found)
         sums = ends.groupBy("a").agg(
             F.sum("n").alias("_n"), F.count("*").alias("_kinds"), F.sum("low").alias("_low"), F.max("whole").alias("whole")
         )
@@ -399,11 +450,9 @@ def train(
         )
         contexts = pin(contexts, "contexts")
         gain = F.log10((F.col("n") - F.lit(DISCOUNT)) / F.col("context")) - F.col("backoff") - F.log10(F.col("low") / F.col("whole"))
-        table = ends.join(contexts, "a").select("key", "a", "b", "n", gain.alias("gain"), F.col("context").cast("double").alias("whole"))
-        frequent = F.col("n") >= strong
-        parts = [F.when(frequent, F.col(c)).alias(c) for c in ("a", "b")]
-        table = pin(table.select("key", *parts, "n", "gain", *(["whole"] if n < order else [])), "grams")
-        unpin(found)
+        begin, whole = F.when(frequent, F.col("a")).alias("a"), [F.col("context").cast("double").alias("whole")] if n < order else []
+        table = pin(ends.join(contexts, "a").select("key", begin, "b", "n", gain.alias("gain"), *whole), "grams")
+        unpin(ends)
         tables.append(table)
         written += [table, contexts]
         backoffs.append(contexts.select(F.col("a").alias("key"), "context", "backoff"))
@@ -420,18 +469,16 @@ def train(
         key, backoff = _columns(table.where(F.col("context") >= floor), "key", "backoff")
         shorter.append(np.zeros(len(keys)))
         shorter[-1][W.look_up(key, keys)] = backoff
-    zero = F.lit(0.0)
     log_count = F.log10(F.col("n") + F.lit(ADDED)) - F.lit(float(np.log10(ADDED)))
-    tail = counts.where(F.col("n") < floors[0]).select("key", log_count.alias("base"), F.lit(1).alias("known"), zero.alias("extra"))
+    rare_words = counts.where(F.col("n") < floors[0]).select("key", log_count.alias("base"))
     rare = [t.where(F.col("n") < strong).select("key", "gain") for t in tables]
     weights = rare + [t.where(F.col("context") < floor).select("key", "backoff") for t, floor in zip(backoffs, floors)]
-    for t in weights:
-        tail = tail.union(t.select("key", zero, F.lit(0), t.columns[1]))
     sieves = [sieve(t, t.count()) for t in rare]
     grams = [[*g, bo] for g, bo in zip(grams, [*shorter[1:], None])]
     head = head_automaton(words, count, shorter[0], float(total), float(distinct), grams)
     bits = part_bits(docs)
-    packed = pin(_packed_tail(tail, bits), "tail")
+    with W.number_batches(docs.sparkSession):
+        packed = pin(_packed_tail(rare_words, weights, bits), "tail")
     unpin(*written)
     return Model(head, [g[0] for g in grams], sieves, packed, bits)
 
@@ -439,42 +486,50 @@ def train(
 TAIL = "part int, keys binary, extra binary, word_at binary, base binary"
 
 
-def _packed_tail(tail: DataFrame, bits: int) -> DataFrame:
-    """``TAIL`` rows of ``tail (key, base, known, extra)``, rows of one key added up."""
-    types = {"keys": np.uint64, "base": np.float64, "known": np.int32, "extra": np.float64}
+def _packed_tail(words: DataFrame, weights: list[DataFrame], bits: int) -> DataFrame:
+    """``TAIL`` rows of ``words (key, base)``, each once, and of tables ``(key, weight)``, weights of
+    one key added up."""
+    sent = "part int, keys binary, base binary, extra binary"
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def packed(table: DataFrame, name: str) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
 
-        def flushed() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            order = np.argsort(columns[0].view(np.uint64))
-            columns = {n: c[order].view(t) for (n, t), c in zip(types.items(), columns)}
-            return _packed(bits, columns["keys"], columns)
+            def flushed() -> pa.RecordBatch:
+                keys, values = (np.concatenate(c) for c in zip(*held))
+                keys = keys.view(np.uint64)
+                order = W.order_of(keys)
+                rows = _packed(bits, keys[order], {"keys": keys[order], name: values[order]})
+                return _nulls(schema, rows.num_rows, **dict(zip(rows.schema.names, rows.columns)))
 
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            size += batch.num_rows
-            if size > FLUSH:
+            for batch in batches:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+                if size > FLUSH:
+                    yield flushed()
+                    held, size = [], 0
+            if size:
                 yield flushed()
-                held, size = [], 0
-        if size:
-            yield flushed()
+
+        return table.mapInArrow(pack, schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "part"):
-            keys, base, known, extra = (_unpacked(group, n, t) for n, t in types.items())
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            base, known, extra = (np.add.reduceat(x[order], first) for x in (base, known, extra))
-            at = np.flatnonzero(known)
-            row = dict(zip(_names(TAIL)[1:], (keys[first], extra, at.astype(np.uint32), base[at])))
+            is_word = pc.is_valid(group.column("base"))
+            known, others = group.filter(is_word), group.filter(pc.invert(is_word))
+            word, base = _unpacked(known, "keys", np.uint64), _unpacked(known, "base", np.float64)
+            gains = np.concatenate([np.zeros(len(word)), _unpacked(others, "extra", np.float64)])
+            keys, extra = _summed([(np.concatenate([word, _unpacked(others, "keys", np.uint64)]), gains)])
+            order = np.argsort(word)
+            at = np.searchsorted(keys, word[order])
+            row = dict(zip(_names(TAIL)[1:], (keys, extra, at.astype(np.uint32), base[order])))
             yield pa.RecordBatch.from_arrays([group.column("part")[:1], *[pa.array([_bytes(n, x)], pa.binary()) for n, x in row.items()]], names=_names(TAIL))
 
-    rows = tail.select("key", "base", F.col("known").cast("int"), "extra")
-    packed = rows.mapInArrow(pack, "part int, " + ", ".join(f"{n} binary" for n in types))
-    return _by_part(packed).mapInArrow(add, TAIL)
+    schema = T.StructType(_fields(sent))
+    rows = packed(words, "base")
+    for table in weights:
+        rows = rows.union(packed(table, "extra"))
+    return _by_part(rows).mapInArrow(add, TAIL)
 
 
 def _names(ddl: str) -> list[str]:
@@ -484,7 +539,7 @@ def _names(ddl: str) -> list[str]:
 @dataclass
 class Scored:
     """Of each text of a slice what the automaton gives; and the words and n-grams that it does not
-    have, with the text they are in and how often."""
+    have, as often as they occur, with the text they are in."""
 
     n_tokens: np.ndarray
     known: np.ndarray
@@ -492,13 +547,12 @@ class Scored:
     walked: np.ndarray
     keys: np.ndarray
     owner: np.ndarray
-    times: np.ndarray
 
 
 def partial_scores(texts: pa.Array, model: Automaton, keys: list[np.ndarray], sieves: list[np.ndarray]) -> Scored:
     h, bounds = tokens(texts)
     docs = len(texts)
-    ids = W.look_up(h, model.words)
+    ids = model.word_at(h)
     doc = np.repeat(np.arange(docs), np.diff(bounds))
     inside = ids >= 0
     logs = np.log10(model.count + ADDED)
@@ -512,14 +566,7 @@ def partial_scores(texts: pa.Array, model: Automaton, keys: list[np.ndarray], si
         maybe = W.look_up(key, frequent) < 0
         rare.append(key[maybe])
         owner.append(doc[at[maybe]])
-    rare, owner = np.concatenate(rare), np.concatenate(owner)
-    order = np.lexsort((owner, rare))
-    rare, owner = rare[order], owner[order]
-    first = np.ones(len(rare), bool)
-    first[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-    at = np.flatnonzero(first)
-    times = np.diff(np.append(at, len(rare)))
-    return Scored(np.diff(bounds), known, base, walked, rare[at], owner[at], times)
+    return Scored(np.diff(bounds), known, base, walked, np.concatenate(rare), np.concatenate(owner))
 
 
 SCANNED = "kind int, part int, first long, row long, n_tokens long, known long, base double, walked double, keys binary, a binary, b binary, c binary"
@@ -547,10 +594,15 @@ def _scan(docs: DataFrame, model: Model) -> DataFrame:
         first, held, size = None, [], 0
 
         def flushed() -> pa.RecordBatch:
-            keys, owner, times = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(keys, kind="stable")
-            columns = {"keys": keys[order], "a": (owner[order] - first).astype(np.uint32), "b": times[order].astype(np.uint32)}
-            rows = _packed(bits, keys[order], columns)
+            keys, owner = (np.concatenate(c) for c in zip(*held))
+            order = W.order_of(keys)
+            keys, owner = keys[order], owner[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(keys)))
+            columns = {"keys": keys[at], "a": (owner[at] - first).astype(np.uint32), "b": times.astype(np.uint32)}
+            rows = _packed(bits, keys[at], columns)
             n = rows.num_rows
             given = dict(zip(rows.schema.names, rows.columns))
             return _nulls(schema, n, kind=pa.array(np.full(n, RARE_ROW)), first=pa.array(np.full(n, first)), **given)
@@ -566,7 +618,7 @@ def _scan(docs: DataFrame, model: Model) -> DataFrame:
                     first=pa.array(np.full(n, first)), row=part.column(2), n_tokens=pa.array(x.n_tokens), known=pa.array(x.known),
                     base=pa.array(x.base, pa.float64()), walked=pa.array(x.walked, pa.float64()),
                 )
-                held.append((x.keys, row[x.owner], x.times))
+                held.append((x.keys, row[x.owner]))
                 size += len(x.keys)
                 if size > FLUSH:
                     yield flushed()

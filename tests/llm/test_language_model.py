@@ -120,6 +120,39 @@ def test_few_runs_and_many_parts(spark, monkeypatch):
     assert model.tail.count() <= 32 and len(model.head.words) == 0
 
 
+def test_ngrams_meet_their_ends_once(spark, monkeypatch):
+    """Contexts and weights are both made of the table written after that."""
+    read, pin = [], L.pin
+    monkeypatch.setattr(L, "pin", lambda df, label: read.extend((label, f) for f in df.inputFiles()) or pin(df, label))
+    L.train(H.documents(spark, [(i, H.prose(i, 40), "s", "en", 0, 0, 0.0, "", "", "") for i in range(30)]).select("text"))
+    assert {label for label, f in read if "gram-counts" in f} == {"gram-ends"}
+    assert {label for label, f in read if "gram-ends" in f} == {"contexts", "grams"}
+
+
+def test_sieve_has_a_bit_for_every_key(spark):
+    keys = L.W.mixed(np.arange(1, 4001, dtype=np.uint64))
+    table = spark.createDataFrame([(int(k),) for k in keys[:2000].view(np.int64)], "key long").repartition(5)
+    bitmap = L.sieve(table, 2000)
+    assert L.passes(keys[:2000], bitmap).all() and L.passes(keys[2000:], bitmap).sum() < 400
+    assert int(np.bitwise_count(bitmap).sum()) <= 2000
+    assert not L.passes(keys, L.sieve(table.limit(0), 0)).any()
+
+
+def test_order_and_places_of_hashes():
+    rng = np.random.default_rng(5)
+    top = rng.integers(0, 6, 3000).astype(np.uint64) << np.uint64(61)
+    for keys in (L.W.mixed(rng.integers(0, 900, 3000).astype(np.uint64)), top + rng.integers(0, 9, 3000).astype(np.uint64), top[:0], top[:1]):
+        assert L.W.order_of(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+    few = L.W.mixed(np.arange(5000, dtype=np.uint64))
+    few[[7, 2000]] = few[[2000, 7]] & ~np.uint64(255)
+    few[7], few[2000] = few[2000] + np.uint64(9), few[2000]  # alike but for the last bits, in the wrong order
+    assert L.W.order_of(few).tolist() == np.argsort(few, kind="stable").tolist()
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    for table in (few[:0], np.sort(few), np.unique(np.append(few, ends)), np.unique(top)):
+        asked = np.concatenate([few, ends, top, few + np.uint64(1)])
+        assert L.W.Places(table)(asked).tolist() == L.W.look_up(asked, table).tolist()
+
+
 def test_no_training_rows_and_empty_tables(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     one = H.documents(spark, [(held, "a b", "s", "en", 0, 0, 0.0, "", "", "")])
